@@ -38,7 +38,9 @@ def polygon_vertices(df: DataFrame, group: str, ring: str) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    options = {"header": True, "nullValue": "NA"} if fmt == "csv" else {}
+    text = {"header": True, "nullValue": "NA"}
+    text |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = text if fmt == "csv" else {}
     df.write.mode("overwrite").format(fmt).options(**options).save(path)
     return path
 
