@@ -31,9 +31,9 @@ def ols(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
 def growth_label(df: DataFrame, group: str, slope: str = "slope") -> DataFrame:
     """``slope`` rounded half-even to 2 digits and the text "group, slope mm per day"."""
     rounded = half_even(F.col(slope), 2)
-    return df.withColumn(slope, rounded).withColumn(
-        "legend", united(" ", united(", ", F.col(group), F.col(slope)), F.lit("mm per day"))
-    )
+    shown = F.regexp_replace(rounded.cast("string"), r"\.?0+$", "")
+    legend = united(" ", united(", ", F.col(group), shown), F.lit("mm per day"))
+    return df.withColumns({"legend": legend, slope: rounded.cast("double")})
 
 
 def regression_summary(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
