@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Student t, 97.5 % point for 1 to 30 degrees of freedom.
 T975 = (
@@ -115,22 +116,22 @@ def _each(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if r.isna().any() else fn(*r) for _, r in frame.iterrows()], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_from_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _each(f_tail, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_from_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(lambda t, v: f_tail(t * t, 1.0, v), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_from_q(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _each(tukey_tail, q, k, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def q_critical(k: pd.Series, df: pd.Series) -> pd.Series:
     """95 % point of the studentised range, worked out once per (k, df) of a batch."""
     known: dict = {}
