@@ -42,6 +42,14 @@ def fish(s) -> DataFrame:
     return genetics.genetics_master(s.specimen.drop("gp", "exp_n"), all_tows(s), s.species)
 
 
+def ids(s) -> DataFrame:
+    return genetics.named_ids(s.specimen.drop("gp", "exp_n"), s.species)
+
+
+def compared_ids(s) -> DataFrame:
+    return genetics.compared_ids(s.specimen, s.species)
+
+
 def length_rows(s) -> DataFrame:
     return lengths.length_set(s.specimen, tows(s), s.species)
 

@@ -93,7 +93,7 @@ def _(s):
 )
 def _(s):
     df = s.specimen.select("op_id", "specimen_number", "genetics")
-    return with_group_size(df, ["genetics"], "group_size")
+    return with_group_size(df, ["genetics"], "group_size", bounded=True)
 
 
 @query(
@@ -103,7 +103,7 @@ def _(s):
 )
 def _(s):
     tows = s.tow.select("op_id", F.col("op_date").alias("date"))
-    return natural_join(tows, s.daily_temp.filter("superior > 4"), keys=["date"])
+    return natural_join(tows, s.daily_temp.filter("superior > 4"), keys=["date"], bounded=True)
 
 
 @query(

@@ -83,7 +83,7 @@ step(
        ON a.location = b.location AND b.k = 1""",
 )
 def _(s):
-    return fix(genetics.collections(base.density(s), base.fish(s), YEAR))
+    return fix(genetics.collections(base.density(s), s.specimen, base.all_tows(s), YEAR))
 
 
 _COUNTS = ", ".join(
@@ -106,7 +106,7 @@ _TOTAL = " + ".join(genetics.snake(n) for n in genetics.NAMES)
        ON b.date = c.date AND b.tow_time IS NOT DISTINCT FROM c.tow_time AND b.location = c.location AND b.k = 1""",
 )
 def _(s):
-    return fix(genetics.species_composition(base.fish(s), base.all_tows(s), YEAR))
+    return fix(genetics.species_composition(base.ids(s), base.all_tows(s), YEAR))
 
 
 step(
@@ -171,7 +171,7 @@ step("o_yolk_genetic", yolk_sql("o_fish", "genetics_name"))
     """SELECT date, genetics_name, y AS "Y", n AS "N", R4(yolks) AS yolks, op_id, location, week, year FROM o_yolk_genetic""",
 )
 def _(s):
-    return fix(genetics.yolk_proportion(base.fish(s), base.tows(s), "genetics_name"))
+    return fix(genetics.yolk_proportion(base.ids(s), base.tows(s), "genetics_name"))
 
 
 @query(
@@ -192,7 +192,7 @@ def _(s):
        JOIN (SELECT genetics_name, count(*) AS group_size FROM o_fish WHERE species <> 217 GROUP BY ALL) b USING (genetics_name)""",
 )
 def _(s):
-    return fix(genetics.id_agreement(base.fish(s)), 6)
+    return fix(genetics.id_agreement(base.ids(s)), 6)
 
 
 @query(
@@ -202,7 +202,7 @@ def _(s):
        R4(min(mid_depth)) AS mid_depth FROM o_fish WHERE species <> 217 GROUP BY op_id, genetics_name""",
 )
 def _(s):
-    return fix(genetics.match_map(base.fish(s)))
+    return fix(genetics.match_map(base.ids(s), base.all_tows(s)))
 
 
 step(
@@ -226,7 +226,7 @@ step(
        ON a.op_id = b.op_id AND a.genetics_name IS NOT DISTINCT FROM b.genetics_name WHERE k = 1""",
 )
 def _(s):
-    return genetics.match_map_sites(base.compared(s))
+    return genetics.match_map_sites(base.compared_ids(s), base.trawl_tows(s))
 
 
 def growth_sql(source: str, extra: str) -> str:
@@ -311,7 +311,7 @@ def _(s):
        CASE WHEN month = 7 THEN 1 ELSE 2 END AS group_no FROM o_compared WHERE month >= 7 AND length < 150 GROUP BY op_id, month""",
 )
 def _(s):
-    return fix(genetics.survey_pies(base.compared(s), base.trawl_tows(s)))
+    return fix(genetics.survey_pies(base.compared_ids(s), base.trawl_tows(s)))
 
 
 @query(
@@ -320,7 +320,7 @@ def _(s):
        FROM o_compared GROUP BY op_id""",
 )
 def _(s):
-    return fix(genetics.mismatch_by_catch(base.compared(s)))
+    return fix(genetics.mismatch_by_catch(base.compared_ids(s)))
 
 
 step(

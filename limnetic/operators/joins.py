@@ -1,7 +1,8 @@
 """Joins on all shared columns, where a missing key matches a missing key.
 
-No side is forced to be broadcast: Spark broadcasts what it measures to be
-small and otherwise shuffles, and then splits hot keys (see ``session``).
+A side is broadcast by hint only where its row count has a bound that does not
+grow with the data (calendar days, fixed code lists, hot keys). Otherwise Spark
+broadcasts what it measures to be small, and shuffles the rest.
 """
 
 from __future__ import annotations
@@ -17,19 +18,25 @@ from .reshape import first_per_key
 
 
 def natural_join(
-    left: DataFrame, right: DataFrame, how: str = "left", keys: Sequence[str] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    how: str = "left",
+    keys: Sequence[str] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Join on every column name the two sides share.
 
     ``keys`` states the names the caller expects; a table that gained or lost
     a shared column then fails at once instead of changing the result.
+    ``bounded`` says that the right side holds one row per calendar unit or per
+    code of a fixed list, however large the data: it is then broadcast.
     """
     shared = [c for c in left.columns if c in set(right.columns)]
     if not shared:
         raise ValueError("the tables share no column")
     if keys is not None and set(keys) != set(shared):
         raise ValueError(f"expected to join on {sorted(keys)}, tables share {sorted(shared)}")
-    l, r = left.alias("l"), right.alias("r")
+    l, r = left.alias("l"), (F.broadcast(right) if bounded else right).alias("r")
     same = reduce(and_, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in shared])
     key_side = "r" if how == "right" else "l"
     out = [F.col(f"{key_side if c in shared else 'l'}.`{c}`") for c in left.columns]
@@ -42,19 +49,49 @@ def lookup_join(left: DataFrame, dim: DataFrame, key: str, *columns: str) -> Dat
     return left.join(dim.select(key, *columns), key, "left")
 
 
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_share: float = 0.001,
+    hot_rows: int = 100_000,
+) -> DataFrame:
+    """Natural join of many left rows to one right row per key, with hot keys split.
+
+    A key that holds more than ``hot_share`` of all left rows is cut into parts:
+    each of its left rows goes to the part its own hash names, and its right row
+    is copied to every part. There are at most ``1 / hot_share`` such keys, so
+    their list is broadcast. Rows and result stay exactly those of the plain join.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.greatest(counts.agg(F.sum("_n")).scalar() * hot_share, F.lit(float(hot_rows)))
+    hot = counts.filter(F.col("_n") > size).select(key, F.ceil(F.col("_n") / size).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    own = F.pmod(F.xxhash64(*left.columns), parts)
+    salted = natural_join(left, hot, "left", [key], bounded=True)
+    salted = salted.withColumn("_salt", own).drop("_parts")
+    copies = natural_join(right, hot, "left", [key], bounded=True)
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return natural_join(salted, copies.drop("_parts"), how, [key, "_salt"]).drop("_salt")
+
+
 def join_chain(first: DataFrame, *others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left joins one after the other; give each input already aggregated."""
     return reduce(lambda a, b: natural_join(a, b, "left", keys), others, first)
 
 
-def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
+def with_group_size(
+    df: DataFrame, keys: Sequence[str], name: str = "n", bounded: bool = False
+) -> DataFrame:
     """Rows per group beside every row.
 
     The counts are made with map-side combine and joined back, so a group that
-    holds a large share of the rows is never gathered in one task.
+    holds a large share of the rows is never gathered in one task. Groups of a
+    fixed code list are ``bounded``.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return natural_join(df, sizes, "left", keys)
+    return natural_join(df, sizes, "left", keys, bounded)
 
 
 def join_first(

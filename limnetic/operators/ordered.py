@@ -1,8 +1,9 @@
 """Running sums, row numbers and exact medians that no hot group can clog.
 
 A running sum over a sorted group normally puts the whole group into one task.
-Here a group is cut into blocks of its order value; each block is summed, the
-(few) block sums are accumulated per group, and rows are only sorted within
+Here the rows are range-partitioned on (group, order value), which cuts a large
+group into several blocks whatever its distribution. Each block is summed, the
+few block sums of a group are accumulated, and rows are only sorted within
 their block.
 """
 
@@ -14,45 +15,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import natural_join
+from limnetic.session import written
 
-BLOCKS = 1024
+from .joins import natural_join
 
 
 def prefix_sums(
-    cells: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], blocks: int = BLOCKS
+    cells: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]
 ) -> DataFrame:
-    """Add ``cum_<measure>``: the running sum up to and including each row.
+    """Add ``cum_<measure>``, the running sum up to each row, and ``total_<measure>``.
 
-    ``cells`` holds one row per (keys, order); ``order`` is numeric. Blocks are
-    of equal width between the smallest and the largest order value of a group.
+    ``cells`` holds one row per (keys, order). The blocks are written once, so
+    that every later step sees the same cut even if an executor is lost.
     """
     keys = list(keys)
-    x = F.col(order)
-    cells = cells.withColumn("_all", F.lit(0))
-    keys_all = ["_all", *keys]
-    span = cells.groupBy(*keys_all).agg(
-        F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi")
-    )
-    part = F.try_divide(x.cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    block = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * blocks), F.lit(blocks - 1))
-    placed = natural_join(cells, span, "left", keys_all).withColumn("_block", block).drop("_lo", "_hi")
-
-    before = W.partitionBy(*keys_all).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys_all, "_block").agg(
-        *[F.sum(m).alias(f"_sum_{m}") for m in measures]
-    )
-    offsets = offsets.select(
-        *keys_all,
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cells.repartitionByRange(parts, *keys, order)
+    placed = written(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
+
+    sums = placed.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        *keys,
         "_block",
         *[F.coalesce(F.sum(f"_sum_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.sum(f"_sum_{m}").over(group).alias(f"total_{m}") for m in measures],
     )
-    inside = W.partitionBy(*keys_all, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    joined = natural_join(placed, offsets, "left", [*keys_all, "_block"])
+    inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    joined = natural_join(placed, offsets, "left", [*keys, "_block"])
     out = joined.withColumns(
         {f"cum_{m}": F.col(f"_off_{m}") + F.sum(m).over(inside) for m in measures}
     )
-    return out.drop("_all", "_block", *[f"_off_{m}" for m in measures])
+    return out.drop("_block", *[f"_off_{m}" for m in measures])
 
 
 def group_median(
@@ -68,26 +63,19 @@ def group_median(
         df.filter(F.col(value).isNotNull() & (w > 0))
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.sum(w).alias("_w"))
-        .withColumn("_g", F.lit(0))
     )
-    keys_all = ["_g", *keys]
-    size = counted.groupBy(*keys_all).agg(F.sum("_w").alias("_n"))
-    ranked = natural_join(prefix_sums(counted, keys_all, "_v", ["_w"]), size, "left", keys_all)
+    ranked = prefix_sums(counted, keys, "_v", ["_w"])
     upto, since = F.col("cum__w"), F.col("cum__w") - F.col("_w")
-    low = F.floor((F.col("_n") + 1) / 2)
-    high = F.floor(F.col("_n") / 2) + 1
+    low = F.floor((F.col("total__w") + 1) / 2)
+    high = F.floor(F.col("total__w") / 2) + 1
     middle = ranked.filter((since < high) & (upto >= low))
-    return (
-        middle.groupBy(*keys_all)
-        .agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
-        .drop("_g")
-    )
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
 
 
 def numbered(
     df: DataFrame, levels: Sequence[str], order: Sequence[str | Column] = (), out: str = "id"
 ) -> DataFrame:
-    """Row numbers 1..n in the order of the numeric ``levels``, then of ``order``.
+    """Row numbers 1..n in the order of ``levels``, then of ``order``.
 
     Each level adds the rows that come before it, counted by ``prefix_sums``;
     only rows equal on every level are sorted together.

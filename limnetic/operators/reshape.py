@@ -29,10 +29,11 @@ def pivot_counts(
     """Counts per id and category, one column per category, 0 where there are none.
 
     ``weight`` holds row multiplicities of input that is already aggregated.
+    The categories being given, one grouped pass of conditional sums does it.
     """
-    measure = F.sum(weight) if weight else F.count(F.lit(1))
-    wide = df.groupBy(*ids).pivot(name, list(values)).agg(measure)
-    return wide.fillna(0, [str(v) for v in values])
+    one = F.col(weight) if weight else F.lit(1)
+    cells = [F.coalesce(F.sum(F.when(F.col(name) == v, one)), F.lit(0)).alias(str(v)) for v in values]
+    return df.groupBy(*ids).agg(*cells)
 
 
 def pivot_values(

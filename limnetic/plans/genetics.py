@@ -15,6 +15,7 @@ from limnetic.operators.joins import (
     join_first,
     lookup_join,
     natural_join,
+    spread_join,
     with_group_size,
 )
 from limnetic.operators.reshape import first_per_key, pivot_counts
@@ -42,13 +43,20 @@ def genetics_per_year(specimen: DataFrame, effort: DataFrame) -> DataFrame:
     return per_tow.join(effort.select("op_id", "year"), "op_id").groupBy("year").agg(F.sum("n").alias("genetics"))
 
 
+def named_ids(specimen: DataFrame, species: DataFrame) -> DataFrame:
+    """Identified fish with match flag and both names, not yet joined to effort."""
+    ids = specimen.filter(F.col("genetics").isNotNull()).withColumns(
+        {
+            "match": scalars.match_flag(F.col("species"), F.col("genetics")),
+            "genetics_name": scalars.genetic_name(F.col("genetics")),
+        }
+    )
+    return lookup_join(ids, species, "species", "common_name")
+
+
 def genetics_master(specimen: DataFrame, effort: DataFrame, species: DataFrame) -> DataFrame:
     """Every identified fish with match flag, effort and both names."""
-    ids = specimen.filter(F.col("genetics").isNotNull()).withColumn(
-        "match", scalars.match_flag(F.col("species"), F.col("genetics"))
-    )
-    joined = lookup_join(natural_join(ids, effort, "left", ["op_id"]), species, "species", "common_name")
-    return joined.withColumn("genetics_name", scalars.genetic_name(F.col("genetics")))
+    return spread_join(named_ids(specimen, species), effort, "op_id")
 
 
 def strain_sites(specimen: DataFrame, effort: DataFrame, cut: float = 0.7) -> DataFrame:
@@ -74,8 +82,11 @@ def strain_sites(specimen: DataFrame, effort: DataFrame, cut: float = 0.7) -> Da
     )
 
 
-def collections(density: DataFrame, fish: DataFrame, year: int) -> DataFrame:
-    """Larval catch of one year and age-0 counts per site and day, with life stage."""
+def collections(density: DataFrame, specimen: DataFrame, effort: DataFrame, year: int) -> DataFrame:
+    """Larval catch of one year and age-0 counts per site and day, with life stage.
+
+    Fish are counted per tow before they meet the effort table.
+    """
     c = F.col
     place = ["mid_lat", "mid_lon", "mid_depth"]
     keys = ["date", "location"]
@@ -87,10 +98,12 @@ def collections(density: DataFrame, fish: DataFrame, year: int) -> DataFrame:
     larval = join_first(larval, first, keys, ["tow_time", "species", "op_id"])
     larval = larval.withColumn("gear", F.lit("Neuston"))
 
-    young = fish.filter((c("gear") != "Neuston") & (c("length") <= 150))
-    age0 = young.groupBy(*keys).agg(A.rows().alias("fish"))
-    sites = fish.groupBy("op_id").agg(*[F.first(x).alias(x) for x in ("location", *place)])
-    age0 = join_first(age0, sites, ["location"], ["op_id"])
+    ids = specimen.filter(c("genetics").isNotNull())
+    per_tow = ids.groupBy("op_id").agg(F.count_if(c("length") <= 150).alias("n"))
+    tows = per_tow.join(effort.select("op_id", "gear", *keys, *place), "op_id")
+    young = tows.filter((c("gear") != "Neuston") & (c("n") > 0))
+    age0 = young.groupBy(*keys).agg(F.sum("n").alias("fish"))
+    age0 = join_first(age0, tows.select("op_id", "location", *place), ["location"], ["op_id"])
     age0 = age0.withColumn(
         "gear", F.when(F.month("date") <= 7, "Bottom trawl").when(F.month("date") > 7, "Mid-Water trawl")
     )
@@ -112,22 +125,43 @@ def composition(fish: DataFrame, keys: Sequence[str], names: Sequence[str] = NAM
     """Fish per species in columns, with their total."""
     wide = pivot_counts(fish, keys, "genetics_name", names)
     wide = wide.withColumnsRenamed({n: snake(n) for n in names})
+    return _with_total(wide, names)
+
+
+def _with_total(wide: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     return wide.withColumn("total", scalars.row_sum(*[F.col(snake(n)) for n in names]))
 
 
-def species_composition(fish: DataFrame, effort: DataFrame, year: int) -> DataFrame:
-    """Composition per tow (all fish, age-0 fish) and per sample (larvae), with position."""
+def species_composition(ids: DataFrame, effort: DataFrame, year: int) -> DataFrame:
+    """Composition per tow (all fish, age-0 fish) and per sample (larvae), with position.
+
+    One pass counts all and small fish per tow; the three tables follow from it.
+    """
     c = F.col
-    place = effort.select("op_id", "date", "tow_time", "location", "mid_lat", "mid_lon", "gear")
-    surface = place.filter(c("gear") == "Neuston").drop("gear")
-    place = place.drop("gear")
-    everything = natural_join(composition(fish, ["op_id"]), place, "left", ["op_id"])
-    small = fish.filter((c("gear") != "Neuston") & (c("length") <= 100) & (c("year") == year))
-    age0 = natural_join(composition(small, ["op_id"]), place, "left", ["op_id"])
+    names = [snake(n) for n in NAMES]
+    small = ids.withColumn("genetics_name", F.when(c("length") <= 100, F.concat(F.lit("small "), "genetics_name")))
+    both = ids.select("op_id", "genetics_name").unionByName(
+        small.filter(c("genetics_name").isNotNull()).select("op_id", "genetics_name")
+    )
+    wide = pivot_counts(both, ["op_id"], "genetics_name", [*NAMES, *[f"small {n}" for n in NAMES]])
+    wide = wide.withColumnsRenamed({n: snake(n) for n in wide.columns})
+    place = ["date", "tow_time", "location", "mid_lat", "mid_lon"]
+    tows = natural_join(wide, effort.select("op_id", "gear", "year", *place), "left", ["op_id"])
+
+    everything = tows.select("op_id", *names, *place)
+    age0 = tows.filter((c("gear") != "Neuston") & (c("year") == year)).select(
+        "op_id", *[c(f"small_{n}").alias(n) for n in names], *place
+    )
     sample = ["date", "tow_time", "location"]
-    larvae = composition(fish.filter(c("gear") == "Neuston"), sample)
+    sums = [F.sum(n).alias(n) for n in names]
+    larvae = tows.filter(c("gear") == "Neuston").groupBy(*sample).agg(*sums)
+    surface = effort.filter(c("gear") == "Neuston").select("op_id", *place)
     larvae = join_first(larvae, surface, sample, ["op_id"])
-    tagged = {"all": everything, "age0": age0, "larvae": larvae}
+    tagged = {
+        "all": _with_total(everything),
+        "age0": _with_total(age0).filter(c("total") > 0),
+        "larvae": _with_total(larvae),
+    }
     return append_all([df.withColumn("stage", F.lit(tag)) for tag, df in tagged.items()])
 
 
@@ -148,7 +182,8 @@ def yolk_lengths(fish: DataFrame, effort: DataFrame, by_species: bool = False) -
     first = first_per_key(
         effort.select("year", "week", "date", "op_id", "date1"), ["year", "week"], ["date", "op_id"]
     )
-    return natural_join(stats, first.drop("date", "op_id"), "left", ["year", "week"]).dropna()
+    first = first.drop("date", "op_id")
+    return natural_join(stats, first, "left", ["year", "week"], bounded=True).dropna()
 
 
 def yolk_proportion(fish: DataFrame, effort: DataFrame, name: str) -> DataFrame:
@@ -166,38 +201,39 @@ def weekly_first(proportion: DataFrame, name: str) -> DataFrame:
     return first_per_key(proportion, ["week"], ["date", name])
 
 
-def id_agreement(fish: DataFrame) -> DataFrame:
+def id_agreement(ids: DataFrame) -> DataFrame:
     """Within each genetic species, the share of every ship identification."""
-    known = fish.filter(F.col("species") != 217)
+    known = ids.filter(F.col("species") != 217)
     sizes = known.groupBy("genetics_name").agg(A.rows().alias("group_size"))
     both = known.filter(F.col("genetics") != 217)
     table = A.share_within(both, ["genetics_name"], ["common_name"])
     return natural_join(table, sizes, "left", ["genetics_name"])
 
 
-def match_map(fish: DataFrame) -> DataFrame:
+def match_map(ids: DataFrame, effort: DataFrame) -> DataFrame:
     """Matching and differing identifications per tow and species, with position."""
-    known = fish.filter((F.col("genetics") != 217) & (F.col("species") != 217))
+    known = ids.filter((F.col("genetics") != 217) & (F.col("species") != 217))
     wide = pivot_counts(known, ["op_id", "genetics_name"], "match", ["Yes", "No"])
-    place = fish.select("op_id", "location", "mid_lat", "mid_lon", "mid_depth")
-    out = join_first(wide, place, ["op_id"], ["location"])
+    place = effort.select("op_id", "location", "mid_lat", "mid_lon", "mid_depth")
+    out = natural_join(wide, place, "left", ["op_id"])
     return out.withColumn("fish", F.col("Yes") + F.col("No"))
 
 
-def match_map_sites(fish: DataFrame) -> DataFrame:
+def match_map_sites(ids: DataFrame, effort: DataFrame) -> DataFrame:
     """The same counts kept to the first fish of every tow (right join)."""
-    wide = pivot_counts(fish, ["op_id", "genetics_name"], "match", ["Yes", "No"])
+    wide = pivot_counts(ids, ["op_id", "genetics_name"], "match", ["Yes", "No"])
     first = first_per_key(
-        fish.select("op_id", "specimen_number", "genetics_name", "location"),
+        ids.select("op_id", "specimen_number", "genetics_name"),
         ["op_id"],
         ["specimen_number", "genetics_name"],
     )
     out = natural_join(wide, first, "right", ["op_id", "genetics_name"])
+    out = natural_join(out, effort.select("op_id", "location"), "left", ["op_id"])
     return out.withColumn("fish", F.col("Yes") + F.col("No"))
 
 
-def id_comparison(specimen: DataFrame, effort: DataFrame, species: DataFrame) -> DataFrame:
-    """Age-0 and older fish under 200 mm: match, label of the pair, species totals."""
+def compared_ids(specimen: DataFrame, species: DataFrame) -> DataFrame:
+    """Age-0 and older fish under 200 mm: match, label of the pair and names."""
     c = F.col
     ids = specimen.select("op_id", "specimen_number", "species", "genetics", "length").dropna()
     ids = ids.filter(c("length") < 200).withColumns(
@@ -209,24 +245,28 @@ def id_comparison(specimen: DataFrame, effort: DataFrame, species: DataFrame) ->
             ),
         }
     )
-    joined = lookup_join(natural_join(ids, effort, "left", ["op_id"]), species, "species", "common_name")
-    return with_group_size(joined, ["genetics_name"], "n")
+    return lookup_join(ids, species, "species", "common_name")
+
+
+def id_comparison(specimen: DataFrame, effort: DataFrame, species: DataFrame) -> DataFrame:
+    """The compared fish with their trawl and the total of their genetic species."""
+    ids = with_group_size(compared_ids(specimen, species), ["genetics_name"], "n", bounded=True)
+    return spread_join(ids, effort, "op_id")
 
 
-def survey_pies(fish: DataFrame, effort: DataFrame) -> DataFrame:
+def survey_pies(ids: DataFrame, effort: DataFrame) -> DataFrame:
     """Composition per tow from July on, labelled with its survey."""
     month = F.col("month")
-    kept = fish.filter((month >= 7) & (F.col("length") < 150))
-    wide = composition(kept, ["op_id", "month"])
-    place = effort.select("op_id", "month", "location", "mid_lat", "mid_lon")
-    out = natural_join(wide, place, "left", ["op_id", "month"])
+    wide = composition(ids.filter(F.col("length") < 150), ["op_id"])
+    place = effort.filter(month >= 7).select("op_id", "month", "location", "mid_lat", "mid_lon")
+    out = natural_join(wide, place, "inner", ["op_id"])
     group = F.when(month == 7, GROUPS[0]).when(month >= 8, GROUPS[1])
     return out.withColumns({"group": group, "group_no": level_number(group, GROUPS)})
 
 
-def mismatch_by_catch(fish: DataFrame) -> DataFrame:
+def mismatch_by_catch(ids: DataFrame) -> DataFrame:
     """Percent of differing identifications against the size of the catch."""
-    wide = pivot_counts(fish, ["op_id"], "match", ["Yes", "No"])
+    wide = pivot_counts(ids, ["op_id"], "match", ["Yes", "No"])
     return wide.select(
         "op_id",
         (F.col("No") + F.col("Yes")).alias("fish"),

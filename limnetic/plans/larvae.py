@@ -52,7 +52,9 @@ def yolk_by_site(larvae: DataFrame, counts: DataFrame, effort: DataFrame) -> Dat
     wide = wide.withColumnsRenamed({"Y": "yes", "N": "no"})
     fish = counts.groupBy(*keys).agg(F.sum("n").alias("fish"))
     wide = natural_join(wide, fish, "left", keys)
-    return natural_join(wide, effort.select(*keys, "op_id", "mid_lat", "mid_lon"), "left", keys)
+    # Every (year, location) comes from a tow, so the inner join loses none and
+    # lets Spark split a site with very many tows on either side.
+    return natural_join(effort.select(*keys, "op_id", "mid_lat", "mid_lon"), wide, "inner", keys)
 
 
 def processing_backlog(density: DataFrame, counts: DataFrame, year: int, small: int = 200) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnetic.operators.aggregates import length_statistics, strict
+from limnetic.functions.calendar import with_calendar
+from limnetic.operators.aggregates import length_statistics, rows, strict
 from limnetic.operators.columns import with_levels
-from limnetic.operators.joins import join_first, lookup_join, natural_join
-from limnetic.operators.reshape import first_per_key
+from limnetic.operators.joins import join_first, lookup_join, natural_join, spread_join
 from limnetic.operators.statistics import growth_label, ols
 
 LENGTH_SPECIES = (202, 203, 204, 206, 208, 210, 217, 218)
@@ -22,7 +22,7 @@ def length_set(lengths: DataFrame, effort: DataFrame, species: DataFrame) -> Dat
         F.col("species").isin(*LENGTH_SPECIES) & (x < 30) & (x >= 5)
     )
     named = lookup_join(kept, species, "species", "common_name")
-    return natural_join(named, effort, "left", ["op_id"])
+    return spread_join(named, effort, "op_id")
 
 
 def annual_growth(lengths: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def annual_growth(lengths: DataFrame) -> DataFrame:
 
 
 def with_annual_growth(lengths: DataFrame) -> DataFrame:
-    return natural_join(lengths, annual_growth(lengths).drop("n"), "left", ["year"])
+    growth = annual_growth(lengths).drop("n")
+    return natural_join(lengths, growth, "left", ["year"], bounded=True)
 
 
 def length_by_station(lengths: DataFrame, effort: DataFrame, species: DataFrame) -> DataFrame:
@@ -59,17 +60,16 @@ def growth_set(fish: DataFrame, kiyi_below: float | None = None, all_below: floa
 
 def species_growth(fish: DataFrame, year: int, **limits) -> DataFrame:
     """Growth per calendar day of one year, per species, with its label."""
-    rows = growth_set(fish, **limits).filter(F.col("year") == year)
+    kept = growth_set(fish, **limits).filter(F.col("year") == year)
     return growth_label(
-        ols(rows, ["genetics_name"], F.unix_date("date"), F.col("length")), "genetics_name"
+        ols(kept, ["genetics_name"], F.unix_date("date"), F.col("length")), "genetics_name"
     )
 
 
 def daily_lengths(fish: DataFrame) -> DataFrame:
     """Length statistics per day and species with the day's labels."""
-    labels = fish.select("date", "year", "month", "week", "month_short", "month_long", "date1")
     stats = growth_set(fish).groupBy("date", "genetics_name").agg(*length_statistics("length"))
-    return natural_join(stats, first_per_key(labels, ["date"], ["year"]), "left", ["date"])
+    return with_calendar(stats, "date").drop("day", "jday")
 
 
 def weekly_lengths(
@@ -78,11 +78,10 @@ def weekly_lengths(
     """Length statistics per week and species (and yolk sac), with the week's first tow."""
     keys = ["year", "week", "species"] + (["yolk_sac"] if by_yolk else [])
     kept = larvae.dropna(subset=["species", "length"]).filter(F.col("species").isin(*LARVAL_SPECIES))
-    dated = natural_join(
-        kept.select("op_id", "species", "length", "yolk_sac"),
+    dated = spread_join(
+        kept.select("op_id", "specimen_number", "species", "length", "yolk_sac"),
         effort.select("op_id", "year", "week"),
-        "left",
-        ["op_id"],
+        "op_id",
     )
     stats = dated.groupBy(*keys).agg(*length_statistics("length"))
     stats = lookup_join(stats, species, "species", "common_name")
@@ -101,18 +100,19 @@ def expanded_daily_lengths(
     """Length statistics per day over counted trawl fish and larvae, with temperature.
 
     A trawl row stands for ``exp_n`` fish; it enters every statistic with that
-    weight instead of being repeated.
+    weight instead of being repeated. Equal lengths of a tow are added up first.
     """
     x, w = F.col("length"), F.col("exp_n")
     wanted = F.col("species").isin(*LARVAL_SPECIES)
     keep = ["op_id", "date", "location", "gear"]
-    trawl = trawl_lengths.filter((w > 0) & wanted).select("op_id", "length", "exp_n")
+    counted = F.sum("exp_n").alias("exp_n")
+    trawl = trawl_lengths.filter((w > 0) & wanted & (x < 130)).groupBy("op_id", "length").agg(counted)
     trawl = trawl.join(trawl_effort.filter((F.col("year") == year) & (F.col("month") > 7)).select(*keep), "op_id")
-    small = larvae.filter(wanted).select("op_id", "length", F.lit(1).alias("exp_n"))
+    small = larvae.filter(wanted & (x < 130)).groupBy("op_id", "length").agg(rows().alias("exp_n"))
     small = small.join(neuston_effort.filter(F.col("year") == year).select(*keep), "op_id")
-    rows = trawl.unionByName(small).filter(x < 130)
+    fish = trawl.unionByName(small)
     n, s, ss = F.sum(w), F.sum(w * x), F.sum(w * x * x)
-    stats = rows.groupBy("date").agg(
+    stats = fish.groupBy("date").agg(
         n.alias("n"),
         F.min(x).alias("min_length"),
         F.max(x).alias("max_length"),

@@ -25,11 +25,20 @@ def _is_cisco():
     return F.col("species").isin(*CISCOES)
 
 
+def _flagged(density: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: does it hold an empty tow, does it hold ciscoes.
+
+    Counting these rows replaces several distinct counts over the detail, which
+    would multiply every row before the shuffle.
+    """
+    return density.groupBy(*keys).agg(
+        F.bool_or(F.col("species") == 0).alias("absent"), F.bool_or(_is_cisco()).alias("present")
+    )
+
+
 def sites_overall(density: DataFrame) -> DataFrame:
-    site = F.col("location")
-    return density.agg(
-        A.n_distinct(site).alias("all_sites"),
-        A.n_distinct_where(_is_cisco(), site).alias("present_sites"),
+    return _flagged(density, ["location"]).agg(
+        A.rows().alias("all_sites"), F.count_if("present").alias("present_sites")
     )
 
 
@@ -41,11 +50,10 @@ def sites_by_location(density: DataFrame) -> DataFrame:
 
 
 def sites_by_year(density: DataFrame) -> DataFrame:
-    site, species = F.col("location"), F.col("species")
-    out = density.groupBy("year").agg(
-        A.n_distinct(site).alias("all_sites"),
-        A.n_distinct_where(species == 0, site).alias("absent_sites"),
-        A.n_distinct_where(_is_cisco(), site).alias("present_sites"),
+    out = _flagged(density, ["year", "location"]).groupBy("year").agg(
+        A.rows().alias("all_sites"),
+        F.count_if("absent").alias("absent_sites"),
+        F.count_if("present").alias("present_sites"),
     )
     return out.withColumn("sites", united(" / ", F.col("all_sites"), F.col("present_sites")))
 
@@ -54,12 +62,16 @@ def collections_by_year(density: DataFrame) -> DataFrame:
     """Collections (tows at a site, day and time) by what their first row holds."""
     keys = ["year", "location", "date", "tow_time"]
     once = first_per_key(density.select(*keys, "species", "op_id"), keys, ["species", "op_id"])
-    op, species = F.col("op_id"), F.col("species")
-    out = once.groupBy("year").agg(
-        A.rows().alias("all_rows"),
-        A.n_distinct(op).alias("all_collections"),
-        A.n_distinct_where(species == 0, op).alias("absent_collections"),
-        A.n_distinct_where(_is_cisco(), op).alias("present_collections"),
+    per_op = once.groupBy("year", "op_id").agg(
+        A.rows().alias("n"),
+        F.bool_or(F.col("species") == 0).alias("absent"),
+        F.bool_or(_is_cisco()).alias("present"),
+    )
+    out = per_op.groupBy("year").agg(
+        F.sum("n").alias("all_rows"),
+        A.rows().alias("all_collections"),
+        F.count_if("absent").alias("absent_collections"),
+        F.count_if("present").alias("present_collections"),
     )
     return out.withColumn(
         "collections", united(" / ", F.col("all_collections"), F.col("present_collections"))
