@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from limnetic.plans import climate, effort, genetics, larvae, lengths
 
+from limnetic.session import written
+
 from .registry import step
 
 FROM_YEAR, YEAR, SKIP_YEAR, AFTER_YEAR = 1996, 2000, 1999, 1995
@@ -42,6 +44,12 @@ def fish(s) -> DataFrame:
     return genetics.genetics_master(s.specimen.drop("gp", "exp_n"), all_tows(s), s.species)
 
 
+def effort_and_fish(s) -> tuple[DataFrame, DataFrame]:
+    """The effort table, written once, and the identified fish joined to it."""
+    effort_rows = written(all_tows(s), "effort")
+    return effort_rows, genetics.genetics_master(s.specimen.drop("gp", "exp_n"), effort_rows, s.species)
+
+
 def ids(s) -> DataFrame:
     return genetics.named_ids(s.specimen.drop("gp", "exp_n"), s.species)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from limnetic.plans import genetics, larvae, lengths
+from limnetic.session import written
 
 from . import base
 from .registry import fix, query, step
@@ -125,12 +126,14 @@ def yolk_lengths_sql(extra: str) -> str:
 
 @query("yolk_lengths", yolk_lengths_sql(""))
 def _(s):
-    return fix(genetics.yolk_lengths(base.fish(s), base.all_tows(s)))
+    effort, fish = base.effort_and_fish(s)
+    return fix(genetics.yolk_lengths(fish, effort))
 
 
 @query("yolk_lengths_species", yolk_lengths_sql("genetics_name,"))
 def _(s):
-    return fix(genetics.yolk_lengths(base.fish(s), base.all_tows(s), by_species=True))
+    effort, fish = base.effort_and_fish(s)
+    return fix(genetics.yolk_lengths(fish, effort, by_species=True))
 
 
 def yolk_sql(source: str, name: str) -> str:
@@ -283,12 +286,14 @@ def weekly_sql(extra: str) -> str:
 
 @query("weekly_lengths", weekly_sql(""))
 def _(s):
-    return fix(lengths.weekly_lengths(s.specimen, base.tows(s), s.species))
+    effort = written(base.tows(s), "effort")
+    return fix(lengths.weekly_lengths(s.specimen, effort, s.species))
 
 
 @query("weekly_lengths_yolk", weekly_sql("f.yolk_sac,"))
 def _(s):
-    return fix(lengths.weekly_lengths(s.specimen, base.tows(s), s.species, by_yolk=True))
+    effort = written(base.tows(s), "effort")
+    return fix(lengths.weekly_lengths(s.specimen, effort, s.species, by_yolk=True))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from limnetic.plans import climate, effort, genetics, lengths, reports
 from limnetic.operators.statistics import regression_summary
+from limnetic.session import written
 from limnetic.sources.files import polygon_vertices
 from limnetic.functions import geo
 
@@ -391,9 +392,10 @@ step(
 )
 
 
-def monthly_dd(s):
+def monthly_dd(s, rows=None):
     months = reports.monthly_density(base.density(s)).filter(F.col("month_long").isin(*reports.SUMMER))
-    return climate.dd_vs_length(base.degree_days(s), months, reports.length_months(base.length_rows(s)))
+    rows = rows if rows is not None else base.length_rows(s)
+    return climate.dd_vs_length(base.degree_days(s), months, reports.length_months(rows))
 
 
 @query(
@@ -437,7 +439,9 @@ step(
     UNION ALL {summary_sql("o_dd_day", "surfdd", "mean_l", extra="'day' AS model,")}""",
 )
 def _(s):
-    return rounded_summary(climate.dd_regressions(monthly_dd(s), base.length_rows(s), base.degree_days(s)))
+    rows = written(base.length_rows(s).select("date", "year", "month_long", "length"), "lengths")
+    days = base.degree_days(s)
+    return rounded_summary(climate.dd_regressions(monthly_dd(s, rows), rows, days))
 
 
 @query("regression_summary", summary_sql("o_lengths", "jday", "length", "year"))

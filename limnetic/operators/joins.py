@@ -54,19 +54,20 @@ def spread_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    hot_share: float = 0.001,
-    hot_rows: int = 100_000,
+    rows_per_part: int = 1_000_000,
+    most_keys: int = 1000,
 ) -> DataFrame:
     """Natural join of many left rows to one right row per key, with hot keys split.
 
-    A key that holds more than ``hot_share`` of all left rows is cut into parts:
-    each of its left rows goes to the part its own hash names, and its right row
-    is copied to every part. There are at most ``1 / hot_share`` such keys, so
-    their list is broadcast. Rows and result stay exactly those of the plain join.
+    A key with more than ``rows_per_part`` left rows is cut into parts: each of
+    its left rows goes to the part its own hash names, and its right row is
+    copied to every part. The largest ``most_keys`` such keys are split, so the
+    list is bounded and broadcast; the result is that of the plain join whatever
+    the list holds.
     """
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.greatest(counts.agg(F.sum("_n")).scalar() * hot_share, F.lit(float(hot_rows)))
-    hot = counts.filter(F.col("_n") > size).select(key, F.ceil(F.col("_n") / size).alias("_parts"))
+    hot = counts.filter(F.col("_n") > rows_per_part).orderBy(F.desc("_n"), key).limit(most_keys)
+    hot = hot.select(key, F.ceil(F.col("_n") / rows_per_part).alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     own = F.pmod(F.xxhash64(*left.columns), parts)
     salted = natural_join(left, hot, "left", [key], bounded=True)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from limnetic.session import written
+
 from .joins import natural_join
 
 
@@ -47,12 +49,15 @@ def smooth_local(
         .withColumn("_g", F.lit(0))
     )
     keys = ["_g", *keys]
-    span_rows = cells.groupBy(*keys).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.floor(F.sum("_n") * span).alias("_k")
-    )
-    grid = natural_join(cells, span_rows, "left", keys).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    axis = W.partitionBy(*keys)
+    cells = cells.withColumns(
+        {
+            "_lo": F.min("_x").over(axis),
+            "_hi": F.max("_x").over(axis),
+            "_k": F.floor(F.sum("_n").over(axis) * span),
+        }
     )
+    grid = cells.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("x", c("_lo") + (c("_hi") - c("_lo")) * c("point") / (points - 1))
     grid = grid.withColumn("_d", F.abs(c("_x") - c("x")))
 
@@ -106,22 +111,33 @@ def density_ridges(
     The bandwidth is the mean of the facet's group bandwidths. Values are spread
     linearly onto the grid first, so the kernel sum costs grid times grid per
     group however many rows there are. Curve points below ``min_height`` of the
-    facet's highest point are left out. The group's median stands beside.
+    facet's highest point are left out. The group's median stands beside. The
+    counted values and the group figures are written once, as several steps use them.
     """
     c = F.col
+    keys = [facet, group]
     values = (
         df.filter(c(x).isNotNull())
-        .groupBy(facet, group, c(x).cast("double").alias("_x"))
+        .groupBy(*keys, c(x).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    values = written(values, "values")
     quart = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
-    per_group = df.filter(c(x).isNotNull()).groupBy(facet, group).agg(
-        F.count(F.lit(1)).alias("_total"), F.stddev_samp(c(x).cast("double")).alias("_sd")
+    per_group = values.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"),
+        (F.sum(c("_n") * c("_x")) / F.sum("_n")).alias("_mean"),
+        F.min("_x").alias("_lo"),
+        F.max("_x").alias("_hi"),
+        quart.alias("_q"),
     )
-    quarts = values.groupBy(facet, group).agg(quart.alias("_q"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    per_group = natural_join(per_group, quarts, "left", [facet, group]).withColumn(
-        "_bw", bandwidth_nrd0(c("_total"), F.coalesce("_sd", F.lit(0.0)), c("_q")[0], c("_q")[2])
+    off = c("_x") - c("_mean")
+    spread = natural_join(values, per_group.select(*keys, "_mean"), "left", keys)
+    spread = spread.groupBy(*keys).agg(F.sum(c("_n") * off * off).alias("_ss"))
+    sd = F.sqrt(F.try_divide(c("_ss"), F.nullif(c("_total") - 1, F.lit(0))))
+    per_group = natural_join(per_group, spread, "left", keys).withColumn(
+        "_bw", bandwidth_nrd0(c("_total"), F.coalesce(sd, F.lit(0.0)), c("_q")[0], c("_q")[2])
     )
+    per_group = written(per_group, "groups")
     panel = per_group.groupBy(facet).agg(
         F.avg("_bw").alias("_h"), F.min("_lo").alias("_min"), F.max("_hi").alias("_max")
     )
@@ -140,18 +156,17 @@ def density_ridges(
         F.struct((c("_cell") + 1).alias("i"), (c("_n") * part).alias("m")),
     )
     mass = (
-        placed.select(facet, group, "_h", "_from", "_step", F.explode(both).alias("_s"))
-        .groupBy(facet, group, "_h", "_from", "_step", c("_s.i").alias("_i"))
+        placed.select(*keys, "_h", "_from", "_step", F.explode(both).alias("_s"))
+        .groupBy(*keys, "_h", "_from", "_step", c("_s.i").alias("_i"))
         .agg(F.sum("_s.m").alias("_m"))
     )
     curve = mass.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     z = (c("point") - c("_i")) * c("_step") / c("_h")
     kernel = F.exp(-z * z / 2) / (c("_h") * math.sqrt(2 * math.pi))
-    curve = curve.groupBy(facet, group, "_from", "_step", "point").agg(F.sum(c("_m") * kernel).alias("_k"))
-    sizes = per_group.select(facet, group, "_total", c("_q")[1].alias("median"))
-    curve = natural_join(curve, sizes, "left", [facet, group]).withColumn("density", c("_k") / c("_total"))
-    peak = curve.groupBy(facet).agg(F.max("density").alias("_peak"))
-    curve = natural_join(curve, peak, "left", [facet])
+    curve = curve.groupBy(*keys, "_from", "_step", "point").agg(F.sum(c("_m") * kernel).alias("_k"))
+    sizes = per_group.select(*keys, "_total", c("_q")[1].alias("median"))
+    curve = natural_join(curve, sizes, "left", keys).withColumn("density", c("_k") / c("_total"))
+    curve = curve.withColumn("_peak", F.max("density").over(W.partitionBy(facet)))
     return curve.filter(c("density") >= min_height * c("_peak")).select(
         facet, group, "point", (c("_from") + c("point") * c("_step")).alias("x"), "density", "median"
     )

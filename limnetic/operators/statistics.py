@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from limnetic.functions.dist import p_from_f, p_from_q, p_from_t, q_critical, stars, t975
 from limnetic.functions.scalars import half_even, united
 
+from limnetic.session import written
+
 from .joins import natural_join
 
 
@@ -150,9 +152,10 @@ def with_f_p(table: DataFrame) -> DataFrame:
 def tukey_pairs(df: DataFrame, keys: Sequence[str], factor: str, y: str) -> DataFrame:
     """Differences between the level means of each group, with SE, q and df.
 
-    The pairing is between levels (months, years), not rows.
+    The pairing is between levels (months, years), not rows; the few level rows
+    are written once for its two sides.
     """
-    cells = level_cells(df, keys, factor, y)
+    cells = written(level_cells(df, keys, factor, y), "cells")
     group = W.partitionBy(*keys)
     cells = cells.withColumns(
         {

@@ -19,6 +19,7 @@ from limnetic.operators.joins import (
     with_group_size,
 )
 from limnetic.operators.reshape import first_per_key, pivot_counts
+from limnetic.session import written
 from limnetic.sources.files import append_all
 
 NAMES = ("Bloater", "Cisco", "Kiyi", "Shortnose Cisco", "Lake Whitefish", "ciscoe hybrid")
@@ -82,6 +83,22 @@ def strain_sites(specimen: DataFrame, effort: DataFrame, cut: float = 0.7) -> Da
     )
 
 
+def sampled_catch(density: DataFrame, year: int, out: str = "fish") -> DataFrame:
+    """Unidentified larvae and empty tows of one year per day and site, with position.
+
+    The position is that of the first row of any species there.
+    """
+    wanted = F.col("species").isin(217, 0)
+    sampled = aggregate_with_first(
+        density.filter(F.col("year") == year),
+        ["date", "location"],
+        [F.sum(F.when(wanted, F.col("fish"))).alias(out), F.count_if(wanted).alias("_rows")],
+        ["tow_time", "species", "op_id"],
+        ["mid_lat", "mid_lon", "mid_depth"],
+    )
+    return sampled.filter(F.col("_rows") > 0).drop("_rows")
+
+
 def collections(density: DataFrame, specimen: DataFrame, effort: DataFrame, year: int) -> DataFrame:
     """Larval catch of one year and age-0 counts per site and day, with life stage.
 
@@ -90,17 +107,11 @@ def collections(density: DataFrame, specimen: DataFrame, effort: DataFrame, year
     c = F.col
     place = ["mid_lat", "mid_lon", "mid_depth"]
     keys = ["date", "location"]
-    in_year = density.filter(c("year") == year)
-    larval = (
-        in_year.filter(c("species").isin(217, 0)).groupBy(*keys).agg(F.sum("fish").alias("fish"))
-    )
-    first = in_year.select(*keys, "tow_time", "species", "op_id", *place)
-    larval = join_first(larval, first, keys, ["tow_time", "species", "op_id"])
-    larval = larval.withColumn("gear", F.lit("Neuston"))
+    larval = sampled_catch(density, year).withColumn("gear", F.lit("Neuston"))
 
     ids = specimen.filter(c("genetics").isNotNull())
     per_tow = ids.groupBy("op_id").agg(F.count_if(c("length") <= 150).alias("n"))
-    tows = per_tow.join(effort.select("op_id", "gear", *keys, *place), "op_id")
+    tows = written(per_tow.join(effort.select("op_id", "gear", *keys, *place), "op_id"), "tows")
     young = tows.filter((c("gear") != "Neuston") & (c("n") > 0))
     age0 = young.groupBy(*keys).agg(F.sum("n").alias("fish"))
     age0 = join_first(age0, tows.select("op_id", "location", *place), ["location"], ["op_id"])
@@ -146,7 +157,8 @@ def species_composition(ids: DataFrame, effort: DataFrame, year: int) -> DataFra
     wide = pivot_counts(both, ["op_id"], "genetics_name", [*NAMES, *[f"small {n}" for n in NAMES]])
     wide = wide.withColumnsRenamed({n: snake(n) for n in wide.columns})
     place = ["date", "tow_time", "location", "mid_lat", "mid_lon"]
-    tows = natural_join(wide, effort.select("op_id", "gear", "year", *place), "left", ["op_id"])
+    effort = written(effort.select("op_id", "gear", "year", *place), "effort")
+    tows = written(natural_join(wide, effort, "left", ["op_id"]), "tows")
 
     everything = tows.select("op_id", *names, *place)
     age0 = tows.filter((c("gear") != "Neuston") & (c("year") == year)).select(

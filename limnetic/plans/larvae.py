@@ -11,10 +11,11 @@ from limnetic.functions import scalars
 from limnetic.functions.calendar import week_of_year, weekday
 from limnetic.operators import aggregates as A
 from limnetic.operators.columns import fill_missing_zero, level_number
-from limnetic.operators.joins import join_first, lookup_join, natural_join
+from limnetic.operators.joins import lookup_join, natural_join
 from limnetic.operators.reshape import first_per_key, pivot_counts
 from limnetic.operators.statistics import mean_ci_normal
 
+from .genetics import sampled_catch
 from .lengths import LARVAL_SPECIES
 
 WEEKLY_SPECIES = (202, 203, 204, 206, 217)
@@ -64,12 +65,7 @@ def processing_backlog(density: DataFrame, counts: DataFrame, year: int, small:
     """
     c = F.col
     keys = ["date", "location"]
-    in_year = density.filter(c("year") == year)
-    collected = (
-        in_year.filter(c("species").isin(217, 0)).groupBy(*keys).agg(F.sum("fish").alias("collected"))
-    )
-    first = in_year.select(*keys, "tow_time", "species", "op_id", "mid_lat", "mid_lon")
-    collected = join_first(collected, first, keys, ["tow_time", "species", "op_id"])
+    collected = sampled_catch(density, year, "collected").drop("mid_depth")
     done = counts.filter(c("year") == year).groupBy(*keys).agg(F.sum("n").alias("processed"))
     both = natural_join(done, collected, "right", keys).select(
         *keys, "mid_lat", "mid_lon", "collected", "processed"

@@ -10,6 +10,7 @@ from limnetic.operators.aggregates import length_statistics, rows, strict
 from limnetic.operators.columns import with_levels
 from limnetic.operators.joins import join_first, lookup_join, natural_join, spread_join
 from limnetic.operators.statistics import growth_label, ols
+from limnetic.session import written
 
 LENGTH_SPECIES = (202, 203, 204, 206, 208, 210, 217, 218)
 LARVAL_SPECIES = (202, 204, 206, 217)
@@ -31,6 +32,7 @@ def annual_growth(lengths: DataFrame) -> DataFrame:
 
 
 def with_annual_growth(lengths: DataFrame) -> DataFrame:
+    lengths = written(lengths, "lengths")
     growth = annual_growth(lengths).drop("n")
     return natural_join(lengths, growth, "left", ["year"], bounded=True)
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnetic.functions.calendar import month_long
-from limnetic.functions.scalars import half_even, united
+from limnetic.functions.scalars import half_even, row_sum, united
 from limnetic.operators import aggregates as A
 from limnetic.operators.columns import across
-from limnetic.operators.joins import natural_join
+from limnetic.operators.joins import aggregate_with_first, natural_join
 from limnetic.operators.ordered import group_median
-from limnetic.operators.reshape import first_per_key, pivot_values, shares
+from limnetic.operators.reshape import first_per_key, pivot_values
 from limnetic.session import written
 
 from .effort import CISCOES, CISCOES_OR_NONE, offshore
@@ -79,6 +79,7 @@ def collections_by_year(density: DataFrame) -> DataFrame:
 
 
 def site_totals(density: DataFrame) -> DataFrame:
+    density = written(density.select("year", "location", "date", "tow_time", "species", "op_id"), "density")
     return natural_join(sites_by_year(density), collections_by_year(density), "left", ["year"])
 
 
@@ -101,21 +102,20 @@ def length_months(lengths: DataFrame) -> DataFrame:
 
 def length_summary(lengths: DataFrame) -> DataFrame:
     """Annual length statistics up to July with monthly means beside, to one digit."""
-    x = F.col("length")
-    annual = (
-        lengths.filter(F.col("month") <= 7)
-        .groupBy("year")
-        .agg(
-            A.rows().alias("n_l"),
-            F.avg(x).alias("mean_l"),
-            F.median(x).alias("median_l"),
-            F.min(x).alias("min_l"),
-            F.max(x).alias("max_l"),
-        )
+    early = F.when(F.col("month") <= 7, F.col("length"))
+    monthly = [
+        F.avg(F.when(F.col("month_long") == m, F.col("length"))).alias(f"{m.lower()}_l")
+        for m in ("May", "June", "July")
+    ]
+    out = lengths.groupBy("year").agg(
+        F.count_if(F.col("month") <= 7).alias("n_l"),
+        F.avg(early).alias("mean_l"),
+        F.median(early).alias("median_l"),
+        F.min(early).alias("min_l"),
+        F.max(early).alias("max_l"),
+        *monthly,
     )
-    wide = pivot_values(length_months(lengths), ["year"], "month_long", ["May", "June", "July"], "mean_l")
-    wide = wide.withColumnsRenamed({"May": "may_l", "June": "june_l", "July": "july_l"})
-    out = natural_join(annual, wide, "left", ["year"])
+    out = out.filter(F.col("n_l") > 0)
     return across(out, out.columns[2:], lambda c: half_even(c, 1).cast("double"))
 
 
@@ -155,30 +155,35 @@ def annual_summary(density: DataFrame, genetics: DataFrame, lengths: DataFrame)
 
 
 def station_means(density: DataFrame, min_samples: int = 2) -> DataFrame:
-    """Means across years per station up to July; one missing value voids a mean."""
+    """Means across years per station up to July; one missing value voids a mean.
+
+    The month label is that of the station's first row of all.
+    """
     c = F.col
-    months = first_per_key(
-        density.select("location", "date", "tow_time", "species", "op_id", "month_long"),
+    counted = c("species").isin(*CISCOES_OR_NONE) & (c("month") <= 7)
+    jday = F.when(counted, c("jday"))
+
+    def whole_mean(name):
+        x = F.when(counted, c(name))
+        return F.when(F.count(x) == F.count_if(counted), F.avg(x)).alias(name)
+
+    measures = ("mid_lat", "mid_lon", "shore_distance", "mid_depth", "fish_ha")
+    out = aggregate_with_first(
+        density,
         ["location"],
+        [
+            F.avg(jday).alias("jday_mean"),
+            F.median(jday).alias("jday_median"),
+            F.min(jday).alias("jday_min"),
+            F.max(jday).alias("jday_max"),
+            *[whole_mean(m) for m in measures],
+            F.count_if(counted).alias("samples"),
+        ],
         ["date", "tow_time", "species", "op_id"],
-    ).select("location", "month_long")
-    out = (
-        density.filter(c("species").isin(*CISCOES_OR_NONE) & (c("month") <= 7))
-        .groupBy("location")
-        .agg(
-            F.avg("jday").alias("jday_mean"),
-            F.median("jday").alias("jday_median"),
-            F.min("jday").alias("jday_min"),
-            F.max("jday").alias("jday_max"),
-            *[
-                A.strict(F.avg, c(x)).alias(x)
-                for x in ("mid_lat", "mid_lon", "shore_distance", "mid_depth", "fish_ha")
-            ],
-            A.rows().alias("samples"),
-        )
-        .withColumn("jday_range", c("jday_max") - c("jday_min"))
+        ["month_long"],
     )
-    return natural_join(out.filter(c("samples") >= min_samples), months, "left", ["location"])
+    out = out.withColumn("jday_range", c("jday_max") - c("jday_min"))
+    return out.filter(c("samples") >= min_samples)
 
 
 def station_date_ranges(stations: DataFrame) -> DataFrame:
@@ -194,33 +199,48 @@ def offshore_summary(density: DataFrame, after_year: int) -> DataFrame:
         *keys, "tow_time", "species", "op_id", "year", "month", "fish", "fish_ha"
     )
     once = first_per_key(kept, keys, ["tow_time", "species", "op_id"]).filter(F.col("month") < 8)
+    cells = once.groupBy("year", "month").agg(
+        A.rows().alias("n"), F.sum("fish").alias("fish"), F.sum("fish_ha").alias("s"), F.count("fish_ha").alias("k")
+    )
     parts = []
     for period in ("year", "month"):
-        part = once.groupBy(F.col(period).alias("value")).agg(
-            A.rows().alias("n"), F.sum("fish").alias("fish_sum"), F.avg("fish_ha").alias("fish_mean")
+        part = cells.groupBy(F.col(period).alias("value")).agg(
+            F.sum("n").alias("n"),
+            F.sum("fish").alias("fish_sum"),
+            F.try_divide(F.sum("s"), F.sum("k")).alias("fish_mean"),
         )
         parts.append(part.withColumn("period", F.lit(period)))
     return parts[0].unionByName(parts[1])
 
 
 def effort_pies(density: DataFrame, years: Sequence[int], months: Sequence[str] = SUMMER) -> DataFrame:
-    """Per site, how its sampling days divide over months and its years over the survey."""
-    first = first_per_key(
-        density.select("location", "date", "tow_time", "species", "op_id", "mid_lat", "mid_lon"),
+    """Per site, how its sampling days divide over months and its years over the survey.
+
+    One pass per site and day, one per site; all slices sit side by side until
+    the end.
+    """
+    days = aggregate_with_first(
+        density, ["location", "date"], [], ["tow_time", "species", "op_id"], ["mid_lat", "mid_lon"]
+    )
+    day = F.col("date")
+    slices = {("month", m): F.count_if(month_long(day) == m) for m in months}
+    slices |= {("year", str(y)): F.max((F.year(day) == y).cast("bigint")) for y in years}
+    wide = aggregate_with_first(
+        days,
         ["location"],
-        ["date", "tow_time", "species", "op_id"],
-    ).select("location", "mid_lat", "mid_lon")
-    days = density.select("location", "date").distinct()
-    parts = {
-        "month": (days.select("location", month_long(F.col("date")).alias("slice")), list(months)),
-        "year": (
-            days.select("location", F.year("date").cast("string").alias("slice")).distinct(),
-            [str(y) for y in years],
-        ),
-    }
-    out = None
-    for kind, (rows, slices) in parts.items():
-        wide = rows.groupBy("location").pivot("slice", slices).agg(A.rows()).fillna(0, slices)
-        pies = shares(wide, ["location"], slices).withColumn("kind", F.lit(kind))
-        out = pies if out is None else out.unionByName(pies)
-    return natural_join(out, first, "left", ["location"])
+        [n.alias("|".join(name)) for name, n in slices.items()],
+        ["date"],
+        ["mid_lat", "mid_lon"],
+    )
+    names = ["|".join(name) for name in slices]
+    out = {}
+    for kind in ("month", "year"):
+        own = [n for n in names if n.startswith(kind)]
+        total = row_sum(*[F.col(f"`{n}`") for n in own])
+        out |= {n: F.try_divide(F.col(f"`{n}`"), total) for n in own}
+    ids = ["location", "mid_lat", "mid_lon"]
+    long = wide.select(*ids, *[share.alias(n) for n, share in out.items()]).unpivot(
+        ids, [f"`{n}`" for n in names], "slice", "share"
+    )
+    kind, part = F.split("slice", r"\|")[0], F.split("slice", r"\|")[1]
+    return long.withColumns({"kind": kind, "part": part}).drop("slice")
