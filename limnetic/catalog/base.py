@@ -32,7 +32,7 @@ def density(s) -> DataFrame:
 
 def trawl_tows(s) -> DataFrame:
     trawled = s.tow.filter(F.col("tr_design") != SURFACE_DESIGN)
-    return effort.trawl_effort(effort.trawl_clean(trawled, s.trawl, s.site))
+    return effort.trawl_effort(trawled, s.trawl, s.site)
 
 
 def all_tows(s) -> DataFrame:

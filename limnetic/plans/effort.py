@@ -69,12 +69,16 @@ def bt_daily(bt: DataFrame, from_year: int) -> DataFrame:
     )
 
 
-def neuston_effort(tow: DataFrame, site: DataFrame) -> DataFrame:
-    """One row per tow."""
+def _effort(tows: DataFrame, site: DataFrame) -> DataFrame:
+    """First row per tow on the measured columns; lookups and date parts come after."""
     keep = ["op_id", "target", "date", "tow_time", "gear", "location", "mid_lat", "mid_lon", "mid_depth", "fishing_depth"]
-    once = first_per_key(neuston_tows(tow).select(*keep), ["op_id"], ["date", "tow_time"])
-    sited = lookup_join(once, site, "location", "shore_distance")
-    return with_calendar(sited, "date").select(*EFFORT)
+    once = first_per_key(tows.select(*keep), ["op_id"], ["date", "tow_time"])
+    return with_calendar(lookup_join(once, site, "location", "shore_distance"), "date").select(*EFFORT)
+
+
+def neuston_effort(tow: DataFrame, site: DataFrame) -> DataFrame:
+    """One row per surface tow."""
+    return _effort(neuston_tows(tow), site)
 
 
 def effort_table(tow: DataFrame, site: DataFrame, daily: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def offshore(density: DataFrame, after_year: int) -> DataFrame:
     return density.filter((target == 2) | (target == 118) | special)
 
 
-def trawl_clean(tow: DataFrame, trawl: DataFrame, site: DataFrame) -> DataFrame:
+def trawl_tows(tow: DataFrame, trawl: DataFrame) -> DataFrame:
     """Trawl tows: sentinels to missing, states recoded, depths and temperatures averaged."""
     c = F.col
     zeros = ["fishing_depth_raw", "surf_temp", "beg_surf", "end_surf", "beg_bottom", "end_bottom"]
@@ -131,12 +135,18 @@ def trawl_clean(tow: DataFrame, trawl: DataFrame, site: DataFrame) -> DataFrame:
     depth: Column = F.when(c("gear") == "Bottom trawl", c("mid_depth")).when(
         c("gear") == "Mid-water trawl", c("fishing_depth_raw")
     )
-    joined = joined.withColumns({"fishing_depth": depth, "country": scalars.country(c("state"))})
-    return with_calendar(lookup_join(joined, site, "location", "shore_distance"), "date")
+    return joined.withColumns({"fishing_depth": depth, "country": scalars.country(c("state"))})
+
+
+def trawl_clean(tow: DataFrame, trawl: DataFrame, site: DataFrame) -> DataFrame:
+    """Cleaned trawl tows with distance from shore and date parts."""
+    sited = lookup_join(trawl_tows(tow, trawl), site, "location", "shore_distance")
+    return with_calendar(sited, "date")
 
 
-def trawl_effort(clean: DataFrame) -> DataFrame:
-    return first_per_key(clean.select(*EFFORT), ["op_id"], ["date", "tow_time"])
+def trawl_effort(tow: DataFrame, trawl: DataFrame, site: DataFrame) -> DataFrame:
+    """One row per trawl tow."""
+    return _effort(trawl_tows(tow, trawl), site)
 
 
 def effort_union(trawl: DataFrame, neuston: DataFrame) -> DataFrame:
