@@ -170,8 +170,9 @@ def _poisson_case() -> str:
          (SELECT year, month_long, rep, sum(w * surface_t) / nullif(sum(w), 0) AS m FROM
            (SELECT *, {_poisson_case()} AS w FROM
              (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, rep, surface_t,
-                CAST('0x' || substr(md5(CAST(sample AS VARCHAR) || '|' || CAST(rep AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
-              FROM v_bt, generate_series(1, 50) r(rep) WHERE surface_t IS NOT NULL)) GROUP BY ALL) GROUP BY ALL) b
+                CAST('0x' || substr(md5(CAST(sample AS VARCHAR) || '|' || CAST(rep // 4 AS VARCHAR)), CAST(1 + 8 * (rep % 4) AS INT), 8) AS BIGINT)
+                  / 4294967296.0::DOUBLE AS u
+              FROM v_bt, generate_series(0, 49) r(rep) WHERE surface_t IS NOT NULL)) GROUP BY ALL) GROUP BY ALL) b
        USING (year, month_long)""",
 )
 def _(s):

@@ -227,23 +227,26 @@ def mean_ci_boot(
 
     Every row draws its own Poisson(1) weight per replicate from a hash of its
     id, so the draw does not depend on partitioning and survives a lost
-    executor. Replicates are summed on the map side; only (group, replicate)
-    sums are shuffled.
+    executor. One hash serves four replicates: each takes eight of its hex
+    digits, compared as text with the distribution function. Replicates are
+    summed on the map side; only (group, replicate) sums are shuffled.
     """
-    draw = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_id], F.col("rep").cast("string")))
-    u = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / 2**32
-    weight = sum(((u >= p).cast("int") for p in _poisson_points()), F.lit(0))
+    points = [f"{math.ceil(p * 2**32):08x}" for p in _poisson_points() if p * 2**32 < 2**32 - 1]
     base = df.filter(F.col(y).isNotNull()).select(*dict.fromkeys([*keys, *row_id]), F.col(y).alias("_y"))
-    sums = (
-        base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        .withColumn("_w", weight)
-        .groupBy(*keys, "rep")
-        .agg(F.sum(F.col("_w") * F.col("_y")).alias("s"), F.sum("_w").alias("w"))
+    draws = base.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in row_id], F.col("_four").cast("string"))
+    draws = draws.withColumn("_hash", F.md5(text))
+    parts = [F.substring("_hash", 1 + 8 * k, 8).alias(f"_u{k}") for k in range(4)]
+    draws = draws.select(*keys, "_y", "_four", *parts)
+    weights = {f"_w{k}": sum(((F.col(f"_u{k}") >= p).cast("int") for p in points), F.lit(0)) for k in range(4)}
+    draws = draws.withColumns(weights)
+    sums = draws.groupBy(*keys, "_four").agg(
+        *[F.try_divide(F.sum(F.col(f"_w{k}") * F.col("_y")), F.sum(f"_w{k}")).alias(f"_m{k}") for k in range(4)]
     )
-    bounds = (
-        sums.withColumn("m", F.try_divide("s", "w"))
-        .groupBy(*keys)
-        .agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
+    each = F.array(*[F.struct((F.col("_four") * 4 + k).alias("rep"), F.col(f"_m{k}").alias("m")) for k in range(4)])
+    means = sums.select(*keys, F.explode(each).alias("_r")).filter(F.col("_r.rep") < reps)
+    bounds = means.groupBy(*keys).agg(
+        F.percentile("_r.m", F.lit(0.025)).alias("lower"), F.percentile("_r.m", F.lit(0.975)).alias("upper")
     )
-    means = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
-    return natural_join(means, bounds, "left", keys)
+    plain = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
+    return natural_join(plain, bounds, "left", keys)

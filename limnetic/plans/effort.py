@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from limnetic.functions import scalars
 from limnetic.functions.calendar import with_calendar
 from limnetic.operators.aggregates import strict
-from limnetic.operators.joins import aggregate_with_first, lookup_join, natural_join
+from limnetic.operators.joins import lookup_join, natural_join
 from limnetic.operators.reshape import first_per_key
 from limnetic.sources.files import append_all
 
@@ -91,15 +91,20 @@ def catch_density(
 ) -> DataFrame:
     """The nets of one sample composited, in fish per hectare, with lookups.
 
-    Nets are summed per tow before anything is joined. A sample takes the
-    attributes of its first tow in the same pass that sums it.
+    Nets are summed per tow before anything is joined, and samples are summed on
+    their keys alone; the attributes of a sample's first tow are joined to the
+    finished sums, so wide rows are shuffled once per tow and not per catch row.
     """
     per_tow = catch.groupBy("op_id", "species").agg(strict(F.sum, F.col("n")).alias("fish"))
+    tows = neuston_tows(tow)
+    place = ["date", "tow_time", "location"]
+    composite = (
+        per_tow.join(tows.select("op_id", *place), "op_id", "left")
+        .groupBy(*place, "species")
+        .agg(strict(F.sum, F.col("fish")).alias("fish"), F.min("op_id").alias("op_id"))
+    )
     keep = ["op_id", "target", "gear", "mid_lat", "mid_lon", "mid_depth", "fishing_depth", "distance"]
-    tows = neuston_tows(tow).select("date", "tow_time", "location", *keep)
-    sample = ["date", "tow_time", "location", "species"]
-    fish = strict(F.sum, F.col("fish")).alias("fish")
-    composite = aggregate_with_first(per_tow.join(tows, "op_id", "left"), sample, [fish], ["op_id"], keep)
+    composite = natural_join(composite, tows.select(*keep), "left", ["op_id"])
     composite = composite.withColumn(
         "fish_ha", scalars.fish_per_hectare(F.col("fish"), F.col("distance"))
     ).drop("distance")

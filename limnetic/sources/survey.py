@@ -95,22 +95,35 @@ SELECT s_nationkey AS grp, s_suppkey AS vertex_id,
 FROM {supplier}""",
 }
 
-TABLES = ("customer", "orders", "lineitem", "events", "supplier")
+# Declared schemas: reading needs no pass over file footers.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+TABLES = tuple(SCHEMAS)
 
 
 class Survey:
     """Survey tables over one folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self._views = spark, root, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name]
-        frames = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
-        return self.spark.sql(text, **frames)
+        if name not in self._views:
+            text = VIEWS[name]
+            frames = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
+            self._views[name] = self.spark.sql(text, **frames)
+        return self._views[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if "v_" + name in VIEWS:

@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as entry
 import check
 
+PYTHON = {"regression_pvalue", "anova_pvalue", "tukey_pvalue", "grouped_map_udf"}
+
 
 @pytest.fixture(scope="module")
 def con(small):
@@ -13,7 +15,12 @@ def con(small):
 
 @pytest.mark.parametrize("key", list(entry.queries()))
 def test_query(spark, con, small, key):
-    state, rows, note = check.compare(spark, con, small, key)
+    df = entry.queries()[key](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    if key not in PYTHON:
+        assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
+    state, rows, note = check.compare_frame(df, con, key)
     assert state in ("ok", "rows"), note
     assert rows > 0
     assert not note, note

@@ -126,14 +126,6 @@ def plan(spark, small, key):
     return entry.queries()[key](spark, small)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
-def test_no_cross_join(spark, small, key):
-    text = plan(spark, small, key)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if not key.endswith("pvalue") and key not in ("grouped_map_udf", "regression_tree", "tree_cv_table"):
-        assert "Python" not in text and "Pandas" not in text and "ArrowEval" not in text
-
-
 def test_species_lookup_is_broadcast(spark, small):
     assert "BroadcastHashJoin" in plan(spark, small, "lookup_join")
 
