@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +36,11 @@ def natural_join(
     if keys is not None and set(keys) != set(shared):
         raise ValueError(f"expected to join on {sorted(keys)}, tables share {sorted(shared)}")
     l, r = left.alias("l"), (F.broadcast(right) if bounded else right).alias("r")
-    same = reduce(and_, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in shared])
+    same = " AND ".join(f"l.`{c}` <=> r.`{c}`" for c in shared)
     key_side = "r" if how == "right" else "l"
-    out = [F.col(f"{key_side if c in shared else 'l'}.`{c}`") for c in left.columns]
-    out += [F.col(f"r.`{c}`") for c in right.columns if c not in shared]
-    return l.join(r, same, how).select(*out)
+    out = [f"{key_side if c in shared else 'l'}.`{c}`" for c in left.columns]
+    out += [f"r.`{c}`" for c in right.columns if c not in shared]
+    return l.join(r, F.expr(same), how).selectExpr(*out)
 
 
 def lookup_join(left: DataFrame, dim: DataFrame, key: str, *columns: str) -> DataFrame:

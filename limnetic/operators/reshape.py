@@ -18,9 +18,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     rest = [c for c in rest if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
-    low = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
-    where = {c: F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns}
-    return low.select(*where.values())
+    row = F.expr("min(struct(" + ", ".join(f"`{c}`" for c in rest) + "))")
+    low = df.groupBy(*keys).agg(row.alias("_row"))
+    return low.selectExpr(*[f"`{c}`" if c in keys else f"_row.`{c}` AS `{c}`" for c in df.columns])
 
 
 def pivot_counts(
