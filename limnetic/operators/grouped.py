@@ -25,7 +25,7 @@ def grouped_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     schema = cells.select(*keys).schema
     schema = schema.add("n", T.LongType()).add("intercept", T.DoubleType()).add("slope", T.DoubleType())
 
-    def line(group, cell: pd.DataFrame) -> pd.DataFrame:
+    def line(group: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         w, x_, sy = (cell[c].to_numpy(float) for c in ("w", "x", "sy"))
         mean_x, mean_y = np.average(x_, weights=w), sy.sum() / w.sum()
         sxx = (w * (x_ - mean_x) ** 2).sum()
