@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,15 @@ def hashed(*parts: Column | str, digits: int = 13) -> Column:
 def small_join(left: DataFrame, right: DataFrame, on: Column, right_bytes: int, how: str) -> DataFrame:
     """Broadcast ``right`` if its measured size allows, else leave the join to skew splitting."""
     return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)
+
+
+# Bytes of one slice of rows that Python code handles at once; a longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def arrow_batches(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes, so that what is made of them stays small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

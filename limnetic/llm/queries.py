@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnetic.llm import exact, mixing, quality, secrets
+import public_tokenizers
+
+from limnetic.llm import bpe, exact, mixing, quality, secrets, wavelet
 from limnetic.llm.common import table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
 
+VOCABULARY = "word_bpe_49k.json"
+
 # The target mixture: the catch-all source at three shares, every other source at one.
 MIXTURE = {"src0": 3.0}
 
@@ -48,6 +52,14 @@ def op2(spark, root):
     return mixing.mix_sources(docs, MIXTURE)
 
 
+@query("op3_word_bpe")
+def op3(spark, root):
+    found = bpe.encode_decode(table(spark, root, "documents"), public_tokenizers.path(VOCABULARY))
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
@@ -140,3 +152,10 @@ def op7(spark, root):
     return found.select(
         "doc_id", *map(of, secrets.BASE), F.sha2(base, 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans")
     )
+
+
+@query("op8_wavelet_shards")
+def op8(spark, root):
+    folder = shared_path(spark, "wavelet-shards")
+    wavelet.write_shards(table(spark, root, "documents"), folder, public_tokenizers.path(VOCABULARY))
+    return wavelet.read_shards(spark, folder)
