@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from limnetic.llm import bpe, exact, mixing, quality, secrets, wavelet
-from limnetic.llm.common import table
+from limnetic.llm import bpe, exact, language, mixing, quality, secrets, wavelet
+from limnetic.llm.common import remainder, table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
 
@@ -118,6 +118,18 @@ def op5(spark, root):
     return quality.quality(table(spark, root, "documents"))
 
 
+@query("op6_language_id")
+def op6(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    fold = remainder("doc_id", 4)
+    filters = language.fit_filters(docs, fold != 2)
+    judged = language.identify(docs.select("doc_id", "text"), filters)
+    return judged.select(
+        "doc_id", (fold == 2).alias("held_out"), F.col("language_id.language").alias("lang_pred"), F.col("language_id.score").alias("score"),
+        F.col("language_id.coverage").alias("coverage"),
+    )
+
+
 def secrets_sql() -> str:
     """Gaps and matches as in ``secrets.kind_spans``, summed up in SQL."""
     parts = []
