@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from limnetic.llm import bpe, exact, language, mixing, quality, secrets, wavelet
+from limnetic.llm import bpe, exact, language, mixing, quality, secrets, toxicity, wavelet
 from limnetic.llm.common import remainder, table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
@@ -16,6 +16,17 @@ VOCABULARY = "word_bpe_49k.json"
 # The target mixture: the catch-all source at three shares, every other source at one.
 MIXTURE = {"src0": 3.0}
 
+
+@query("op1_toxicity_cnn")
+def op1(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    fold = remainder("doc_id", 5)
+    model = toxicity.fit_toxicity(docs, table(spark, root, "labels"), fold != 0)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    score = F.col("toxicity")
+    return scored.select("doc_id", (fold == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 MIXING_SQL = """
 WITH sources AS (
   SELECT source, count(*) AS n, CASE WHEN source = 'src0' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w
