@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from limnetic.llm import bpe, exact, language, mixing, quality, secrets, toxicity, wavelet
+from limnetic.llm import bpe, exact, language, minhash, mixing, quality, secrets, toxicity, wavelet
 from limnetic.llm.common import remainder, table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
@@ -182,3 +182,30 @@ def op8(spark, root):
     folder = shared_path(spark, "wavelet-shards")
     wavelet.write_shards(table(spark, root, "documents"), folder, public_tokenizers.path(VOCABULARY))
     return wavelet.read_shards(spark, folder)
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 2], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), low AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN low ON a = doc_id
+"""
+
+
+@query("op9_circulant_minhash", NEAR_SQL)
+def op9(spark, root):
+    return minhash.near_duplicates(table(spark, root, "documents"), words=3, least=(85, 100))
