@@ -30,10 +30,11 @@ def kind_spans(text: Column, rank: int) -> Column:
     """Spans of one rule's matches, in code points with the end exclusive, leftmost and not overlapping.
 
     Consecutive pairs of (gap, match) cover the text from its start, so that the lengths
-    of both, summed, are the positions.
+    of both, summed, are the positions. Each pair begins where the last one ended, so
+    that what follows the last match is read once.
     """
     kind, pattern, least, group = RULES[rank]
-    pair = f"(?s)(.*?)({pattern})"
+    pair = rf"(?s)\G(.*?)({pattern})"
     gaps, found = (F.regexp_extract_all(text, F.lit(pair), F.lit(g)) for g in (1, 2))
     counted = F.regexp_extract_all(text, F.lit(pair), F.lit(2 + group))
     steps = F.zip_with(
