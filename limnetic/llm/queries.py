@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from limnetic.llm import bpe, exact, language, minhash, mixing, quality, secrets, toxicity, wavelet
+from limnetic.llm import bpe, exact, language, lattice, minhash, mixing, quality, secrets, toxicity, wavelet
 from limnetic.llm.common import remainder, table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
@@ -209,3 +209,10 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN low ON a = doc_id
 @query("op9_circulant_minhash", NEAR_SQL)
 def op9(spark, root):
     return minhash.near_duplicates(table(spark, root, "documents"), words=3, least=(85, 100))
+
+
+@query("op10_subword_lattice")
+def op10(spark, root):
+    fold = remainder("doc_id", 7)
+    scored = lattice.lattice_scores(table(spark, root, "documents"), fold != 2, public_tokenizers.path(VOCABULARY))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
