@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnetic.llm.common import SPACE, whole
+from limnetic.llm.common import SPACE, small_join, whole
 from limnetic.session import written
 
 # Quotients of one slice of the filters; the number of slices follows the rows.
@@ -152,3 +152,20 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``exact_groups`` does not keep; all columns stay.
+
+    Of rows alike in key and text one stays, whatever their other columns.
+    """
+    found = written(exact_groups(docs, key, text), "exact-groups")
+    gone = found.where(~F.col("kept"))
+    again = gone.where(F.col(key).eqNullSafe(F.col("keep_id")))
+    dropped = gone.where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(normalised(text), 256)
+    same = (sha == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_id"))
+    rest = small_join(docs, dropped, same, 96 * dropped.count(), "left_anti")
+    if again.isEmpty():
+        return rest
+    return rest.withColumn("_sha", sha).dropDuplicates([key, "_sha"]).drop("_sha")
