@@ -145,6 +145,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     one_text = F.when(F.col("texts") == 1, F.col("size")).otherwise(F.raise_error(F.lit("two texts share one digest")))
     groups = groups.join(verified, ["fp", "sha"]).select("fp", "sha", "first", one_text.alias("size"))
+    # Written, so that the join's sides are both dealt out alone and hot groups can be split.
+    groups = written(groups, "exact-classes")
     return prints.join(groups, ["fp", "sha"], "left").select(
         F.col("id").alias(key),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
