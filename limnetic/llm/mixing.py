@@ -76,7 +76,7 @@ def mix_sources(
     rates, size = source_rates(docs, weights, default_weight, total, source)
     parts = F.ceil(F.col("_rate") / PART_MEAN).cast("int")
     rates = rates.withColumn("_parts", parts).where("_parts > 0").select(
-        "_source", "_parts", poisson_table(F.col("_rate") / F.col("_parts")).alias("_table")
+        "_source", "_parts", poisson_table(F.col("_rate") / F.greatest(F.col("_parts"), F.lit(1))).alias("_table")
     )
     joined = small_join(docs, rates, F.col(source).cast("string").eqNullSafe(F.col("_source")), size, "inner")
 
