@@ -19,9 +19,10 @@ from limnetic.session import written
 MISS = 1e-6
 # Signatures have at most so many coordinates; the rows of a band are as many as that allows.
 COORDINATES = 192
-# A bucket's pairs are compared at once while they are at most so many for each member;
-# other buckets are divided further.
-PAIRS_PER_MEMBER = 24
+# The bands that are looked at first, to unite most of each family of near copies.
+FIRST_BANDS = 4
+# Set elements that one block of a group holds; larger groups are cut into blocks.
+BLOCK_ELEMENTS = 1 << 21
 # Values hashed together, so that they stay in a core's cache.
 BLOCK = 1 << 14
 
@@ -55,8 +56,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def signatures(sets: list[np.ndarray], first: int, coordinates: int) -> np.ndarray:
-    """Coordinates ``first`` and on of each non-empty set: (sets, coordinates).
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """The signature of each non-empty set: (sets, coordinates).
 
     A first permutation scatters the hashes over a circle of 2^32 places. Coordinate k is
     the least value that a second permutation has over the places turned by k.
@@ -72,7 +73,7 @@ def signatures(sets: list[np.ndarray], first: int, coordinates: int) -> np.ndarr
         places = (mixed64(np.concatenate(sets[at:stop])) >> np.uint64(32)).astype(np.uint32)
         value, shifted = np.empty_like(places), np.empty_like(places)
         for k in range(coordinates):
-            np.subtract(places, np.uint32(first + k), out=value)
+            np.subtract(places, np.uint32(k), out=value)
             for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
                 np.right_shift(value, np.uint32(shift), out=shifted)
                 np.bitwise_xor(value, shifted, out=value)
@@ -84,10 +85,10 @@ def signatures(sets: list[np.ndarray], first: int, coordinates: int) -> np.ndarr
     return out
 
 
-def band_keys(sets: list[np.ndarray], first: int, bands: int, rows: int) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band, its number included: (sets, bands)."""
-    values = signatures(sets, first, bands * rows).reshape(len(sets), bands, rows).astype(np.uint64)
-    key = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64), values.shape[:2])
+    values = signatures(sets, bands * rows).reshape(len(sets), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), values.shape[:2])
     for j in range(rows):
         key = mixed64(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, j])
     return key
@@ -108,7 +109,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             keys = np.zeros((len(sets), bands), np.uint64)
             full = [i for i, s in enumerate(sets) if len(s)]
             if full:
-                keys[full] = band_keys([sets[i] for i in full], 0, bands, rows)
+                keys[full] = band_keys([sets[i] for i in full], bands, rows)
             yield pa.RecordBatch.from_pydict({
                 "key": batch["key"], "n": pa.array([len(s) for s in sets], pa.int64()), "set_a": digests[:, 0].copy(), "set_b": digests[:, 1].copy(),
                 "bands": _listed(keys),
@@ -130,25 +131,78 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, set array<long>")
 
 
-def _divided(members: DataFrame, sets: DataFrame, first: int, bands: int, rows: int) -> DataFrame:
-    """bucket, rep, n: the members of each bucket dealt to finer buckets by further coordinates."""
+def united(labels: np.ndarray, sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """(label, smallest label) of the labels that links between the full sets unite.
+
+    From one label's members the search goes on to all that any of them is linked with;
+    only sets that are not yet reached are compared, and all sets of a label are reached
+    together.
+    """
+    part, whole_ = least
+    sizes = np.array([len(x) for x in sets])
+    _, elements = np.unique(np.concatenate(sets), return_inverse=True)
+    stops = np.cumsum(sizes)
+    own = [elements[b - n : b] for b, n in zip(stops, sizes)]
+    marked = np.zeros(int(elements.max()) + 1, bool)
+    by_label: dict[int, list[int]] = {}
+    for i, label in enumerate(labels.tolist()):
+        by_label.setdefault(label, []).append(i)
+    left, out = dict(by_label), []
+    for seed in sorted(by_label):
+        if seed not in left:
+            continue
+        reached, frontier = [seed], list(left.pop(seed))
+        rest = None
+        while frontier and left:
+            if rest is None:
+                rest = np.array([i for members in left.values() for i in members])
+                packed = np.concatenate([own[i] for i in rest])
+                starts = np.cumsum(sizes[rest]) - sizes[rest]
+            x = frontier.pop()
+            marked[own[x]] = True
+            both = np.add.reduceat(marked[packed], starts, dtype=np.int64)
+            marked[own[x]] = False
+            linked = rest[whole_ * both >= part * (sizes[x] + sizes[rest] - both)]
+            for label in sorted({int(labels[i]) for i in linked}):
+                reached.append(label)
+                frontier.extend(left.pop(label))
+                rest = None
+        out += [(label, min(reached)) for label in reached if label != min(reached)]
+    return out
+
+
+def _united(rows: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """a, b: labels that links inside a group unite, the sets of a group compared in one task.
+
+    A group of many elements is cut into blocks by a hash, and each pair of blocks is a
+    task of its own, so that every two members still meet.
+    """
+    blocks = rows.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("own")
+    dealt = rows.join(blocks, "group").select("group", "rep", "label", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    place = ("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ready = dealt.join(sets, "rep").select(*place, "label", "set")
+    ready = ready.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
-            found = [np.array(s, np.int64).view(np.uint64) for s in batch["set"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "bands": _listed(band_keys(found, first, bands, rows))})
+        task, labels, found = None, [], []
 
-    finer = sets.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, "rep long, bands array<long>")
-    dealt = members.join(finer, "rep").select("rep", "n", "bucket", F.explode("bands").alias("band"))
-    return dealt.select(F.xxhash64("bucket", "band").alias("bucket"), "rep", "n")
+        def edges() -> list[tuple[int, int]]:
+            return united(np.array(labels), found, least) if len(set(labels)) > 1 else []
 
+        for batch in arrow_batches(batches):
+            out = []
+            for *key, label, values in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "label")), batch["set"]):
+                if key != task:
+                    out += edges()
+                    task, labels, found = key, [], []
+                labels.append(label)
+                found.append(values.values.to_numpy())
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        out = edges()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either: the sizes of intersection and union of the full sets of each pair."""
-    left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return joined.select("a", "b", both.alias("both")).join(pairs, ["a", "b"]).select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either"))
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,6 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """Labels after more edges, of all nodes that any edge has met."""
+    edges = written(edges.select("a", "b").distinct(), "near-united")
     if labels is not None:
         ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -186,43 +241,21 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
 def _linked_components(members: DataFrame, docs: DataFrame, words: int, least: tuple[int, int], extra: DataFrame) -> DataFrame | None:
     """Labels of the members of buckets, so that no link inside a bucket is lost.
 
-    Each round compares all members of a bucket with its smallest one. Buckets then in
-    one component are done. In the others, members of different components are compared
-    where that takes few pairs, and pairs are left out whose distances to the smallest
-    member differ by more than a link allows (the Jaccard distance is a metric); buckets
-    with many such pairs are divided by further coordinates, for the next round.
+    The members of a bucket belong to the group of the smallest label among them, and are
+    compared there on their full sets; a member stands once in a group, however many
+    buckets it shares with it. The first bands unite most of each family, after which
+    buckets in one component are left out and the others have few groups.
     """
-    part, whole_ = least
-    bands, rows = banding(part / whole_)
-    fits = lambda a, b: whole_ * F.least(a, b) >= part * F.greatest(a, b)
-    linked = whole_ * F.col("both") >= part * F.col("either")
     sets = written(_sets(docs, members.select("rep").distinct(), words), "near-sets")
-    labels, first, seen = _relabelled(None, extra), bands * rows, None
-    while not members.isEmpty():
-        first_of = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p"))
-        first_of = first_of.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("nb"))
-        starred = written(members.join(first_of, "bucket").where(F.col("rep") != F.col("b")), "near-starred")
-        pairs = starred.where(fits(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
-        stars = written(_verified(pairs, sets), "near-stars")
-        labels = _relabelled(labels, stars.where(linked))
-        if labels is None:
-            labels = members.sparkSession.createDataFrame([], "node long, label long")
-        # What is left: members but the first, with their components and distances to it.
-        left = starred.join(labels, starred.rep == labels.node, "left").select("bucket", "rep", "n", "b", F.coalesce("label", "rep").alias("label"))
-        left = left.join(stars.withColumnRenamed("a", "rep"), ["rep", "b"], "left")
-        left = left.select("bucket", "rep", "n", "label", (1 - F.col("both") / F.col("either")).alias("far"))
-        by_label = left.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        sums = by_label.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
-        sums = sums.withColumn("cross", (F.col("m") * F.col("m") - F.col("alike")) / 2).where("cross > 0")
-        left = written(left.join(sums.select("bucket", (F.col("cross") <= PAIRS_PER_MEMBER * F.col("m")).alias("few")), "bucket"), "near-left")
-        few, other = left.where("few").drop("few"), left.where("few").toDF("bucket", "rep_", "n_", "label_", "far_", "few_")
-        apart = F.coalesce(F.abs(F.col("far") - F.col("far_")) > 1 - part / whole_ + 1e-9, F.lit(False))
-        pairs = few.join(other, "bucket").where((F.col("rep") < F.col("rep_")) & (F.col("label") != F.col("label_")) & fits(F.col("n"), F.col("n_")) & ~apart)
-        pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_").alias("b"), F.col("n").alias("na"), F.col("n_").alias("nb")).distinct()
-        labels = _relabelled(labels, written(_verified(pairs, sets), "near-few").where(linked))
-        many = left.where("not few").select("bucket", "rep", "n")
-        members = written(_in_buckets(_divided(many, sets, first, bands, rows)), "near-members") if not many.isEmpty() else many.limit(0)
-        first += bands * rows
+    labels = _relabelled(None, extra)
+    for rows in (members.where(F.col("band") < FIRST_BANDS), members):
+        if labels is not None:
+            rows = rows.join(labels, rows.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep"))
+        else:
+            rows = rows.withColumn("label", F.col("rep"))
+        several = rows.groupBy("bucket").agg(F.min("label").alias("group"), F.max("label").alias("high")).where("group < high")
+        groups = rows.join(several.select("bucket", "group"), "bucket").select("group", "rep", "label", "n").distinct()
+        labels = _relabelled(labels, _united(written(groups, "near-groups"), sets, least))
     return labels
 
 
@@ -258,7 +291,7 @@ def near_duplicates(
     reps = written(reps.select("key", "n", F.when(F.col("key").isNotNull(), F.coalesce("rep", "key")).alias("rep")), "near-reps")
     twice = reps.where("key is not null").groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     extra = reps.join(twice, "key").select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    members = written(_in_buckets(classes.select("rep", "n", F.explode("bands").alias("bucket"))), "near-members")
+    members = written(_in_buckets(classes.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))), "near-members")
     labels = _linked_components(members, narrow, words, least, extra)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")

@@ -217,11 +217,11 @@ def test_near_loses_no_link(spark):
     for i in range(40):
         add(made(i, 40).split())
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    old = minhash.PAIRS_PER_MEMBER
-    for words, least, limit in ((3, (85, 100), old), (5, (80, 100), old), (3, (85, 100), 0.5)):
-        minhash.PAIRS_PER_MEMBER = limit
+    whole = minhash.BLOCK_ELEMENTS
+    for words, least, block in ((3, (85, 100), whole), (5, (80, 100), whole), (3, (85, 100), 900)):
+        minhash.BLOCK_ELEMENTS = block
         found = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, words=words, least=least).collect()}
-        minhash.PAIRS_PER_MEMBER = old
+        minhash.BLOCK_ELEMENTS = whole
         assert found == brute_components(texts, words, *least)
 
 
