@@ -12,8 +12,8 @@ from limnetic.session import written
 from .registry import step
 
 FROM_YEAR, YEAR, SKIP_YEAR, AFTER_YEAR = 1996, 2000, 1999, 1995
-YEARS = (1996, 1997, 1998, 2000, 2001)
-ICE_YEARS = tuple(f"y{y}" for y in range(1996, 2002))
+YEARS = (1995, 1996, 1997, 1998, 2000, 2001)
+ICE_YEARS = tuple(f"y{y}" for y in range(1995, 2002))
 SURFACE_DESIGN = 99  # tows of no trawl design are the surface tows
 
 

@@ -63,6 +63,25 @@ def _(s):
     return fix(fix(df, 1, "inlet_metres"), 4, "mid_lat", "mid_lon")
 
 
+step("o_strain_fish_points", "SELECT DISTINCT mid_lon, mid_lat FROM o_strain WHERE mid_lon IS NOT NULL")
+step("o_strain_fish_metres", _inlet("o_strain_fish_points"))
+
+
+@query(
+    "strain_fish",
+    """SELECT f.op_id, f.specimen_number, f.length, f.gp, t.year, t.location, R4(t.mid_lat) AS mid_lat, R4(t.mid_lon) AS mid_lon,
+       g.gpq, g.n, g.gpq || ', n=' || g.n AS label1, R1(m.metres) AS inlet_metres FROM v_specimen f LEFT JOIN o_tow t ON t.op_id = f.op_id
+       JOIN (SELECT gpq, count(*) AS n FROM (SELECT CASE WHEN gp >= 0.7 THEN 'Grand Portage strain Cisco' ELSE 'Typical Cisco' END AS gpq
+             FROM v_specimen WHERE genetics = 202 AND gp IS NOT NULL) GROUP BY gpq) g
+         ON g.gpq = CASE WHEN f.gp >= 0.7 THEN 'Grand Portage strain Cisco' ELSE 'Typical Cisco' END
+       LEFT JOIN o_strain_fish_metres m ON m.mid_lon = t.mid_lon AND m.mid_lat = t.mid_lat
+       WHERE f.genetics = 202 AND f.gp IS NOT NULL""",
+)
+def _(s):
+    df = genetics.strain_fish(s.specimen, base.tows(s))
+    return fix(fix(df, 1, "inlet_metres"), 4, "mid_lat", "mid_lon")
+
+
 step(
     "o_larval_catch",
     f"""SELECT a.*, b.mid_lat, b.mid_lon, b.mid_depth FROM
@@ -90,17 +109,19 @@ def _(s):
 _COUNTS = ", ".join(
     f"count(*) FILTER (genetics_name = '{n}') AS {genetics.snake(n)}" for n in genetics.NAMES
 )
-_TOTAL = " + ".join(genetics.snake(n) for n in genetics.NAMES)
+_OTHER = "count(*) FILTER (genetics_name IS NULL OR genetics_name NOT IN (" + ", ".join(f"'{n}'" for n in genetics.NAMES) + ")) AS other"
+_COUNTS = f"{_COUNTS}, {_OTHER}, count(*) AS total"
+_COLUMNS = ", ".join(f"c.{genetics.snake(n)}" for n in (*genetics.NAMES, "other", "total"))
 
 
 @query(
     "species_composition",
-    f"""SELECT c.*, {_TOTAL} AS total, e.date, e.tow_time, e.location, R4(e.mid_lat) AS mid_lat, R4(e.mid_lon) AS mid_lon FROM
+    f"""SELECT c.*, e.date, e.tow_time, e.location, R4(e.mid_lat) AS mid_lat, R4(e.mid_lon) AS mid_lon FROM
        (SELECT 'all' AS stage, op_id, {_COUNTS} FROM o_fish GROUP BY op_id UNION ALL
         SELECT 'age0', op_id, {_COUNTS} FROM o_fish WHERE gear <> 'Neuston' AND length <= 100 AND year = {YEAR} GROUP BY op_id) c
        LEFT JOIN o_all_effort e ON e.op_id = c.op_id
        UNION ALL
-       SELECT 'larvae', b.op_id, {", ".join("c." + genetics.snake(n) for n in genetics.NAMES)}, {_TOTAL}, c.date, c.tow_time, c.location,
+       SELECT 'larvae', b.op_id, {_COLUMNS}, c.date, c.tow_time, c.location,
          R4(b.mid_lat), R4(b.mid_lon) FROM
        (SELECT date, tow_time, location, {_COUNTS} FROM o_fish WHERE gear = 'Neuston' GROUP BY ALL) c
        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY date, tow_time, location ORDER BY op_id) AS k FROM o_all_effort WHERE gear = 'Neuston') b
@@ -166,6 +187,36 @@ def _(s):
     return fix(yolk(s))
 
 
+step(
+    "o_filtered_larvae",
+    "SELECT * FROM o_named_larvae WHERE species IN (202, 204, 206, 217) AND length IS NOT NULL",
+)
+step("o_yolk_filtered", yolk_sql("o_filtered_larvae", "common_name"))
+
+
+def filtered(s):
+    return larvae.sized_larvae(named(s))
+
+
+@query(
+    "yolk_proportion_filtered",
+    """SELECT date, common_name, y AS "Y", n AS "N", R4(yolks) AS yolks, op_id, location, week, year FROM o_yolk_filtered""",
+)
+def _(s):
+    return fix(genetics.yolk_proportion(filtered(s), base.tows(s), "common_name"))
+
+
+@query(
+    "yolk_presence",
+    """SELECT a.date, a.common_name, a.yolk_sac, a.n, CASE a.yolk_sac WHEN 'Y' THEN 'Present' WHEN 'N' THEN 'Absent' END AS yolk,
+       b.op_id, b.location, b.week, b.year FROM
+       (SELECT date, common_name, yolk_sac, count(*) AS n FROM o_filtered_larvae WHERE yolk_sac IS NOT NULL GROUP BY ALL) a
+       LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY date ORDER BY op_id) AS k FROM o_tow) b ON a.date = b.date AND b.k = 1""",
+)
+def _(s):
+    return genetics.yolk_presence(filtered(s), base.tows(s), "common_name")
+
+
 step("o_yolk_genetic", yolk_sql("o_fish", "genetics_name"))
 
 
@@ -191,7 +242,7 @@ def _(s):
     "id_agreement",
     """SELECT a.genetics_name, a.common_name, a.n, R6(a.n / sum(a.n) OVER (PARTITION BY a.genetics_name)) AS share,
        CAST(round(CAST(a.n / sum(a.n) OVER (PARTITION BY a.genetics_name) * 100 AS DECIMAL(28,10)), 1) AS VARCHAR) || '%' AS label,
-       b.group_size FROM (SELECT genetics_name, common_name, count(*) AS n FROM o_fish WHERE species <> 217 GROUP BY ALL) a
+       b.group_size FROM (SELECT genetics_name, common_name, count(*) AS n FROM o_fish WHERE species <> 217 AND genetics <> 217 GROUP BY ALL) a
        JOIN (SELECT genetics_name, count(*) AS group_size FROM o_fish WHERE species <> 217 GROUP BY ALL) b USING (genetics_name)""",
 )
 def _(s):
@@ -202,7 +253,7 @@ def _(s):
     "match_map",
     """SELECT op_id, genetics_name, count(*) FILTER (match = 'Yes') AS "Yes", count(*) FILTER (match = 'No') AS "No",
        count(*) AS fish, min(location) AS location, R4(min(mid_lat)) AS mid_lat, R4(min(mid_lon)) AS mid_lon,
-       R4(min(mid_depth)) AS mid_depth FROM o_fish WHERE species <> 217 GROUP BY op_id, genetics_name""",
+       R4(min(mid_depth)) AS mid_depth FROM o_fish WHERE species <> 217 AND genetics <> 217 GROUP BY op_id, genetics_name""",
 )
 def _(s):
     return fix(genetics.match_map(base.ids(s), base.all_tows(s)))
@@ -255,21 +306,52 @@ def _(s):
     return fix(df, 2, "intercept")
 
 
+def growth_fish_sql(source: str, extra: str) -> str:
+    return f"""SELECT f.op_id, f.specimen_number, f.genetics_name, f.date, f.length, g.slope, g.legend FROM {source} f
+       JOIN ({growth_sql(source, extra)}) g USING (genetics_name)
+       WHERE f.length IS NOT NULL AND f.year = {YEAR} AND ((f.length <= 80 AND f.month <= 7) OR f.month >= 8) AND ({extra})"""
+
+
+FISH_KEYS = ["op_id", "specimen_number", "genetics_name", "date", "length"]
+
+
+@query("species_growth_fish", growth_fish_sql("o_fish", "genetics IN (202, 204, 206) AND length < 140"))
+def _(s):
+    df = lengths.with_species_growth(base.fish(s).select(*FISH_KEYS, "genetics", "year", "month"), YEAR)
+    return df.select(*FISH_KEYS, "slope", "legend")
+
+
+@query(
+    "species_growth_trawl_fish",
+    growth_fish_sql("o_compared", "genetics IN (202, 204) OR (genetics = 206 AND length < 120)"),
+)
+def _(s):
+    rows = base.compared(s).select(*FISH_KEYS, "genetics", "year", "month")
+    df = lengths.with_species_growth(rows, YEAR, kiyi_below=120, all_below=None)
+    return df.select(*FISH_KEYS, "slope", "legend")
+
+
 STATS = """count(*) AS n, min(length) AS min_length, max(length) AS max_length, R4(avg(length)) AS mean_length,
   R4(median(length)) AS median_length, R4(stddev_samp(length)) AS sd_length, R4(stddev_samp(length) / sqrt(count(*))) AS se_length"""
 
 
-@query(
-    "daily_lengths",
-    f"""SELECT date, genetics_name, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month,
+def daily_sql(source: str, extra: str) -> str:
+    return f"""SELECT date, genetics_name, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month,
        CAST((dayofyear(date) - 1) // 7 + 1 AS INT) AS week, strftime(date, '%b') AS month_short, monthname(date) AS month_long,
-       strftime(date, '%b') || ' ' || day(date) AS date1, {STATS} FROM o_fish
-       WHERE genetics IN (202, 204, 206) AND length < 140 AND ((length <= 80 AND month <= 7) OR month >= 8) GROUP BY date, genetics_name""",
-)
+       strftime(date, '%b') || ' ' || day(date) AS date1, {STATS} FROM {source}
+       WHERE ({extra}) AND length IS NOT NULL AND ((length <= 80 AND month <= 7) OR month >= 8) GROUP BY date, genetics_name"""
+
+
+@query("daily_lengths", daily_sql("o_fish", "genetics IN (202, 204, 206) AND length < 140"))
 def _(s):
     return fix(lengths.daily_lengths(base.fish(s)))
 
 
+@query("daily_lengths_trawl", daily_sql("o_compared", "genetics IN (202, 204, 208) OR (genetics = 206 AND length < 120)"))
+def _(s):
+    return fix(lengths.daily_lengths(base.compared(s), codes=(202, 204, 208), kiyi_below=120, all_below=None))
+
+
 step(
     "o_tow_week_first",
     """SELECT year, week, date, op_id, date1 FROM (SELECT *, row_number() OVER (PARTITION BY year, week ORDER BY date, op_id) AS k
@@ -310,7 +392,7 @@ def _(s):
 
 @query(
     "survey_pies",
-    f"""SELECT op_id, month, {_COUNTS}, count(genetics_name) AS total, min(location) AS location, R4(min(mid_lat)) AS mid_lat,
+    f"""SELECT op_id, month, {_COUNTS}, min(location) AS location, R4(min(mid_lat)) AS mid_lat,
        R4(min(mid_lon)) AS mid_lon,
        CASE WHEN month = 7 THEN 'July Bottom Trawl Survey' ELSE 'August-October Mid-Water Trawl Survey' END AS "group",
        CASE WHEN month = 7 THEN 1 ELSE 2 END AS group_no FROM o_compared WHERE month >= 7 AND length < 150 GROUP BY op_id, month""",

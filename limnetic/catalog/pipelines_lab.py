@@ -5,6 +5,7 @@ from __future__ import annotations
 from limnetic.functions.dist import T975, Z975
 from limnetic.operators.ordered import with_overall_mean
 from limnetic.plans import larvae
+from limnetic.sources.survey import SPECIES_NAMES
 
 from . import base
 from .registry import fix, query, step
@@ -22,6 +23,15 @@ def _(s):
     return larvae.weekly_catch(base.larval_counts(s))
 
 
+@query(
+    "week_labels",
+    """SELECT week, date, op_id, year, date1 FROM
+       (SELECT *, row_number() OVER (PARTITION BY week ORDER BY date NULLS FIRST, op_id) AS k FROM o_larval) WHERE k = 1""",
+)
+def _(s):
+    return larvae.week_labels(base.larval_counts(s))
+
+
 @query(
     "catch_by_distance",
     "SELECT op_id, species, common_name, n AS tfish, R4(shore_distance / 1000) AS shore_km FROM o_larval",
@@ -82,7 +92,7 @@ def _(s):
     return larvae.backlog_status(backlog(s))
 
 
-NAMES = ("Bloater", "Cisco", "Kiyi", "Unidentified Coregonid")
+NAMES = tuple(name for code, name in SPECIES_NAMES.items() if code)
 _COUNTS = ", ".join(
     f"count(*) FILTER (common_name = '{n}') AS {n.lower().replace(' ', '_')}" for n in NAMES
 )

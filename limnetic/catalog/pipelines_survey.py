@@ -19,7 +19,7 @@ from .scalars import inverse_mercator_sql
 
 _ICE = "\nUNION ALL ".join(
     f"SELECT CAST(m AS INT) AS m, CAST(d AS INT) AS d, {y} AS ice_year, y{y} AS ice_cover FROM v_ice_wide"
-    for y in range(1996, 2002)
+    for y in range(1995, 2002)
 )
 step("o_ice_rows", _ICE)
 step(
@@ -353,12 +353,12 @@ step(
     "o_pie_rows",
     """SELECT DISTINCT location, 'month' AS kind, month_long AS part, date FROM o_density
   WHERE month BETWEEN 5 AND 10 UNION ALL
-SELECT DISTINCT location, 'year', CAST(year AS VARCHAR), NULL::DATE FROM o_density WHERE year IN (1996, 1997, 1998, 2000, 2001)""",
+SELECT DISTINCT location, 'year', CAST(year AS VARCHAR), NULL::DATE FROM o_density WHERE year IN (1995, 1996, 1997, 1998, 2000, 2001)""",
 )
 step(
     "o_pie_parts",
     """SELECT 'month' AS kind, m AS part FROM (VALUES ('May'), ('June'), ('July'), ('August'), ('September'), ('October')) a(m)
-UNION ALL SELECT 'year', y FROM (VALUES ('1996'), ('1997'), ('1998'), ('2000'), ('2001')) b(y)""",
+UNION ALL SELECT 'year', y FROM (VALUES ('1995'), ('1996'), ('1997'), ('1998'), ('2000'), ('2001')) b(y)""",
 )
 step(
     "o_pie_first",
@@ -444,6 +444,16 @@ def _(s):
     return rounded_summary(climate.dd_regressions(monthly_dd(s, rows), rows, days))
 
 
+@query(
+    "dd_length_daily",
+    """SELECT l.date, R4(l.mean_l) AS mean_l, d.surfdd AS mean_dd, d.surft AS mean_t, CAST(month(l.date) AS INT) AS month,
+       CAST(year(l.date) AS INT) AS year, monthname(l.date) AS month_long FROM
+       (SELECT date, avg(length) AS mean_l FROM o_lengths GROUP BY date) l LEFT JOIN o_degree_days d USING (date)""",
+)
+def _(s):
+    return fix(climate.dd_length_daily(base.length_rows(s), base.degree_days(s)), 4, "mean_l")
+
+
 @query("regression_summary", summary_sql("o_lengths", "jday", "length", "year"))
 def _(s):
     return rounded_summary(regression_summary(base.length_rows(s), ["year"], F.col("jday"), F.col("length")))

@@ -65,7 +65,7 @@ def query(key: str, sql: str | None = None):
 def fixed(x: Column | str, digits: int = 4) -> Column:
     """Rounded through DECIMAL, so that the order of summation cannot show."""
     c = F.col(x) if isinstance(x, str) else x
-    return F.round(c.cast("decimal(28,10)"), digits).cast("double")
+    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
 
 
 def fix(df: DataFrame, digits: int = 4, *columns: str) -> DataFrame:

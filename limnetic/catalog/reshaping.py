@@ -14,7 +14,7 @@ from .registry import fix, fixed, query, step
 step(
     "o_ice_typed",
     "SELECT CAST(m AS INT) AS m, CAST(d AS INT) AS d, "
-    + ", ".join(f"y{y}" for y in range(1996, 2002))
+    + ", ".join(f"y{y}" for y in range(1995, 2002))
     + " FROM v_ice_wide",
 )
 
@@ -71,11 +71,11 @@ def _(s):
 @query(
     "unpivot_long",
     "\nUNION ALL ".join(
-        f"SELECT m, d, {y} AS ice_year, y{y} AS ice_cover FROM o_ice_typed" for y in range(1996, 2002)
+        f"SELECT m, d, {y} AS ice_year, y{y} AS ice_cover FROM o_ice_typed" for y in range(1995, 2002)
     ),
 )
 def _(s):
-    years = [f"y{y}" for y in range(1996, 2002)]
+    years = [f"y{y}" for y in range(1995, 2002)]
     key = F.substring("ice_year", 2, 4).cast("int")
     return R.unpivot_long(s.ice_wide, ["m", "d"], years, "ice_year", "ice_cover", key)
 

@@ -116,9 +116,27 @@ def _(s):
     return fix(fix(df, 4, "f"), 6, "ges")
 
 
-def tukey_sql(key: str, level: str) -> str:
-    cells = f"""(SELECT {key}, CAST({level} AS VARCHAR) AS level, count(*) AS n, avg(length) AS m,
-        var_pop(length) * count(*) AS ss FROM o_early GROUP BY ALL)"""
+step("o_offshore_spring", "SELECT year, month_long, fish_ha FROM o_offshore WHERE month <= 7 AND fish_ha IS NOT NULL")
+
+
+def spring_density(s):
+    rows = offshore(base.density(s), base.AFTER_YEAR).filter(F.col("month") <= 7)
+    return rows.select("year", "month_long", "fish_ha").dropna(subset=["fish_ha"])
+
+
+@query(
+    "density_anova_numeric",
+    """SELECT month_long, n, 1::BIGINT AS dfn, n - 2 AS dfd, R4(r2 / nullif((1 - r2) / (n - 2), 0)) AS f, R6(r2) AS ges FROM
+       (SELECT month_long, regr_count(fish_ha, year)::BIGINT AS n, regr_r2(fish_ha, year) AS r2 FROM o_offshore_spring GROUP BY month_long)""",
+)
+def _(s):
+    df = statistics.anova_numeric(spring_density(s), ["month_long"], F.col("year"), F.col("fish_ha"))
+    return fix(fix(df, 4, "f"), 6, "ges")
+
+
+def tukey_sql(key: str, level: str, source: str = "o_early", y: str = "length") -> str:
+    cells = f"""(SELECT {key}, CAST({level} AS VARCHAR) AS level, count(*) AS n, avg({y}) AS m,
+        var_pop({y}) * count(*) AS ss FROM {source} GROUP BY ALL)"""
     return f"""SELECT a.{key}, a.level AS group1, b.level AS group2, w.levels, w.df, R4(b.m - a.m) AS estimate,
       R4(sqrt(w.msw / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n))) AS se,
       R4(abs(b.m - a.m) / sqrt(w.msw / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n))) AS q
@@ -138,6 +156,17 @@ def _(s):
     return fix(statistics.tukey_pairs(rows, ["month_long"], "year", "length"))
 
 
+@query("density_tukey", tukey_sql("year", "month_long", "o_offshore_spring", "fish_ha"))
+def _(s):
+    return fix(statistics.tukey_pairs(spring_density(s), ["year"], "month_long", "fish_ha"))
+
+
+@query("density_tukey_years", tukey_sql("month_long", "year", "o_offshore_spring", "fish_ha"))
+def _(s):
+    rows = spring_density(s).withColumn("year", F.col("year").cast("string"))
+    return fix(statistics.tukey_pairs(rows, ["month_long"], "year", "fish_ha"))
+
+
 @query("tukey_pvalue")
 def _(s):
     pairs = statistics.tukey_pairs(early_lengths(s), ["year"], "month_long", "length")
@@ -247,7 +276,7 @@ def _(s):
     return fix(smoothers.smooth_line(base.length_rows(s), ["year"], "jday", "length"))
 
 
-POINTS = 40
+POINTS = 80
 step(
     "o_loess_cells",
     """SELECT common_name, CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS cx, count(*) AS n, sum(yolks) AS sy
@@ -285,7 +314,7 @@ def _(s):
     return fix(smoothers.smooth_local(rows, ["common_name"], "day_no", "yolks", points=POINTS))
 
 
-GRID = 128
+GRID = 512
 step(
     "o_ridge_group",
     """SELECT "group", year, count(*) AS n, median(temperature) AS med, min(temperature) AS lo, max(temperature) AS hi,

@@ -132,7 +132,7 @@ def break_interval(x: Column, breaks=DENSITY_BREAKS) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x.cast("decimal(18,6)"), digits)
+    return F.bround(x.cast("decimal(38,6)"), digits)
 
 
 def united(sep: str, *cols: Column) -> Column:

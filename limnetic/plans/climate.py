@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from limnetic.functions.calendar import (
     date_from_parts,
+    month_long,
     season_day,
     season_year,
     with_calendar,
@@ -106,6 +107,16 @@ def dd_vs_length(days: DataFrame, density_months: DataFrame, length_months: Data
     return out.dropna(subset=["noha_mean", "mean_l"])
 
 
+def dd_length_daily(lengths: DataFrame, days: DataFrame) -> DataFrame:
+    """Mean length of each sampling day beside its degree-days and temperature."""
+    means = lengths.groupBy("date").agg(strict(F.avg, F.col("length")).alias("mean_l"))
+    out = natural_join(means, days.select("date", "surfdd", "surft"), "left", ["date"], bounded=True)
+    return out.select(
+        "date", "mean_l", F.col("surfdd").alias("mean_dd"), F.col("surft").alias("mean_t"),
+        F.month("date").alias("month"), F.year("date").alias("year"), month_long(F.col("date")).alias("month_long"),
+    )
+
+
 def dd_regressions(monthly: DataFrame, lengths: DataFrame, days: DataFrame) -> DataFrame:
     """Mean length against degree-days, by month and by sampling day."""
     dated = natural_join(

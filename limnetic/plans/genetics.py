@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnetic.functions import geo, scalars
@@ -83,6 +83,22 @@ def strain_sites(specimen: DataFrame, effort: DataFrame, cut: float = 0.7) -> Da
     )
 
 
+def strain_fish(specimen: DataFrame, effort: DataFrame, cut: float = 0.7) -> DataFrame:
+    """Every fish with a strain value: its site, strain labelled with the strain's total, and metres to the inlet.
+
+    Metres are worked out once per tow, and the two strains' totals are broadcast.
+    """
+    gp = F.col("gp")
+    strain = F.when(gp >= cut, "Grand Portage strain Cisco").when(gp < cut, "Typical Cisco")
+    typed = specimen.filter((F.col("genetics") == 202) & gp.isNotNull())
+    typed = typed.select("op_id", "specimen_number", "length", "gp", strain.alias("gpq"))
+    totals = typed.groupBy("gpq").agg(A.rows().alias("n"))
+    tows = effort.select("op_id", "year", "location", "mid_lat", "mid_lon")
+    tows = geo.with_geodesic_distance(tows, "mid_lon", "mid_lat", out="inlet_metres")
+    fish = natural_join(typed.join(tows, "op_id", "left"), totals, "left", ["gpq"], bounded=True)
+    return fish.withColumn("label1", scalars.united(", n=", F.col("gpq"), F.col("n")))
+
+
 def sampled_catch(density: DataFrame, year: int, out: str = "fish") -> DataFrame:
     """Unidentified larvae and empty tows of one year per day and site, with position.
 
@@ -132,15 +148,17 @@ def snake(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
-def composition(fish: DataFrame, keys: Sequence[str], names: Sequence[str] = NAMES) -> DataFrame:
-    """Fish per species in columns, with their total."""
-    wide = pivot_counts(fish, keys, "genetics_name", names)
-    wide = wide.withColumnsRenamed({n: snake(n) for n in names})
-    return _with_total(wide, names)
+def counts_by_species(among: Column, names: Sequence[str] = NAMES, prefix: str = "") -> list[Column]:
+    """Fish of each named species, of any other, and of all, where ``among`` holds."""
+    name = F.col("genetics_name")
+    named = [F.count_if(among & (name == n)).alias(prefix + snake(n)) for n in names]
+    other = among & (name.isNull() | ~name.isin(*names))
+    return [*named, F.count_if(other).alias(f"{prefix}other"), F.count_if(among).alias(f"{prefix}total")]
 
 
-def _with_total(wide: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
-    return wide.withColumn("total", scalars.row_sum(*[F.col(snake(n)) for n in names]))
+def composition(fish: DataFrame, keys: Sequence[str], names: Sequence[str] = NAMES) -> DataFrame:
+    """Fish per species in columns, those of other species, and the total of all fish."""
+    return fish.groupBy(*keys).agg(*counts_by_species(F.lit(True), names))
 
 
 def species_composition(ids: DataFrame, effort: DataFrame, year: int) -> DataFrame:
@@ -149,13 +167,9 @@ def species_composition(ids: DataFrame, effort: DataFrame, year: int) -> DataFra
     One pass counts all and small fish per tow; the three tables follow from it.
     """
     c = F.col
-    names = [snake(n) for n in NAMES]
-    small = ids.withColumn("genetics_name", F.when(c("length") <= 100, F.concat(F.lit("small "), "genetics_name")))
-    both = ids.select("op_id", "genetics_name").unionByName(
-        small.filter(c("genetics_name").isNotNull()).select("op_id", "genetics_name")
-    )
-    wide = pivot_counts(both, ["op_id"], "genetics_name", [*NAMES, *[f"small {n}" for n in NAMES]])
-    wide = wide.withColumnsRenamed({n: snake(n) for n in wide.columns})
+    names = [*(snake(n) for n in NAMES), "other", "total"]
+    small = F.coalesce(c("length") <= 100, F.lit(False))
+    wide = ids.groupBy("op_id").agg(*counts_by_species(F.lit(True)), *counts_by_species(small, prefix="small_"))
     place = ["date", "tow_time", "location", "mid_lat", "mid_lon"]
     effort = written(effort.select("op_id", "gear", "year", *place), "effort")
     tows = written(natural_join(wide, effort, "left", ["op_id"]), "tows")
@@ -170,9 +184,9 @@ def species_composition(ids: DataFrame, effort: DataFrame, year: int) -> DataFra
     surface = effort.filter(c("gear") == "Neuston").select("op_id", *place)
     larvae = join_first(larvae, surface, sample, ["op_id"])
     tagged = {
-        "all": _with_total(everything),
-        "age0": _with_total(age0).filter(c("total") > 0),
-        "larvae": _with_total(larvae),
+        "all": everything,
+        "age0": age0.filter(c("total") > 0),
+        "larvae": larvae,
     }
     return append_all([df.withColumn("stage", F.lit(tag)) for tag, df in tagged.items()])
 
@@ -209,6 +223,16 @@ def yolk_proportion(fish: DataFrame, effort: DataFrame, name: str) -> DataFrame:
     return join_first(wide, first, ["date"], ["op_id"])
 
 
+def yolk_presence(fish: DataFrame, effort: DataFrame, name: str) -> DataFrame:
+    """Larvae with and without a yolk sac per day and species, as rows with labels and the day's first tow."""
+    sac = F.col("yolk_sac")
+    per_tow = fish.filter(sac.isNotNull()).groupBy("op_id", name, "yolk_sac").agg(A.rows().alias("n"))
+    dated = natural_join(per_tow, effort.select("op_id", "date"), "left", ["op_id"])
+    counts = dated.groupBy("date", name, "yolk_sac").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("yolk", F.when(sac == "Y", "Present").when(sac == "N", "Absent"))
+    return join_first(counts, effort.select("date", "op_id", "location", "week", "year"), ["date"], ["op_id"])
+
+
 def weekly_first(proportion: DataFrame, name: str) -> DataFrame:
     return first_per_key(proportion, ["week"], ["date", name])
 

@@ -34,6 +34,16 @@ def weekly_catch(counts: DataFrame) -> DataFrame:
     return kept.groupBy("year", "week", "common_name").agg(F.sum("n").alias("fish"))
 
 
+def sized_larvae(larvae: DataFrame) -> DataFrame:
+    """Larvae of the species that are aged, with a known length."""
+    return larvae.dropna(subset=["length"]).filter(F.col("species").isin(*LARVAL_SPECIES))
+
+
+def week_labels(counts: DataFrame) -> DataFrame:
+    """The first tow of each week of any year, whose date labels the week axis."""
+    return first_per_key(counts.select("week", "date", "op_id", "year", "date1"), ["week"], ["date", "op_id"])
+
+
 def catch_by_distance(counts: DataFrame) -> DataFrame:
     return counts.select(
         "op_id", "species", "common_name",

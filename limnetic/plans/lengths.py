@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,13 @@ def length_by_station(lengths: DataFrame, effort: DataFrame, species: DataFrame)
     return with_levels(out, "month_long", ["May", "June", "July", "August", "September"], "month_no")
 
 
-def growth_set(fish: DataFrame, kiyi_below: float | None = None, all_below: float | None = 140) -> DataFrame:
-    """Identified fish of three species young enough for a growth line."""
+def growth_set(
+    fish: DataFrame, kiyi_below: float | None = None, all_below: float | None = 140, codes: Sequence[int] = (202, 204)
+) -> DataFrame:
+    """Identified fish of ``codes`` and of 206 young enough for a growth line."""
     x, month = F.col("length"), F.col("month")
     code = F.col("genetics")
-    wanted = code.isin(202, 204) | ((code == 206) & (x < kiyi_below if kiyi_below else F.lit(True)))
+    wanted = code.isin(*codes) | ((code == 206) & (x < kiyi_below if kiyi_below else F.lit(True)))
     young = ((x <= 80) & (month <= 7)) | (month >= 8)
     kept = fish.dropna(subset=["genetics", "length"]).filter(wanted & young)
     return kept.filter(x < all_below) if all_below else kept
@@ -68,9 +72,16 @@ def species_growth(fish: DataFrame, year: int, **limits) -> DataFrame:
     )
 
 
-def daily_lengths(fish: DataFrame) -> DataFrame:
+def with_species_growth(fish: DataFrame, year: int, **limits) -> DataFrame:
+    """The fish behind ``species_growth`` beside the slope and label of their species, a fixed code list."""
+    lines = species_growth(fish, year, **limits).select("genetics_name", "slope", "legend")
+    kept = growth_set(fish, **limits).filter(F.col("year") == year)
+    return natural_join(kept, lines, "inner", ["genetics_name"], bounded=True)
+
+
+def daily_lengths(fish: DataFrame, **limits) -> DataFrame:
     """Length statistics per day and species with the day's labels."""
-    stats = growth_set(fish).groupBy("date", "genetics_name").agg(*length_statistics("length"))
+    stats = growth_set(fish, **limits).groupBy("date", "genetics_name").agg(*length_statistics("length"))
     return with_calendar(stats, "date").drop("day", "jday")
 
 

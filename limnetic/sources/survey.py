@@ -64,7 +64,7 @@ FROM {lineitem}""",
 SELECT l_orderkey AS op_id, l_linenumber AS specimen_number,
        CASE l_partkey % 4 WHEN 0 THEN 202 WHEN 1 THEN 204 WHEN 2 THEN 206 ELSE 217 END AS species,
        CASE l_suppkey % 7 WHEN 0 THEN 202 WHEN 1 THEN 203 WHEN 2 THEN 204 WHEN 3 THEN 206
-                          WHEN 4 THEN 208 WHEN 5 THEN 218 ELSE NULL END AS genetics,
+                          WHEN 4 THEN 208 WHEN 5 THEN CASE l_linenumber WHEN 1 THEN 210 WHEN 2 THEN 217 ELSE 218 END ELSE NULL END AS genetics,
        CASE WHEN l_quantity = 25 THEN NULL ELSE CAST(floor(l_extendedprice / 5.0E2) AS DOUBLE) END AS length,
        CASE l_returnflag WHEN 'A' THEN 'Y' WHEN 'N' THEN 'N' ELSE NULL END AS yolk_sac,
        CASE WHEN l_discount = 0 THEN NULL ELSE l_discount * 1.0E1 END AS gp,
@@ -80,7 +80,7 @@ FROM {lineitem}""",
     "v_ice_wide": "SELECT month(CAST(o_orderdate AS DATE)) AS m, day(CAST(o_orderdate AS DATE)) AS d,\n"
     + ",\n".join(
         f"  CAST(sum(CASE WHEN year(CAST(o_orderdate AS DATE)) = {y} THEN 1 END) AS DOUBLE) AS y{y}"
-        for y in range(1996, 2002)
+        for y in range(1995, 2002)
     )
     + "\nFROM {orders} GROUP BY month(CAST(o_orderdate AS DATE)), day(CAST(o_orderdate AS DATE))",
     "v_bt": """

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from limnetic.catalog import QUERIES
 import check
 
 PYTHON = {"regression_pvalue", "anova_pvalue", "tukey_pvalue", "grouped_map_udf"}
@@ -13,9 +14,9 @@ def con(small):
     return check.connect(small)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, con, small, key):
-    df = entry.queries()[key](spark, small)
+    df = QUERIES[key](spark, small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if key not in PYTHON:
