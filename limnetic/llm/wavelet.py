@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from limnetic.llm.bpe import Remembered
+from limnetic.llm.bpe import Remembered, byte_letters, packed
 from limnetic.llm.common import arrow_batches, whole
 
 MAGIC = b"WVM1"
@@ -21,6 +21,10 @@ MAGIC = b"WVM1"
 BLOCK = 512
 # A shard is closed once it holds so many ids; a document is never split.
 SHARD_IDS = 1 << 21
+# Pieces between white space, and words, that one worker remembers.
+PIECES, WORDS = 700_000, 300_000
+# ASCII marks that never join the letters before them.
+MARKS = b"!#$%&*+,-./:;=?@^_`|~\"()[]{}"
 
 
 class WaveletMatrix:
@@ -151,7 +155,7 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which is asked once for each word it is not remembered for."""
+    """Ids by the tokenizers library, which is asked once for each word that is not remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -160,36 +164,33 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.words = Remembered(self.joined), Remembered(self.asked)
-
-    def asked(self, word: bytes) -> bytes:
-        return self.library([word])[0]
-
-    def library(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    @staticmethod
-    def cut(piece: bytes) -> tuple[bytes, ...]:
-        """Parts that the vocabulary's pattern separates anyway: ASCII letters, one mark after them."""
-        if piece.isalpha():
-            return (piece.lower(),)
-        if piece[-1:] in (b".", b",", b"!", b"?", b";", b":") and piece[:-1].isalpha():
-            return piece[:-1].lower(), piece[-1:]
-        return (piece,)
-
-    def joined(self, piece: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.cut(piece)))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts in UTF-8 as little-endian 32-bit numbers; no id reaches over ASCII white space."""
-        split = [t.split() for t in texts]
-        pieces = {p for words in split for p in words if p not in self.pieces and p not in self.pieces.older}
-        words = {w for p in pieces for w in self.cut(p) if w not in self.words and w not in self.words.older}
-        words = list(words)
-        for word, ids in zip(words, self.library(words)):
-            self.words.put(word, ids)
-        return [b"".join(map(self.pieces.__getitem__, words)) for words in split]
+        self.merge, self.normal = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces = Remembered(self.cut, PIECES)
+        self.words, self.others = Remembered(self.merged, WORDS), Remembered(self.asked, WORDS)
+
+    def merged(self, word: bytes) -> bytes:
+        """Ids of a normalised word of letters, which the library's splitter leaves whole."""
+        return packed([x.id for x in self.merge(word.decode("latin-1").translate(self.letters))])
+
+    def asked(self, piece: bytes) -> bytes:
+        return packed(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+
+    def cut(self, piece: bytes) -> bytes:
+        """Ids of a piece; letters and the ASCII marks behind them are apart by the vocabulary's pattern."""
+        word = piece.rstrip(MARKS)
+        if word.isalpha():  # ASCII letters
+            ids = self.words[word.lower()]
+        else:
+            text = word.decode()
+            if not text.isalpha() or not (normal := self.normal(text)).isalpha():
+                return self.others[piece]
+            ids = self.words[normal.encode()]
+        return ids + self.others[piece[len(word) :]] if len(word) < len(piece) else ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text in UTF-8 as little-endian 32-bit numbers; no id reaches over ASCII white space."""
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -224,7 +225,7 @@ def write_shards(
             return pa.RecordBatch.from_pydict({"part": [part], "part_at": [done], "n_docs": [len(keys)], "n_ids": [len(ids)], "shard": [data]})
 
         for batch in arrow_batches(batches):
-            for k, ids in zip(batch["key"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            for k, ids in zip(batch["key"].to_pylist(), map(encoder.encode, batch["text"].to_pylist())):
                 keys.append(k)
                 found.append(ids + end)
                 size += len(ids) // 4 + 1
