@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from limnetic.functions.calendar import month_long
@@ -182,31 +180,29 @@ def _(s):
     return fix(statistics.mean_ci_normal(rows, ["year"], "fish_ha"), 3)
 
 
-def _poisson_case() -> str:
-    total, parts = 0.0, []
-    for k in range(13):
-        total += math.exp(-1) / math.factorial(k)
-        parts.append(f"WHEN u < {total!r}::DOUBLE THEN {k}")
-    return f"CASE {' '.join(parts)} ELSE 13 END"
-
-
 @query(
     "mean_ci_boot",
-    f"""SELECT a.year, a.month_long, a.n, R4(a.mean) AS mean, R4(b.lower) AS lower, R4(b.upper) AS upper FROM
-       (SELECT year(date) AS y, CAST(year(date) AS INT) AS year, monthname(date) AS month_long, count(*) AS n, avg(surface_t) AS mean
+    """SELECT a.year, a.month_long, a.n, R4(a.mean) AS mean, R4(b.lower) AS lower, R4(b.upper) AS upper FROM
+       (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, count(*) AS n, avg(surface_t) AS mean
         FROM v_bt WHERE surface_t IS NOT NULL GROUP BY ALL) a JOIN
-       (SELECT year, month_long, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM
-         (SELECT year, month_long, rep, sum(w * surface_t) / nullif(sum(w), 0) AS m FROM
-           (SELECT *, {_poisson_case()} AS w FROM
-             (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, rep, surface_t,
-                CAST('0x' || substr(md5(CAST(sample AS VARCHAR) || '|' || CAST(rep // 4 AS VARCHAR)), CAST(1 + 8 * (rep % 4) AS INT), 8) AS BIGINT)
-                  / 4294967296.0::DOUBLE AS u
-              FROM v_bt, generate_series(0, 49) r(rep) WHERE surface_t IS NOT NULL)) GROUP BY ALL) GROUP BY ALL) b
+       (WITH cells AS (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, surface_t AS v, count(*) AS n
+          FROM v_bt WHERE surface_t IS NOT NULL GROUP BY ALL),
+        parts AS (SELECT *, CAST(ceil(n / 64) AS INT) AS parts, n / CAST(ceil(n / 64) AS INT) AS mean FROM cells),
+        steps AS (SELECT year, month_long, v, k, exp(-mean) * product(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE mean / k END)
+          OVER (PARTITION BY year, month_long, v ORDER BY k) AS p FROM parts, range(0, 171) t(k)),
+        points AS (SELECT year, month_long, v, k, sum(p) OVER (PARTITION BY year, month_long, v ORDER BY k) AS c FROM steps),
+        draws AS (SELECT year, month_long, v, rep, part,
+            (CAST('0x' || substr(md5(concat_ws('|', year, month_long, v, rep, part)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
+          FROM parts, range(0, 1000) r(rep), range(1, parts + 1) q(part)),
+        weights AS (SELECT d.year, d.month_long, d.v, rep, sum(coalesce(k + 1, 0)) AS w FROM draws d
+          ASOF LEFT JOIN points p ON d.year = p.year AND d.month_long = p.month_long AND d.v = p.v AND d.u >= p.c GROUP BY ALL),
+        means AS (SELECT year, month_long, rep, sum(w * v) / nullif(sum(w), 0) AS m FROM weights GROUP BY ALL)
+        SELECT year, month_long, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM means GROUP BY ALL) b
        USING (year, month_long)""",
 )
 def _(s):
-    rows = s.bt.select("sample", F.year("date").alias("year"), month_long(F.col("date")).alias("month_long"), "surface_t")
-    return fix(statistics.mean_ci_boot(rows, ["year", "month_long"], "surface_t", ["sample"], reps=50))
+    rows = s.bt.select(F.year("date").alias("year"), month_long(F.col("date")).alias("month_long"), "surface_t")
+    return fix(statistics.mean_ci_boot(rows, ["year", "month_long"], "surface_t"))
 
 
 # -- trees ------------------------------------------------------------------
@@ -223,7 +219,7 @@ def tree_rows(s):
 step(
     "o_tree_rows",
     """SELECT t.op_id, CAST(t.jday AS DOUBLE) AS jday, CAST(t.year AS DOUBLE) AS year, coalesce(t.mid_depth, 0) AS mid_depth,
-  coalesce(t.mid_lat, 0) AS mid_lat, coalesce(t.shore_distance, 0) AS shore_distance, c.y - avg(c.y) OVER () AS y
+  coalesce(t.mid_lat, 0) AS mid_lat, coalesce(t.shore_distance, 0) AS shore_distance, c.y AS raw, c.y - avg(c.y) OVER () AS y
 FROM o_tow t JOIN (SELECT op_id, CAST(sum(n) AS DOUBLE) AS y FROM v_catch GROUP BY op_id) c USING (op_id)""",
 )
 step(
@@ -251,16 +247,66 @@ def _(s):
     return fix(fix(df, 6, "split_at", "improvement"), 2, "gain")
 
 
-@query("regression_tree")
+def tree_sql(cp: float, min_bucket: int, folds: int, levels: int) -> str:
+    """CTEs that split all trees level by level: t<levels> has every row with its last node."""
+    values = ", ".join(FEATURES)
+    pick = "CASE f " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(FEATURES)) + " END"
+    parts = [
+        f"""t0 AS MATERIALIZED (SELECT r.*, r.y AS c, k AS tree, fold <> k AS train, 1::BIGINT AS node FROM
+  (SELECT t.*, ('0x' || substr(md5(op_id::VARCHAR), 1, 8))::BIGINT % {max(folds, 1)} AS fold FROM o_tree_rows t) r,
+  range({0 if folds else 1}, {folds + 1 if folds else 2}) g(k))""",
+        "root AS MATERIALIZED (SELECT tree, avg(y) AS m, var_pop(y) * count(*) AS sse FROM t0 WHERE train GROUP BY tree)",
+    ]
+    for k in range(levels):
+        long = "\nUNION ALL ".join(f"SELECT tree, node, {i} AS f, {x} AS x, c FROM t{k} WHERE train" for i, x in enumerate(FEATURES))
+        parts.append(
+            f"""b{k} AS MATERIALIZED (SELECT tree, node, f, x AS cut FROM
+  (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, x) AS first FROM
+    (SELECT *, R4(sl * sl / nl + (sa - sl) * (sa - sl) / nr - sa * sa / na) AS gain FROM
+      (SELECT *, na - nl AS nr FROM
+        (SELECT tree, node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS na, sum(s) OVER a AS sa FROM
+          (SELECT tree, node, f, x, count(*) AS n, sum(c - m) AS s FROM ({long}) JOIN root USING (tree) GROUP BY ALL)
+         WINDOW w AS (PARTITION BY tree, node, f ORDER BY x), a AS (PARTITION BY tree, node, f)))
+     WHERE nl >= {min_bucket} AND nr >= {min_bucket} AND na >= {3 * min_bucket})) JOIN root USING (tree)
+  WHERE first = 1 AND gain > 0 AND gain >= {cp}::DOUBLE * sse)"""
+        )
+        parts.append(
+            f"""t{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (node, f, cut), CASE WHEN cut IS NULL THEN node ELSE 2 * node + ({pick} > cut)::INT END AS node
+  FROM t{k} LEFT JOIN b{k} USING (tree, node))"""
+        )
+    return ",\n".join(parts)
+
+
+# Deeper than any of these trees gets; a level without a split leaves the rows as they are.
+TREE_LEVELS = 12
+
+
+@query(
+    "regression_tree",
+    f"""SELECT op_id, label, R4(predicted) AS predicted FROM (WITH {tree_sql(0.01, 7, 0, TREE_LEVELS)}
+       SELECT op_id, raw AS label, avg(raw) OVER (PARTITION BY node) AS predicted FROM t{TREE_LEVELS})""",
+)
 def _(s):
     rows = tree_rows(s)
-    model = trees.regression_tree(rows, FEATURES, "fish", min_bucket=2, cp=0.001)
-    return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]))
+    model = trees.regression_tree(rows, FEATURES, "fish", min_bucket=7)
+    return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]), 4, "predicted")
+
+
+def cv_sql(cp: float, folds: int) -> str:
+    last = f"t{TREE_LEVELS}"
+    return f"""SELECT {cp}::DOUBLE AS cp, splits, R6(e / sse) AS relative_error, R6(h / sse) AS cv_error FROM (WITH {tree_sql(cp, 7, folds, TREE_LEVELS)}
+  SELECT (SELECT count(DISTINCT node) - 1 FROM {last} WHERE tree = {folds}) AS splits, (SELECT sse FROM root WHERE tree = {folds}) AS sse,
+    (SELECT sum((y - p) * (y - p)) FROM (SELECT y, avg(y) OVER (PARTITION BY node) AS p FROM {last} WHERE tree = {folds})) AS e,
+    (SELECT sum((y - p) * (y - p)) FROM {last} JOIN (SELECT tree, node, avg(y) AS p FROM {last} WHERE train GROUP BY ALL) USING (tree, node)
+     WHERE NOT train) AS h)"""
+
+
+CPS, FOLDS = (0.05, 0.01), 10
 
 
-@query("tree_cv_table")
+@query("tree_cv_table", "\nUNION ALL ".join(cv_sql(cp, FOLDS) for cp in CPS))
 def _(s):
-    return fix(trees.tree_cv_table(tree_rows(s), FEATURES, "fish", "op_id", folds=3))
+    return fix(trees.tree_cv_table(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, CPS, min_bucket=7), 6, "relative_error", "cv_error")
 
 
 # -- smoothers -----------------------------------------------------------------

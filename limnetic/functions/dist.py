@@ -70,6 +70,7 @@ def f_tail(f: float, df1: float, df2: float) -> float:
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+_MANY, _MANY_WEIGHTS = np.polynomial.legendre.leggauss(256)
 _erf = np.vectorize(math.erf)
 
 
@@ -89,14 +90,15 @@ def tukey_tail(q: float, k: float, df: float) -> float:
     """P(studentised range of k means with df degrees of freedom > q)."""
     if not q > 0 or df < 1 or k < 2:
         return float("nan") if df < 1 or k < 2 else 1.0
-    spread = 10 / math.sqrt(2 * df)
-    low, high = max(1e-9, 1 - spread), 1 + spread * (3 if df < 5 else 1)
-    s = (high - low) / 2 * _NODES + (high + low) / 2
+    # A chi variable lies within 8.5 of the root of its degrees; nodes crowd at the low end,
+    # which decides at few degrees of freedom.
+    low, high = max(0.0, 1 - 8.5 / math.sqrt(df)), 1 + 8.5 / math.sqrt(df)
+    s = (high - low) / 2 * _MANY + (high + low) / 2
     log_density = (
         df / 2 * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2)
         + (df - 1) * np.log(s) - df * s * s / 2
     )
-    cdf = (np.exp(log_density) * _WEIGHTS * (high - low) / 2 * _range_cdf(q * s, k)).sum()
+    cdf = (np.exp(log_density) * _MANY_WEIGHTS * (high - low) / 2 * _range_cdf(q * s, k)).sum()
     return float(min(1.0, max(0.0, 1 - cdf)))
 
 
@@ -104,7 +106,9 @@ def tukey_critical(p: float, k: float, df: float) -> float:
     """The q whose upper tail is ``p`` (bisection)."""
     if df < 1 or k < 2:
         return float("nan")
-    low, high = 0.0, 200.0
+    low, high = 0.0, 16.0
+    while tukey_tail(high, k, df) > p:
+        low, high = high, 2 * high
     for _ in range(50):
         mid = (low + high) / 2
         low, high = (mid, high) if tukey_tail(mid, k, df) > p else (low, mid)

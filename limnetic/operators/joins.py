@@ -48,32 +48,14 @@ def lookup_join(left: DataFrame, dim: DataFrame, key: str, *columns: str) -> Dat
     return left.join(dim.select(key, *columns), key, "left")
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    rows_per_part: int = 1_000_000,
-    most_keys: int = 1000,
-) -> DataFrame:
-    """Natural join of many left rows to one right row per key, with hot keys split.
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Natural join of many left rows to one right row per key.
 
-    A key with more than ``rows_per_part`` left rows is cut into parts: each of
-    its left rows goes to the part its own hash names, and its right row is
-    copied to every part. The largest ``most_keys`` such keys are split, so the
-    list is bounded and broadcast; the result is that of the plain join whatever
-    the list holds.
+    Hot keys are split by adaptive execution (``session.tune``): a task's share of the
+    left rows is cut by size, equal rows too, and the right row is read by every part.
+    Nothing is counted beforehand, so both sides are computed once.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > rows_per_part).orderBy(F.desc("_n"), key).limit(most_keys)
-    hot = hot.select(key, F.ceil(F.col("_n") / rows_per_part).alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    own = F.pmod(F.xxhash64(*left.columns), parts)
-    salted = natural_join(left, hot, "left", [key], bounded=True)
-    salted = salted.withColumn("_salt", own).drop("_parts")
-    copies = natural_join(right, hot, "left", [key], bounded=True)
-    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return natural_join(salted, copies.drop("_parts"), how, [key, "_salt"]).drop("_salt")
+    return natural_join(left, right, how, [key])
 
 
 def join_chain(first: DataFrame, *others: DataFrame, keys: Sequence[str]) -> DataFrame:

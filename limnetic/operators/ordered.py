@@ -20,6 +20,17 @@ from limnetic.session import written
 from .joins import natural_join
 
 
+# Bytes of input that one block stands for at most.
+BLOCK_BYTES = 256 << 20
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks in proportion to the files that ``df`` reads, and as many as a shuffle has at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+
+
 def prefix_sums(
     cells: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]
 ) -> DataFrame:
@@ -29,8 +40,7 @@ def prefix_sums(
     that every later step sees the same cut even if an executor is lost.
     """
     keys = list(keys)
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cells.repartitionByRange(parts, *keys, order)
+    ranged = cells.repartitionByRange(block_count(cells), *keys, order)
     placed = written(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
 
     sums = placed.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
@@ -75,24 +85,21 @@ def group_median(
 def numbered(
     df: DataFrame, levels: Sequence[str], order: Sequence[str | Column] = (), out: str = "id"
 ) -> DataFrame:
-    """Row numbers 1..n in the order of ``levels``, then of ``order``.
+    """Row numbers 1..n in the order of ``levels``, then of ``order``, missing values first.
 
-    Each level adds the rows that come before it, counted by ``prefix_sums``;
-    only rows equal on every level are sorted together.
+    The rows are range-partitioned on the whole order and sorted inside their part, which
+    is written once; the rows of the parts before, one number for each part, are added.
     """
-    levels = list(levels)
-    offset: Column = F.lit(0)
-    joined = df
-    for i, level in enumerate(levels):
-        upper, here = levels[:i], levels[: i + 1]
-        counts = df.groupBy(*here).agg(F.count(F.lit(1)).alias("_n"))
-        ahead = prefix_sums(counts, upper, level, ["_n"]).select(
-            *here, (F.col("cum__n") - F.col("_n")).alias(f"_ahead{i}")
-        )
-        joined = natural_join(joined, ahead, "left", here)
-        offset = offset + F.col(f"_ahead{i}")
-    own = F.row_number().over(W.partitionBy(*levels).orderBy(*(order or levels)))
-    return joined.withColumn(out, offset + own).drop(*[f"_ahead{i}" for i in range(len(levels))])
+    by = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in (*levels, *order)]
+    ranged = df.repartitionByRange(block_count(df), *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id()
+    numbers = {"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}
+    placed = written(ranged.withColumns(numbers), "numbered")
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part")) - F.col("_n")
+    offsets = F.broadcast(parts.select("_part", before.alias("_before")))
+    found = placed.join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_place") + 1)
+    return found.drop("_part", "_place", "_before")
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:

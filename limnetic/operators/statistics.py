@@ -210,43 +210,64 @@ def mean_ci_normal(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     )
 
 
-def _poisson_points(limit: int = 13) -> list[float]:
-    """Distribution function of Poisson(1) at 0, 1, 2, ..."""
-    term, total, out = math.exp(-1), 0.0, []
-    for k in range(limit):
-        total += term
-        out.append(total)
-        term /= k + 1
-    return out
-
-
-def mean_ci_boot(
-    df: DataFrame, keys: Sequence[str], y: str, row_id: Sequence[str], reps: int = 1000
-) -> DataFrame:
+# A cell of more equal values draws its weight as a sum of parts of up to so many.
+PART_VALUES = 64
+# P(X > 170) at a mean of 64 is below the spacing of the uniform draws.
+LAST_COUNT = 170
+# Replicates that are drawn together.
+BLOCK_REPS = 25
+
+
+def poisson_points(mean: Column) -> Column:
+    """Distribution function of the Poisson distribution at 0, 1, ... ``LAST_COUNT``."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * mean / k
+        return F.struct(p.alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + p)).alias("c"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LAST_COUNT)), start, step, lambda acc: acc["c"])
+
+
+def mean_ci_boot(df: DataFrame, keys: Sequence[str], y: str, reps: int = 1000) -> DataFrame:
     """Mean and bootstrap 95 % interval.
 
-    Every row draws its own Poisson(1) weight per replicate from a hash of its
-    id, so the draw does not depend on partitioning and survives a lost
-    executor. One hash serves four replicates: each takes eight of its hex
-    digits, compared as text with the distribution function. Replicates are
-    summed on the map side; only (group, replicate) sums are shuffled.
+    Every row has a Poisson(1) weight in each replicate. Equal values of a group are
+    counted first: the weights of n of them sum up to a Poisson(n) number, drawn by
+    inversion at a uniform number that is a hash of group, value and replicate. The draw
+    does not depend on partitioning and survives a lost executor; no row is repeated.
     """
-    points = [f"{math.ceil(p * 2**32):08x}" for p in _poisson_points() if p * 2**32 < 2**32 - 1]
-    base = df.filter(F.col(y).isNotNull()).select(*dict.fromkeys([*keys, *row_id]), F.col(y).alias("_y"))
-    draws = base.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in row_id], F.col("_four").cast("string"))
-    draws = draws.withColumn("_hash", F.md5(text))
-    parts = [F.substring("_hash", 1 + 8 * k, 8).alias(f"_u{k}") for k in range(4)]
-    draws = draws.select(*keys, "_y", "_four", *parts)
-    weights = {f"_w{k}": sum(((F.col(f"_u{k}") >= p).cast("int") for p in points), F.lit(0)) for k in range(4)}
-    draws = draws.withColumns(weights)
-    sums = draws.groupBy(*keys, "_four").agg(
-        *[F.try_divide(F.sum(F.col(f"_w{k}") * F.col("_y")), F.sum(f"_w{k}")).alias(f"_m{k}") for k in range(4)]
-    )
-    each = F.array(*[F.struct((F.col("_four") * 4 + k).alias("rep"), F.col(f"_m{k}").alias("m")) for k in range(4)])
-    means = sums.select(*keys, F.explode(each).alias("_r")).filter(F.col("_r.rep") < reps)
+    base = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).alias("_y"))
+    cells = base.groupBy(*keys, "_y").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / PART_VALUES).cast("int")
+    cells = cells.withColumn("_parts", parts)
+    cells = cells.withColumn("_points", poisson_points(F.col("_n") / F.col("_parts")))
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("_y").cast("string"))
+    cells = cells.withColumn("_cell", text)
+    # Few cells, many draws: blocks of replicates are dealt out before they are drawn.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK_REPS))))
+    cells = cells.repartition(tasks, "_block", *keys, "_y")
+    last = F.least(F.col("_block") * BLOCK_REPS + (BLOCK_REPS - 1), F.lit(reps - 1))
+    draws = cells.withColumn("_rep", F.explode(F.sequence(F.col("_block") * BLOCK_REPS, last)))
+
+    def draw(part: Column) -> Column:
+        """How many points lie at or below the uniform number, by halving steps."""
+        text = F.concat_ws("|", "_cell", F.col("_rep").cast("string"), part.cast("string"))
+        u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
+
+        def step(acc: Column, size: Column) -> Column:
+            lower = F.coalesce(F.get("_points", acc["at"] + size - 1) <= acc["u"], F.lit(False))
+            return F.struct(acc["u"].alias("u"), (acc["at"] + F.when(lower, size).otherwise(0)).alias("at"))
+
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(8))])
+        return F.aggregate(steps, F.struct(u.alias("u"), F.lit(0).alias("at")), step, lambda acc: acc["at"])
+
+    weight = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + draw(part))
+    draws = draws.select(*keys, "_y", "_rep", weight.alias("_w"))
+    means = draws.groupBy(*keys, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("_m"))
     bounds = means.groupBy(*keys).agg(
-        F.percentile("_r.m", F.lit(0.025)).alias("lower"), F.percentile("_r.m", F.lit(0.975)).alias("upper")
+        F.percentile("_m", F.lit(0.025)).alias("lower"), F.percentile("_m", F.lit(0.975)).alias("upper")
     )
     plain = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
     return natural_join(plain, bounds, "left", keys)

@@ -21,32 +21,35 @@ def skewed(spark, n=3000):
     return rows, spark.createDataFrame(rows, "k int, id long, v double")
 
 
-@pytest.mark.parametrize("per_part, most", [(50, 1000), (50, 1), (10**9, 1000)])
-def test_spread_join_equals_plain_join(spark, per_part, most):
+def test_spread_join_equals_plain_join(spark):
     _, left = skewed(spark)
     right = spark.createDataFrame([(k, f"n{k}") for k in range(0, 390)] + [(None, "none")], "k int, name string")
-    a = sorted(map(tuple, spread_join(left, right, "k", rows_per_part=per_part, most_keys=most).collect()), key=str)
+    a = sorted(map(tuple, spread_join(left, right, "k").collect()), key=str)
     b = sorted(map(tuple, natural_join(left, right).collect()), key=str)
     assert a == b and len(a) == 3000
 
 
-def test_spread_join_splits_the_hot_key(spark):
-    _, left = skewed(spark)
-    right = left.select("k").distinct().withColumn("name", F.lit("x"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+def test_spread_join_splits_equal_rows_of_a_hot_key(spark, tmp_path):
+    """4,000 equal left rows under one key end up in several tasks."""
+    path = str(tmp_path / "left")
+    spark.range(4000).select(F.lit(7).alias("k"), F.lit("v" * 200).alias("v")).repartition(8).write.parquet(path)
+    left = spark.read.parquet(path)
+    right = spark.createDataFrame([(7, "seven"), (8, "eight")], "k int, name string")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
     try:
-        def largest(df):
-            hot = df.filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count()
-            return max(r["count"] for r in hot.collect())
-
-        assert largest(natural_join(left, right)) >= 1000
-        assert largest(spread_join(left, right, "k", rows_per_part=50)) < 400
+        per_task = spread_join(left, right, "k").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in per_task) == 4000 and max(r["count"] for r in per_task) <= 1000
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for name in small:
+            spark.conf.unset(name)
 
 
 def test_prefix_sums(spark):

@@ -76,11 +76,11 @@ def test_grouped_closure_equals_aggregate(spark):
 def test_bootstrap_brackets_the_mean(spark):
     rows = [(0, i, float(i % 50)) for i in range(2000)]
     df = spark.createDataFrame(rows, "g int, id long, y double")
-    a = statistics.mean_ci_boot(df, ["g"], "y", ["id"], reps=200).first()
+    a = statistics.mean_ci_boot(df, ["g"], "y", reps=200).first()
     b = statistics.mean_ci_normal(df, ["g"], "y").first()
     assert a["mean"] == b["mean"] and a["lower"] < a["mean"] < a["upper"]
     assert a["upper"] - a["lower"] == pytest.approx(b["upper"] - b["lower"], rel=0.25)
-    again = statistics.mean_ci_boot(df.repartition(7), ["g"], "y", ["id"], reps=200).first()
+    again = statistics.mean_ci_boot(df.repartition(7), ["g"], "y", reps=200).first()
     assert (again["lower"], again["upper"]) == pytest.approx((a["lower"], a["upper"]))
 
 
@@ -111,6 +111,25 @@ def test_tree_starts_at_the_best_split(spark):
         assert r["predicted"] == pytest.approx(means[r["left"]])
 
 
+def test_tree_stops_at_cp_of_the_root(spark):
+    """1,000 distinct values with one step: one split, at the step itself."""
+    rows = [(float(i), 10.0 if i >= 950 else i * 1e-3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    tree = trees.regression_tree(df, ["x"], "y", min_bucket=7, cp=0.1)
+    assert [(s.node, s.at) for s in tree.splits.values()] == [(1, 949.0)]
+    deep = trees.regression_tree(df, ["x"], "y", min_bucket=7, cp=1e-6)
+    assert len(deep.splits) > 3 and trees.prune(deep, 0.1).splits.keys() == {1}
+    table = {r["cp"]: r for r in trees.tree_cv_table(df.withColumn("id", F.col("x").cast("long")), ["x"], "y", "id", folds=4, cps=(0.1, 1e-3), min_bucket=7).collect()}
+    assert table[0.1]["splits"] == 1 and 0 < table[0.1]["relative_error"] < 0.01 and table[0.1]["cv_error"] < 0.05
+    few = trees.regression_tree(df.limit(20), ["x"], "y", min_bucket=7)
+    assert not few.splits
+
+
+@pytest.mark.parametrize("k, df, q", [(10, 1, 49.07), (20, 1, 59.56), (3, 1, 26.98), (2, 2, 6.085), (20, 2, 16.77), (5, 3, 7.502), (10, 5, 6.995), (3, 20, 3.578)])
+def test_studentised_range_points(k, df, q):
+    assert dist.tukey_critical(0.05, k, df) == pytest.approx(q, rel=2e-3)
+
+
 def test_local_smoother_recovers_a_parabola(spark):
     rows = [(x, 0.5 * x * x - 3 * x + 1) for x in range(40)]
     df = spark.createDataFrame([(1, x, y) for x, y in rows], "g int, x int, y double")
@@ -136,6 +155,9 @@ def test_density_integrates_to_one(spark):
         assert points[[p["g"] for p in points].index(g)]["median"] == pytest.approx(median)
 
 
-def test_poisson_points():
-    points = statistics._poisson_points()
-    assert points[0] == pytest.approx(math.exp(-1)) and points[-1] == pytest.approx(1, abs=1e-9)
+def test_poisson_points(spark):
+    for mean in (1.0, 47.5, 64.0):
+        points = spark.range(1).select(statistics.poisson_points(F.lit(mean)).alias("p")).first()["p"]
+        exact = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(points))])
+        assert np.allclose(points, exact, rtol=1e-9) and points[-1] == pytest.approx(1, abs=1e-12)
+
