@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from limnetic.plans import climate, effort, genetics, lengths, reports
 from limnetic.operators.statistics import regression_summary
-from limnetic.session import written
+from limnetic.session import shared_path, written
+from limnetic.sources import sheets
 from limnetic.sources.files import polygon_vertices
 from limnetic.functions import geo
 
@@ -128,17 +129,34 @@ def _(s):
     return fix(df.select(*keep), 6)
 
 
-@query(
-    "catch_density",
-    """SELECT op_id, target, date, tow_time, date1, week, day, month, month_short, month_long, jday, year, gear, location,
+CATCH_DENSITY_SQL = """SELECT op_id, target, date, tow_time, date1, week, day, month, month_short, month_long, jday, year, gear, location,
        R4(mid_lat) AS mid_lat, R4(mid_lon) AS mid_lon, R4(mid_depth) AS mid_depth, R4(fishing_depth) AS fishing_depth,
        R4(shore_distance) AS shore_distance, species, common_name, fish, R4(fish_ha) AS fish_ha, R4(tsurface) AS tsurface,
-       R4(t3m) AS t3m, R4(chl_surface) AS chl_surface, R4(chl3m) AS chl3m FROM o_density""",
-)
+       R4(t3m) AS t3m, R4(chl_surface) AS chl_surface, R4(chl3m) AS chl3m FROM o_density"""
+
+
+@query("catch_density", CATCH_DENSITY_SQL)
 def _(s):
     return fix(base.density(s))
 
 
+@query("sheet_density", CATCH_DENSITY_SQL)
+def _(s):
+    """The same from sheets: written under their declared names and columns, and scanned by default schemas."""
+    root = shared_path(s.spark, "books")
+    caught = s.tow.join(s.catch.select("op_id", "species", "n"), "op_id")
+    for (book, sheet), df in {
+        ("neuston", "catch"): caught, ("shore", "distance"): s.site, ("species", "taxonomy"): s.species, ("bt", "sample"): s.bt,
+    }.items():
+        sheets.write_plan_table(df, root, book, sheet)
+    tow, catch = sheets.tows_and_catch(s.spark, root, "neuston")
+    site, species, bt = (sheets.plan_table(s.spark, root, *x) for x in (("shore", "distance"), ("species", "taxonomy"), ("bt", "sample")))
+    density = effort.catch_density(
+        tow, catch, site, species.select("species", "common_name"), effort.bt_daily(bt.drop("year"), base.FROM_YEAR)
+    )
+    return fix(density)
+
+
 step(
     "o_genetics_year",
     """SELECT year, count(*) AS genetics FROM v_specimen JOIN o_tow USING (op_id) WHERE genetics IS NOT NULL GROUP BY year""",
