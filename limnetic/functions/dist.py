@@ -116,8 +116,11 @@ def tukey_critical(p: float, k: float, df: float) -> float:
 
 
 def _each(fn, *series: pd.Series) -> pd.Series:
+    """``fn`` once for each distinct row of numbers; NULL where one is missing."""
     frame = pd.concat(series, axis=1).astype(float)
-    return pd.Series([None if r.isna().any() else fn(*r) for _, r in frame.iterrows()], dtype="float64")
+    frame.columns = range(frame.shape[1])
+    known = {row: fn(*row) for row in set(frame.dropna().itertuples(index=False, name=None))}
+    return pd.Series([known.get(row) for row in frame.itertuples(index=False, name=None)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -137,15 +140,8 @@ def p_from_q(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def q_critical(k: pd.Series, df: pd.Series) -> pd.Series:
-    """95 % point of the studentised range, worked out once per (k, df) of a batch."""
-    known: dict = {}
-
-    def point(k, v):
-        if (k, v) not in known:
-            known[k, v] = tukey_critical(0.05, k, v)
-        return known[k, v]
-
-    return _each(point, k, df)
+    """95 % point of the studentised range."""
+    return _each(lambda k, v: tukey_critical(0.05, k, v), k, df)
 
 
 def stars(p: Column) -> Column:

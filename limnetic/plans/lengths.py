@@ -124,15 +124,19 @@ def expanded_daily_lengths(
     small = larvae.filter(wanted & (x < 130)).groupBy("op_id", "length").agg(rows().alias("exp_n"))
     small = small.join(neuston_effort.filter(F.col("year") == year).select(*keep), "op_id")
     fish = trawl.unionByName(small)
-    n, s, ss = F.sum(w), F.sum(w * x), F.sum(w * x * x)
-    stats = fish.groupBy("date").agg(
+    # Equal lengths of a day are one cell, and deviations are taken from the day's mean.
+    cells = fish.groupBy("date", "length").agg(counted, F.min(F.struct("op_id", "location", "gear")).alias("first"))
+    means = cells.groupBy("date").agg((F.sum(w * x) / F.sum(w)).alias("mean"))
+    cells = natural_join(cells, means, "left", ["date"], bounded=True)
+    n, away = F.sum(w), x - F.col("mean")
+    stats = cells.groupBy("date").agg(
         n.alias("n"),
         F.min(x).alias("min_length"),
         F.max(x).alias("max_length"),
-        (s / n).alias("mean_length"),
+        F.min("mean").alias("mean_length"),
         F.percentile(x, F.lit(0.5), w).alias("median_length"),
-        F.sqrt(F.try_divide(F.greatest(ss - s * s / n, F.lit(0.0)), F.nullif(n - 1, F.lit(0)))).alias("sd_length"),
-        F.min(F.struct("op_id", "location", "gear")).alias("first"),
+        F.sqrt(F.try_divide(F.sum(w * away * away), F.nullif(n - 1, F.lit(0)))).alias("sd_length"),
+        F.min("first").alias("first"),
     )
     stats = stats.withColumn("se_length", F.try_divide("sd_length", F.sqrt("n")))
     stats = stats.select("*", "first.op_id", "first.location", "first.gear").drop("first")
