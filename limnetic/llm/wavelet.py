@@ -208,11 +208,12 @@ def write_shards(
     the keys), part_at (ids of the part before it), n_docs, n_ids, and ``shard``, the bytes of one compressed file that ``Shard`` opens.
 
     Defined results: a missing or empty text has the end id only; rows without a key come
-    first; repeated rows are written each, in order of their texts; an empty table gives
-    no shards. A text longer than a shard has a shard of its own.
+    first; rows of one key are written each, in order of a hash of their texts; an empty
+    table gives no shards. A text longer than a shard has a shard of its own.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), whole(text).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # The hash deals out rows that share a key or have none.
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, done = library_encoder(path), TaskContext.get().partitionId(), 0
