@@ -25,9 +25,13 @@ BLOCK_BYTES = 256 << 20
 
 
 def block_count(df: DataFrame) -> int:
-    """Blocks in proportion to the files that ``df`` reads, and as many as a shuffle has at least."""
+    """Blocks in proportion to the files that ``df`` reads, and as many as a shuffle has at least.
+
+    Sources of unknown size, which Spark takes for as large as can be, do not count.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
 

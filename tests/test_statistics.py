@@ -120,7 +120,7 @@ def test_tree_stops_at_cp_of_the_root(spark):
     deep = trees.regression_tree(df, ["x"], "y", min_bucket=7, cp=1e-6)
     assert len(deep.splits) > 3 and trees.prune(deep, 0.1).splits.keys() == {1}
     table = {r["cp"]: r for r in trees.tree_cv_table(df.withColumn("id", F.col("x").cast("long")), ["x"], "y", "id", folds=4, cps=(0.1, 1e-3), min_bucket=7).collect()}
-    assert table[0.1]["splits"] == 1 and 0 < table[0.1]["relative_error"] < 0.01 and table[0.1]["cv_error"] < 0.05
+    assert table[0.1]["splits"] == 1 and 0 < table[0.1]["relative_error"] < 0.02 and table[0.1]["cv_error"] < 0.05
     few = trees.regression_tree(df.limit(20), ["x"], "y", min_bucket=7)
     assert not few.splits
 
