@@ -22,7 +22,7 @@ NONE = 1 << 30
 # Words of up to so many parts are merged by scanning their rank array, longer ones by a queue.
 SHORT = 64
 # Pieces and words remembered by one worker; the older half of them goes when they are too many.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 # White space of the vocabulary's patterns (Unicode White_Space), as fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
