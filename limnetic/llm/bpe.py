@@ -152,6 +152,12 @@ class WordBpe:
         """Ids of a text in UTF-8. Neither words nor normal forms reach over ASCII white space."""
         return b"".join(map(self.remembered.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        """Free what was remembered; the worker may go on with other work."""
+        for known in (self.remembered, self.remembered_words):
+            known.clear()
+            known.older = {}
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -178,11 +184,13 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
+        # Its pieces are freed with the task: a reused worker would hold them in other stages.
         for batch in arrow_batches(batches):
             ids = [bpe.encode(t) for t in batch["text"].to_pylist()]
             columns = {key: batch["key"], "n_tokens": [len(x) // 4 for x in ids], "ids": pa.array(ids, pa.binary())}
             if decode:
                 columns["decoded"] = [bpe.decode(x) for x in ids]
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()
 
     return rows.mapInArrow(run, schema)
