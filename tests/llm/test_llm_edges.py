@@ -262,6 +262,43 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def toxic_texts():
+    texts = [f"{made(i, 6)} {'zorgly' if i % 3 == 0 else 'plain'}".encode() for i in range(120)]
+    return texts, np.array([int(i % 3 == 0) for i in range(120)])
+
+
+def test_toxicity_of_texts_without_words():
+    texts, labels = toxic_texts()
+    model = toxicity.fit_model(texts, labels, ["en"] * 120)
+    for last in (b"", b" \n\t ", b"!!! ##"):
+        for given in ([last], [last, last], [texts[0], last], [last, texts[0], last], [*texts, last]):
+            scores = model.scores(given)
+            assert len(scores) == len(given) and np.isfinite(scores).all()
+            assert scores[-1] == pytest.approx(model.scores([b"", b"plain"])[0])
+
+
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
+    texts, labels = toxic_texts()
+    model = toxicity.fit_model(texts, labels, ["en"] * 120)
+    mixed = [x for t in texts for x in (b"", t)]
+    alone = np.array([model.scores([t, b"plain plain plain"])[0] for t in mixed])
+    assert model.scores(mixed) == pytest.approx(alone, abs=1e-6)
+
+
+def test_toxicity_is_fitted_on_texts_without_words():
+    texts, labels = toxic_texts()
+    model = toxicity.fit_model([b"" if i % 5 == 0 else t for i, t in enumerate(texts)], labels, ["en"] * 120)
+    assert np.isfinite(model.scores([b"", texts[0]])).all()
+
+
+def test_toxicity_of_a_partition_of_one_empty_text(spark):
+    texts, labels = toxic_texts()
+    model = toxicity.fit_model(texts, labels, ["en"] * 120)
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "zorgly"), (4, "##")], "doc_id long, text string").repartition(4, "doc_id")
+    assert toxicity.score_toxicity(docs, model).count() == 4
+    assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score_toxicity(docs, model).collect())
+
+
 def test_toxicity_learns_stems_in_each_language():
     r = random.Random(7)
     texts, labels, langs = [], [], []
