@@ -323,6 +323,23 @@ def _(s):
     return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]), 4, "predicted")
 
 
+# The smallest leaf of the reference's tree, whose value it says to change the tree a lot (above:
+# rpart's own default of 7), and as many levels as a tree can have.
+SMALL_BUCKET, SMALL_LEVELS = 2, trees.MAX_DEPTH
+
+
+def leaf_means_sql(cp: float, min_bucket: int, levels: int) -> str:
+    return f"""SELECT op_id, label, R4(predicted) AS predicted FROM (WITH {tree_sql(cp, min_bucket, 0, levels)}
+       SELECT op_id, raw AS label, avg(raw) OVER (PARTITION BY node) AS predicted FROM t{levels})"""
+
+
+@query("regression_tree_bucket2", leaf_means_sql(0.01, SMALL_BUCKET, SMALL_LEVELS))
+def _(s):
+    rows = tree_rows(s)
+    model = trees.regression_tree(rows, FEATURES, "fish", min_bucket=SMALL_BUCKET)
+    return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]), 4, "predicted")
+
+
 def cv_sql(cp: float, folds: int) -> str:
     last = f"t{TREE_LEVELS}"
     return f"""SELECT {cp}::DOUBLE AS cp, splits, R6(e / sse) AS relative_error, R6(h / sse) AS cv_error FROM (WITH {tree_sql(cp, 7, folds, TREE_LEVELS)}

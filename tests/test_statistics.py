@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from limnetic.catalog import QUERIES, stats
 from limnetic.functions import dist
 from limnetic.operators import smoothers, statistics, trees
 from limnetic.operators.grouped import grouped_line
@@ -125,6 +126,17 @@ def test_tree_stops_at_cp_of_the_root(spark):
     assert not few.splits
 
 
+def test_registered_tree_isolates_a_few_extreme_catches(spark, small, monkeypatch):
+    """Three of 60 rows hold nearly all of the squared error, which no leaf of 7 rows shows."""
+    rows = [(i, float(i), *(0.0,) * 4, 1000.0 if i in (30, 31, 32) else float(i % 2)) for i in range(60)]
+    names = ["op_id long", *(f"{f} double" for f in stats.FEATURES), "fish double"]
+    monkeypatch.setattr(stats, "tree_rows", lambda s: spark.createDataFrame(rows, ", ".join(names)))
+    got = {r["op_id"]: r["predicted"] for r in QUERIES["regression_tree_bucket2"](spark, small).collect()}
+    assert all(got[i] == 1000 for i in (30, 31, 32)) and max(got[i] for i in got if i not in (30, 31, 32)) < 1.5
+    wide = {r["op_id"]: r["predicted"] for r in QUERIES["regression_tree"](spark, small).collect()}
+    assert max(wide.values()) < 500
+
+
 @pytest.mark.parametrize("k, df, q", [(10, 1, 49.07), (20, 1, 59.56), (3, 1, 26.98), (2, 2, 6.085), (20, 2, 16.77), (5, 3, 7.502), (10, 5, 6.995), (3, 20, 3.578)])
 def test_studentised_range_points(k, df, q):
     assert dist.tukey_critical(0.05, k, df) == pytest.approx(q, rel=2e-3)
