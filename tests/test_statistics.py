@@ -3,11 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limnetic.catalog import QUERIES, stats
+from limnetic.catalog import QUERIES, registry, stats
 from limnetic.functions import dist
 from limnetic.operators import smoothers, statistics, trees
 from limnetic.operators.grouped import grouped_line
@@ -137,6 +138,55 @@ def test_registered_tree_isolates_a_few_extreme_catches(spark, small, monkeypatc
     assert max(wide.values()) < 500
 
 
+def test_each_row_has_a_held_out_prediction_at_each_cp(spark):
+    """Their squared errors are those of the cp table, and no row helps to predict itself."""
+    rows = [(i, float(i % 50), (5.0 if i % 50 > 30 else 1.0) + (i * 37 % 11) / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    given = dict(folds=5, cps=(0.1, 0.01), min_bucket=2)
+    found = trees.cv_predictions(df, ["x"], "y", "id", **given).collect()
+    assert sorted((r["id"], r["cp"]) for r in found) == sorted((i, cp) for i in range(200) for cp in (0.1, 0.01))
+    sse = sum((y - np.mean([r[2] for r in rows])) ** 2 for _, _, y in rows)
+    for r in trees.tree_cv_table(df, ["x"], "y", "id", **given).collect():
+        held = sum((p["label"] - p["predicted"]) ** 2 for p in found if p["cp"] == r["cp"])
+        assert r["cv_error"] == pytest.approx(held / sse)
+    row = next(r for r in found if r["id"] == 0 and r["cp"] == 0.1)
+    fold = {r["id"] for r in found if r["fold"] == row["fold"]}
+    rest = df.filter(~F.col("id").isin(list(fold)))
+    model = trees.regression_tree(rest, ["x"], "y", min_bucket=2, cp=0.1)
+    assert trees.predict(model, df.filter("id = 0"), ["x"], "y", ["id"]).first()["predicted"] == pytest.approx(row["predicted"])
+
+
+def test_reference_cp_is_registered(spark, small):
+    assert {r["cp"] for r in QUERIES["tree_cp_table"](spark, small).collect()} == {0.1, 0.03, 0.01}
+    pruned = {r["predicted"] for r in QUERIES["tree_pruned"](spark, small).collect()}
+    assert len(pruned) <= len({r["predicted"] for r in QUERIES["regression_tree_bucket2"](spark, small).collect()})
+
+
+def test_tree_queries_equal_their_sql_where_trees_are_deep(spark, small, monkeypatch):
+    """The small tables have no split; these rows have many."""
+    rnd = random.Random(8)
+    rows = [(i, *(float(rnd.randint(0, 9)) for _ in stats.FEATURES), float(round(rnd.expovariate(1) ** 4, 2))) for i in range(150)]
+    df = spark.createDataFrame(rows, ", ".join(["op_id long", *(f"{f} double" for f in stats.FEATURES), "fish double"]))
+    monkeypatch.setattr(stats, "tree_rows", lambda s: df)
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE made (op_id BIGINT, {', '.join(f'{f} DOUBLE' for f in stats.FEATURES)}, raw DOUBLE)")
+    con.executemany(f"INSERT INTO made VALUES ({', '.join('?' * 7)})", rows)
+    con.sql("CREATE TABLE o_tree_rows AS SELECT *, raw - avg(raw) OVER () AS y FROM made")
+    leaf, held, cv = stats.leaf_means_sql, stats.held_out_sql, stats.cv_sql
+    bucket, levels = stats.SMALL_BUCKET, stats.SMALL_LEVELS
+    bodies = {
+        "regression_tree_bucket2": leaf(0.01, bucket, levels),
+        "tree_pruned": leaf(0.1, bucket, levels),
+        "tree_cp_table": " UNION ALL ".join(cv(cp, stats.FOLDS, bucket, levels) for cp in stats.SMALL_CPS),
+        "tree_cv_predictions": " UNION ALL ".join(held(cp) for cp in stats.SMALL_CPS),
+    }
+    for key, body in bodies.items():
+        got = QUERIES[key](spark, small)
+        want = con.sql(registry._rounding(body))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()), key
+    assert len({r["predicted"] for r in QUERIES["regression_tree_bucket2"](spark, small).collect()}) > 5
+
+
 @pytest.mark.parametrize("k, df, q", [(10, 1, 49.07), (20, 1, 59.56), (3, 1, 26.98), (2, 2, 6.085), (20, 2, 16.77), (5, 3, 7.502), (10, 5, 6.995), (3, 20, 3.578)])
 def test_studentised_range_points(k, df, q):
     assert dist.tukey_critical(0.05, k, df) == pytest.approx(q, rel=2e-3)
