@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from limnetic.session import written
 
 from .joins import natural_join
+from .ordered import prefix_sums
 
 
 def smooth_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -111,8 +112,9 @@ def density_ridges(
     The bandwidth is the mean of the facet's group bandwidths. Values are spread
     linearly onto the grid first, so the kernel sum costs grid times grid per
     group however many rows there are. Curve points below ``min_height`` of the
-    facet's highest point are left out. The group's median stands beside. The
-    counted values and the group figures are written once, as several steps use them.
+    facet's highest point are left out. The group's median stands beside; it and the
+    quartiles come from running sums over the counted values. The counted values and
+    the group figures are written once, as several steps use them.
     """
     c = F.col
     keys = [facet, group]
@@ -122,14 +124,29 @@ def density_ridges(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     values = written(values, "values")
-    quart = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
-    per_group = values.groupBy(*keys).agg(
+    ranked = prefix_sums(values, keys, "_x", ["_n"])
+    shares = (0.25, 0.5, 0.75)
+
+    def at(rank: Column) -> Column:
+        """The value at a rank from 0: the first up to which more rows are counted."""
+        return F.min(F.when(c("cum__n") > rank, c("_x")))
+
+    def place(share: float, total: str) -> Column:
+        return (c(total) - 1) * share
+
+    per_group = ranked.groupBy(*keys).agg(
         F.sum("_n").alias("_total"),
         (F.sum(c("_n") * c("_x")) / F.sum("_n")).alias("_mean"),
         F.min("_x").alias("_lo"),
         F.max("_x").alias("_hi"),
-        quart.alias("_q"),
+        F.array(*[at(F.floor(place(p, "total__n"))) for p in shares]).alias("_below"),
+        F.array(*[at(F.ceil(place(p, "total__n"))) for p in shares]).alias("_above"),
     )
+    between = [
+        c("_below")[i] + (c("_above")[i] - c("_below")[i]) * (place(p, "_total") - F.floor(place(p, "_total")))
+        for i, p in enumerate(shares)
+    ]
+    per_group = per_group.withColumn("_q", F.array(*between)).drop("_below", "_above")
     off = c("_x") - c("_mean")
     spread = natural_join(values, per_group.select(*keys, "_mean"), "left", keys)
     spread = spread.groupBy(*keys).agg(F.sum(c("_n") * off * off).alias("_ss"))

@@ -223,3 +223,23 @@ def test_poisson_points(spark):
         exact = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(points))])
         assert np.allclose(points, exact, rtol=1e-9) and points[-1] == pytest.approx(1, abs=1e-12)
 
+
+def test_density_quartiles_need_no_buffer_of_a_group(spark, monkeypatch):
+    """The quartiles behind the bandwidth, and the median, at even, odd and tied counts and a missing group."""
+
+    def refused(*_):
+        raise AssertionError("one buffer holds a group's values")
+
+    monkeypatch.setattr(smoothers.F, "percentile", refused)
+    rnd = random.Random(4)
+    rows = [("f", g, float(round(rnd.expovariate(1), d))) for g, d, n in ((0, 9, 400), (1, 1, 401), (None, 9, 6), (3, 9, 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "f string, g int, x double")
+    points = smoothers.density_ridges(df, "f", "g", "x", points=60, min_height=0.0).collect()
+    widths = []
+    for g in (0, 1, None, 3):
+        own = [x for _, h, x in rows if h == g]
+        sd = np.std(own, ddof=1) if len(own) > 1 else 0
+        spread = min(sd, np.subtract(*np.quantile(own, (0.75, 0.25))) / 1.34)
+        widths.append(0.9 * (spread or 1) * len(own) ** -0.2)
+        assert [p["median"] for p in points if p["g"] == g] == pytest.approx([np.median(own)] * 60)
+    assert min(p["x"] for p in points) == pytest.approx(min(r[2] for r in rows) - 3 * np.mean(widths))
