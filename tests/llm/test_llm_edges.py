@@ -299,6 +299,17 @@ def test_toxicity_of_a_partition_of_one_empty_text(spark):
     assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score_toxicity(docs, model).collect())
 
 
+def test_toxicity_is_fitted_on_one_row_a_key(spark, monkeypatch):
+    texts, labels = toxic_texts()
+    rows = [(i, t.decode(), "en") for i, t in enumerate(texts)] + [(0, f"text {i}", None if i % 2 else "en") for i in range(500)]
+    marks = spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels)], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_model", lambda *given: fitted.append([list(x) for x in given]))
+    for parts in (1, 7):
+        toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts), marks, F.lit(True))
+    assert len(fitted[0][0]) == 120 and sum(fitted[0][1]) == labels.sum() and fitted[0] == fitted[1]
+
+
 def test_toxicity_learns_stems_in_each_language():
     r = random.Random(7)
     texts, labels, langs = [], [], []
