@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from limnetic.llm import bpe, exact, language, lattice, minhash, mixing, quality, secrets, toxicity, wavelet
+from limnetic.llm import bpe, exact, language, lattice, minhash, mixing, packing, phrases, quality, search, secrets, toxicity, wavelet
 from limnetic.llm.common import remainder, table
 from limnetic.llm.register import query
 from limnetic.session import shared_path
@@ -216,3 +216,78 @@ def op10(spark, root):
     fold = remainder("doc_id", 7)
     scored = lattice.lattice_scores(table(spark, root, "documents"), fold != 2, public_tokenizers.path(VOCABULARY))
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_bin_slack_packing")
+def op11(spark, root):
+    vocabulary, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = packing.pack_windows(table(spark, root, "documents"), vocabulary, ranks)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (
+  SELECT no, doc_id, len(w) AS n FROM words WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), asked AS (
+  SELECT item_id, term, count(*) AS q FROM (SELECT DISTINCT item_id, text FROM benchmark) b,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t(term) GROUP BY ALL
+), postings AS (
+  SELECT no, term, count(*) AS tf FROM words, unnest(w) t(term) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, no, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN docs USING (no), totals GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op12_hybrid_search", SEARCH_SQL)
+def op12(spark, root):
+    return search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS no, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 5) t(m) WHERE len(w) >= m)
+), f AS (
+  SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cand AS (
+  SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1
+), cuts AS (
+  SELECT lang, phrase, m, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, k, h.a AS l, t.a AS r, ((2000000::HUGEINT * c.a) // (h.a + t.a))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+), lowest AS (
+  SELECT lang, phrase, a, l, r, score FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS top
+  FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM cand, range(2, 4) t(s) WHERE s < m) GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT x.lang, x.phrase, a, l, r, score, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+  FROM lowest x LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase WHERE top IS NULL OR 100 * top < 80 * a
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_filters", PHRASES_SQL)
+def op13(spark, root):
+    return phrases.collocations(table(spark, root, "documents"))
