@@ -484,8 +484,8 @@ _MATRIX = ", ".join(
 )
 
 
-@query(
-    "feature_matrix",
+step(
+    "o_year_matrix",
     f"""SELECT a.*, t."May", t."June", t."July" FROM
        (SELECT w.year, {_MATRIX} FROM o_weather_month w
         LEFT JOIN o_ice_month i ON w.year = i.year AND w.month = i.month
@@ -495,7 +495,10 @@ _MATRIX = ", ".join(
                     R4(max(CASE WHEN month_long = 'July' THEN noha_mean END)) AS "July" FROM o_dd_length GROUP BY year) t
        ON a.year = t.year WHERE a.year <> 1999""",
 )
-def _(s):
+
+
+@query("feature_matrix", "SELECT * FROM o_year_matrix")
+def year_matrix(s):
     df = climate.feature_matrix(
         climate.weather_monthly(s.weather),
         climate.ice_monthly(ice(s), base.FROM_YEAR),

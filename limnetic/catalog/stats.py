@@ -14,7 +14,7 @@ from limnetic.plans.larvae import temperature_rows
 from . import base
 from .pipelines_fish import yolk
 from .pipelines_lab import ci_sql
-from .pipelines_survey import rounded_summary
+from .pipelines_survey import rounded_summary, year_matrix
 from .registry import fix, query, step
 
 
@@ -249,14 +249,14 @@ def tree_rows(s):
 
 step(
     "o_tree_rows",
-    """SELECT t.op_id, CAST(t.jday AS DOUBLE) AS jday, CAST(t.year AS DOUBLE) AS year, coalesce(t.mid_depth, 0) AS mid_depth,
-  coalesce(t.mid_lat, 0) AS mid_lat, coalesce(t.shore_distance, 0) AS shore_distance, c.y AS raw, c.y - avg(c.y) OVER () AS y
+    """SELECT t.op_id, CAST(t.jday AS DOUBLE) AS jday, CAST(t.year AS DOUBLE) AS year, t.mid_depth, t.mid_lat, t.shore_distance,
+  c.y AS raw, c.y - avg(c.y) OVER () AS y
 FROM o_tow t JOIN (SELECT op_id, CAST(sum(n) AS DOUBLE) AS y FROM v_catch GROUP BY op_id) c USING (op_id)""",
 )
 step(
     "o_tree_cells",
     "\nUNION ALL ".join(
-        f"SELECT '{f}' AS feature, {f} AS x, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM o_tree_rows GROUP BY {f}"
+        f"SELECT '{f}' AS feature, {f} AS x, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM o_tree_rows WHERE {f} IS NOT NULL GROUP BY {f}"
         for f in FEATURES
     ),
 )
@@ -278,45 +278,93 @@ def _(s):
     return fix(fix(df, 6, "split_at", "improvement"), 2, "gain")
 
 
-def tree_sql(cp: float, min_bucket: int, folds: int, levels: int) -> str:
-    """CTEs that split all trees level by level: t<levels> has every row with its last node."""
-    values = ", ".join(FEATURES)
-    pick = "CASE f " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(FEATURES)) + " END"
+DIGITS = trees.DIGITS
+
+
+def tree_sql(cp: float, min_bucket: int, folds: int, levels: int, features=FEATURES, rows="o_tree_rows", row_id="op_id") -> str:
+    """CTEs that grow all trees level by level: t<levels> has every row with its last node.
+
+    s<k> has the training sums of the nodes that are new at level k, b<k> their splits.
+    """
+    n, values = len(features), ", ".join(f'"{f}"' for f in features)
     parts = [
-        f"""t0 AS MATERIALIZED (SELECT r.*, r.y AS c, k AS tree, fold <> k AS train, 1::BIGINT AS node FROM
-  (SELECT t.*, ('0x' || substr(md5(op_id::VARCHAR), 1, 8))::BIGINT % {max(folds, 1)} AS fold FROM o_tree_rows t) r,
+        f"""t0 AS MATERIALIZED (SELECT r.*, k AS tree, fold <> k AS train, 1::BIGINT AS node FROM
+  (SELECT {row_id} AS id, raw, y AS c, [{values}]::DOUBLE[] AS xs, ('0x' || substr(md5({row_id}::VARCHAR), 1, 8))::BIGINT % {max(folds, 1)} AS fold FROM {rows}) r,
   range({0 if folds else 1}, {folds + 1 if folds else 2}) g(k))""",
-        "root AS MATERIALIZED (SELECT tree, avg(y) AS m, var_pop(y) * count(*) AS sse FROM t0 WHERE train GROUP BY tree)",
+        "root AS MATERIALIZED (SELECT tree, avg(c) AS m, var_pop(c) * count(*) AS sse FROM t0 WHERE train GROUP BY tree)",
     ]
     for k in range(levels):
-        long = "\nUNION ALL ".join(f"SELECT tree, node, {i} AS f, {x} AS x, c FROM t{k} WHERE train" for i, x in enumerate(FEATURES))
-        parts.append(
-            f"""b{k} AS MATERIALIZED (SELECT tree, node, f, x AS cut FROM
-  (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, x) AS first FROM
-    (SELECT *, R4(sl * sl / nl + (sa - sl) * (sa - sl) / nr - sa * sa / na) AS gain FROM
+        parts += [
+            f"""s{k} AS MATERIALIZED (SELECT tree, node, count(*) AS n, avg(raw) AS mean, var_pop(c) * count(*) AS risk
+  FROM t{k} WHERE train AND node >= {1 << k} GROUP BY ALL)""",
+            f"""b{k} AS MATERIALIZED (SELECT tree, node, f, x AS cut, nl >= nr AS majority FROM
+  (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY share DESC, f, x) AS first FROM
+    (SELECT *, round((sl * sl / nl + (sa - sl) * (sa - sl) / nr - sa * sa / na) / sse, {DIGITS}) AS share FROM
       (SELECT *, na - nl AS nr FROM
         (SELECT tree, node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS na, sum(s) OVER a AS sa FROM
-          (SELECT tree, node, f, x, count(*) AS n, sum(c - m) AS s FROM ({long}) JOIN root USING (tree) GROUP BY ALL)
+          (SELECT tree, node, f, x, count(*) AS n, sum(c - m) AS s FROM
+            (SELECT tree, node, c, unnest(range(0, {n})) AS f, unnest(xs) AS x FROM t{k} JOIN
+              (SELECT tree, node FROM s{k} JOIN root USING (tree) WHERE n >= {3 * min_bucket} AND risk > {max(cp, 10.0**-DIGITS)}::DOUBLE * sse) USING (tree, node)
+             WHERE train) JOIN root USING (tree) WHERE x IS NOT NULL GROUP BY ALL)
          WINDOW w AS (PARTITION BY tree, node, f ORDER BY x), a AS (PARTITION BY tree, node, f)))
-     WHERE nl >= {min_bucket} AND nr >= {min_bucket} AND na >= {3 * min_bucket})) JOIN root USING (tree)
-  WHERE first = 1 AND gain > 0 AND gain >= {cp}::DOUBLE * sse)"""
-        )
-        parts.append(
-            f"""t{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (node, f, cut), CASE WHEN cut IS NULL THEN node ELSE 2 * node + ({pick} > cut)::INT END AS node
-  FROM t{k} LEFT JOIN b{k} USING (tree, node))"""
-        )
+     JOIN root USING (tree) WHERE nl >= {min_bucket} AND nr >= {min_bucket})) WHERE first = 1 AND share > 0)""",
+            f"g{k} AS MATERIALIZED (SELECT t.*, xs[f + 1] <= cut AS side, f FROM t{k} t JOIN b{k} USING (tree, node))",
+            f"""u{k} AS MATERIALIZED (SELECT tree, node, f, x, turned, row_number() OVER (PARTITION BY tree, node ORDER BY agree DESC, f) AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY tree, node, f ORDER BY agree DESC, x, turned) AS first FROM
+    (SELECT *, CASE WHEN turned THEN la + ra - cl - ra + cr ELSE cl + ra - cr END AS agree FROM
+      (SELECT tree, node, f, x, sum(l) OVER w AS cl, sum(r) OVER w AS cr, sum(l) OVER a AS la, sum(r) OVER a AS ra FROM
+        (SELECT tree, node, h AS f, x, count(*) FILTER (side) AS l, count(*) FILTER (NOT side) AS r FROM
+          (SELECT tree, node, f, side, unnest(range(0, {n})) AS h, unnest(xs) AS x FROM g{k}
+           WHERE train AND side IS NOT NULL AND (tree, node) IN (SELECT (tree, node) FROM g{k} WHERE side IS NULL))
+         WHERE x IS NOT NULL AND h <> f GROUP BY ALL)
+       WINDOW w AS (PARTITION BY tree, node, f ORDER BY x), a AS (PARTITION BY tree, node, f)), (VALUES (false), (true)) v(turned)
+     WHERE cl + cr < la + ra) WHERE agree > greatest(la, ra)) WHERE first = 1 QUALIFY rank <= {trees.SURROGATES})""",
+            f"""w{k} AS MATERIALIZED (SELECT g.tree, g.id, arg_min((xs[u.f + 1] <= u.x) <> turned, rank) AS other FROM g{k} g JOIN u{k} u USING (tree, node)
+  WHERE side IS NULL AND xs[u.f + 1] IS NOT NULL GROUP BY ALL)""",
+            f"""t{k + 1} AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN f IS NULL THEN node
+    ELSE 2 * node + CASE WHEN coalesce(xs[f + 1] <= cut, other, majority) THEN 0 ELSE 1 END END AS node)
+  FROM t{k} t LEFT JOIN b{k} USING (tree, node) LEFT JOIN w{k} USING (tree, id))""",
+        ]
+    parts.append(f"""s{levels} AS MATERIALIZED (SELECT tree, node, count(*) AS n, avg(raw) AS mean, var_pop(c) * count(*) AS risk
+  FROM t{levels} WHERE train AND node >= {1 << levels} GROUP BY ALL)""")
+    parts.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(levels + 1)) + ")")
+    parts.append("splits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT tree, node FROM b{k}" for k in range(levels)) + ")")
     return ",\n".join(parts)
 
 
-# Deeper than any of these trees gets; a level without a split leaves the rows as they are.
-TREE_LEVELS = 12
+def pruned_sql(costs: str, levels: int) -> str:
+    """CTEs that cut all trees back for each (j, cost) of ``costs``: leaves (tree, j, node), the leaf of each row in placed."""
+    parts = [f"costs AS MATERIALIZED ({costs})", f"v{levels} AS MATERIALIZED (SELECT tree, node, j, risk + cost * sse AS v, false AS keep FROM s{levels} JOIN root USING (tree), costs)"]
+    for k in reversed(range(levels)):
+        parts.append(f"""v{k} AS MATERIALIZED (SELECT tree, node, j, CASE WHEN keep THEN below ELSE own END AS v, keep FROM
+  (SELECT *, coalesce(round((own - below) / sse, {DIGITS}) > 0, false) AS keep FROM
+    (SELECT s.tree, s.node, c.j, s.risk + c.cost * sse AS own, sse, l.v + r.v AS below FROM s{k} s JOIN root USING (tree) CROSS JOIN costs c
+     LEFT JOIN v{k + 1} l ON l.tree = s.tree AND l.node = 2 * s.node AND l.j = c.j
+     LEFT JOIN v{k + 1} r ON r.tree = s.tree AND r.node = 2 * s.node + 1 AND r.j = c.j)))""")
+    return ",\n".join(parts) + f""",
+v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT tree, node, j, keep FROM v{k}" for k in range(levels + 1))}),
+leaves AS MATERIALIZED (SELECT tree, j, node FROM v WHERE NOT keep AND NOT EXISTS (SELECT 1 FROM v a, range(1, {levels + 1}) i(i)
+  WHERE a.tree = v.tree AND a.j = v.j AND a.node = v.node >> i.i AND NOT a.keep)),
+placed AS MATERIALIZED (SELECT r.id, r.tree, r.raw, r.train, l.j, l.node AS leaf FROM t{levels} r, range(0, {levels + 1}) i(i)
+  JOIN leaves l ON l.tree = r.tree AND l.node = r.node >> i.i WHERE (r.tree = (SELECT max(tree) FROM root)) = r.train)"""
 
 
-@query(
-    "regression_tree",
-    f"""SELECT op_id, label, R4(predicted) AS predicted FROM (WITH {tree_sql(0.01, 7, 0, TREE_LEVELS)}
-       SELECT op_id, raw AS label, avg(raw) OVER (PARTITION BY node) AS predicted FROM t{TREE_LEVELS})""",
-)
+def fixed_costs(cps) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({j}, {cp}::DOUBLE, {cp}::DOUBLE)" for j, cp in enumerate(cps)) + ") q(j, cp, cost)"
+
+
+# As many levels as a tree can have; a level without a split leaves the rows as they are.
+TREE_LEVELS = trees.MAX_DEPTH
+
+
+def leaf_means_sql(cp: float, min_bucket: int, levels: int, **table) -> str:
+    grown = tree_sql(cp, min_bucket, 0, levels, **table)
+    return f"""SELECT id AS {table.get("row_id", "op_id")}, raw AS label, R4(mean) AS predicted FROM (WITH {grown},
+{pruned_sql(fixed_costs([cp]), levels)}
+       SELECT id, raw, mean FROM placed JOIN nodes ON nodes.tree = placed.tree AND nodes.node = leaf)"""
+
+
+@query("regression_tree", leaf_means_sql(0.01, 7, TREE_LEVELS))
 def _(s):
     rows = tree_rows(s)
     model = trees.regression_tree(rows, FEATURES, "fish", min_bucket=7)
@@ -324,13 +372,8 @@ def _(s):
 
 
 # The smallest leaf of the reference's tree, whose value it says to change the tree a lot (above:
-# rpart's own default of 7), and as many levels as a tree can have.
-SMALL_BUCKET, SMALL_LEVELS = 2, trees.MAX_DEPTH
-
-
-def leaf_means_sql(cp: float, min_bucket: int, levels: int) -> str:
-    return f"""SELECT op_id, label, R4(predicted) AS predicted FROM (WITH {tree_sql(cp, min_bucket, 0, levels)}
-       SELECT op_id, raw AS label, avg(raw) OVER (PARTITION BY node) AS predicted FROM t{levels})"""
+# rpart's own default of 7).
+SMALL_BUCKET, SMALL_LEVELS = 2, TREE_LEVELS
 
 
 @query("regression_tree_bucket2", leaf_means_sql(0.01, SMALL_BUCKET, SMALL_LEVELS))
@@ -340,34 +383,36 @@ def _(s):
     return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]), 4, "predicted")
 
 
-def cv_sql(cp: float, folds: int, min_bucket: int = 7, levels: int = TREE_LEVELS) -> str:
-    last = f"t{levels}"
-    return f"""SELECT {cp}::DOUBLE AS cp, splits, R6(e / sse) AS relative_error, R6(h / sse) AS cv_error FROM (WITH {tree_sql(cp, min_bucket, folds, levels)}
-  SELECT (SELECT count(DISTINCT node) - 1 FROM {last} WHERE tree = {folds}) AS splits, (SELECT sse FROM root WHERE tree = {folds}) AS sse,
-    (SELECT sum((y - p) * (y - p)) FROM (SELECT y, avg(y) OVER (PARTITION BY node) AS p FROM {last} WHERE tree = {folds})) AS e,
-    (SELECT sum((y - p) * (y - p)) FROM {last} JOIN (SELECT tree, node, avg(y) AS p FROM {last} WHERE train GROUP BY ALL) USING (tree, node)
-     WHERE NOT train) AS h)"""
+def cv_sql(cps, folds: int, min_bucket: int = 7, levels: int = TREE_LEVELS, **table) -> str:
+    cps = cps if isinstance(cps, tuple) else (cps,)
+    return f"""SELECT cp, splits, R6(e / sse) AS relative_error, R6(h / sse) AS cv_error, R6(sqrt(spread) / sse) AS cv_se FROM (
+WITH {tree_sql(min(cps), min_bucket, folds, levels, **table)},
+{pruned_sql(fixed_costs(cps), levels)},
+held AS (SELECT j, sum(e) AS h, var_pop(e) * count(*) AS spread FROM
+  (SELECT j, power(raw - mean, 2) AS e FROM placed JOIN nodes ON nodes.tree = placed.tree AND nodes.node = leaf WHERE NOT train) GROUP BY j)
+SELECT cp, count(*) - 1 AS splits, sum(risk) AS e, any_value(sse) AS sse, any_value(h) AS h, any_value(spread) AS spread
+FROM leaves JOIN nodes USING (tree, node) JOIN root USING (tree) JOIN costs USING (j) LEFT JOIN held USING (j) WHERE tree = {folds} GROUP BY cp)"""
 
 
 CPS, FOLDS = (0.05, 0.01), 10
 
 
-@query("tree_cv_table", "\nUNION ALL ".join(cv_sql(cp, FOLDS) for cp in CPS))
+@query("tree_cv_table", cv_sql(CPS, FOLDS))
 def _(s):
-    return fix(trees.tree_cv_table(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, CPS, min_bucket=7), 6, "relative_error", "cv_error")
+    df = trees.tree_cv_table(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, CPS, min_bucket=7)
+    return fix(df, 6, "relative_error", "cv_error", "cv_se")
 
 
 # The reference prunes at the first; it asks for 500 folds, which here are ``FOLDS``.
 SMALL_CPS = (0.1, 0.03, 0.01)
 
 
-@query("tree_cp_table", "\nUNION ALL ".join(cv_sql(cp, FOLDS, SMALL_BUCKET, SMALL_LEVELS) for cp in SMALL_CPS))
+@query("tree_cp_table", cv_sql(SMALL_CPS, FOLDS, SMALL_BUCKET, SMALL_LEVELS))
 def _(s):
     df = trees.tree_cv_table(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, SMALL_CPS, min_bucket=SMALL_BUCKET)
-    return fix(df, 6, "relative_error", "cv_error")
+    return fix(df, 6, "relative_error", "cv_error", "cv_se")
 
 
-# Splits are chosen without regard to cp, so a tree grown at the cp is the pruned one.
 @query("tree_pruned", leaf_means_sql(SMALL_CPS[0], SMALL_BUCKET, SMALL_LEVELS))
 def _(s):
     rows = tree_rows(s)
@@ -375,19 +420,98 @@ def _(s):
     return fix(trees.predict(model, rows, FEATURES, "fish", ["op_id"]), 4, "predicted")
 
 
-def held_out_sql(cp: float) -> str:
-    last = f"t{SMALL_LEVELS}"
-    return f"""SELECT op_id, {cp}::DOUBLE AS cp, tree::INT AS fold, raw AS label, R4(p) AS predicted FROM (WITH {tree_sql(cp, SMALL_BUCKET, FOLDS, SMALL_LEVELS)}
-  SELECT h.op_id, h.tree, h.raw, m.p FROM {last} h
-    LEFT JOIN (SELECT tree, node, avg(raw) AS p FROM {last} WHERE train GROUP BY ALL) m USING (tree, node) WHERE NOT h.train)"""
+def held_out_sql(cps, folds: int = FOLDS, min_bucket: int = SMALL_BUCKET, levels: int = SMALL_LEVELS, **table) -> str:
+    cps = cps if isinstance(cps, tuple) else (cps,)
+    return f"""SELECT id AS {table.get("row_id", "op_id")}, cp, tree::INT AS fold, raw AS label, R4(mean) AS predicted FROM (
+WITH {tree_sql(min(cps), min_bucket, folds, levels, **table)},
+{pruned_sql(fixed_costs(cps), levels)}
+SELECT id, cp, placed.tree, raw, mean FROM placed JOIN costs USING (j) JOIN nodes ON nodes.tree = placed.tree AND nodes.node = leaf WHERE NOT train)"""
 
 
-@query("tree_cv_predictions", "\nUNION ALL ".join(held_out_sql(cp) for cp in SMALL_CPS))
+@query("tree_cv_predictions", held_out_sql(SMALL_CPS))
 def _(s):
     df = trees.cv_predictions(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, SMALL_CPS, min_bucket=SMALL_BUCKET)
     return fix(df, 4, "predicted")
 
 
+def sequence_ctes(folds: int, min_bucket: int, levels: int, least: float, **table) -> str:
+    """CTEs of the trees cut back at every cp of the table.
+
+    A split goes at the largest saving a leaf, over all ways to cut back what hangs below it, or with one above it.
+    """
+    whole = f"tree = {folds}"
+    parts = [f"d{levels} AS MATERIALIZED (SELECT node, 1::BIGINT AS m, risk FROM s{levels} WHERE {whole})"]
+    for k in reversed(range(levels)):
+        parts.append(f"""d{k} AS MATERIALIZED (SELECT node, 1::BIGINT AS m, risk FROM s{k} WHERE {whole} UNION ALL
+  SELECT b.node, l.m + r.m, min(l.risk + r.risk) FROM b{k} b JOIN d{k + 1} l ON l.node = 2 * b.node JOIN d{k + 1} r ON r.node = 2 * b.node + 1
+  WHERE {whole} GROUP BY ALL)""")
+    parts.append("links AS MATERIALIZED (" + " UNION ALL ".join(f"""SELECT d.node, max(round((own - d.risk) / (d.m - 1) / sse, {DIGITS})) AS g FROM d{k} d
+  JOIN (SELECT node, risk AS own FROM s{k} WHERE {whole}) USING (node), root WHERE root.{whole} AND d.m > 1 GROUP BY d.node""" for k in range(levels)) + ")")
+    parts.append(f"""gone AS MATERIALIZED (SELECT x.node, min(a.g) AS g FROM links x, range(0, {levels + 1}) i(i) JOIN links a ON a.node = x.node >> i.i GROUP BY x.node)""")
+    costs = f"""SELECT row_number() OVER (ORDER BY cp DESC) AS j, cp, round(sqrt(lag(cp, 1, 10.0::DOUBLE) OVER (ORDER BY cp DESC) * cp), {DIGITS}) AS cost
+  FROM (SELECT DISTINCT g AS cp FROM gone WHERE g > {least}::DOUBLE UNION ALL SELECT {least}::DOUBLE)"""
+    return f"{tree_sql(least, min_bucket, folds, levels, **table)},\n{', '.join(parts)},\n{pruned_sql(costs, levels)}"
+
+
+def cp_sequence_sql(folds: int, min_bucket: int, levels: int, least: float = 0.01, **table) -> str:
+    whole = f"tree = {folds}"
+    return f"""SELECT cp, splits, R6(e / sse) AS relative_error, R6(h / sse) AS cv_error, R6(sqrt(spread) / sse) AS cv_se,
+  splits = min(splits) FILTER (round(h / sse, {DIGITS}) <= round(low, {DIGITS})) OVER () AS chosen FROM (
+SELECT *, first_value(h / sse + sqrt(spread) / sse) OVER (ORDER BY h / sse, splits) AS low FROM (
+WITH {sequence_ctes(folds, min_bucket, levels, least, **table)},
+held AS (SELECT j, sum(e) AS h, var_pop(e) * count(*) AS spread FROM
+  (SELECT j, power(raw - mean, 2) AS e FROM placed JOIN nodes ON nodes.tree = placed.tree AND nodes.node = leaf WHERE NOT train) GROUP BY j),
+kept AS (SELECT cp, node FROM gone, costs WHERE g > cp),
+sizes AS (SELECT cp, sum(risk) AS e FROM costs, nodes n WHERE {whole} AND (cp, n.node) NOT IN (SELECT (cp, node) FROM kept)
+  AND (n.node = 1 OR (cp, n.node // 2) IN (SELECT (cp, node) FROM kept)) GROUP BY cp)
+SELECT cp, (SELECT count(*) FROM kept WHERE kept.cp = costs.cp) AS splits, e, sse, h, spread
+FROM costs JOIN sizes USING (cp) LEFT JOIN held USING (j), root WHERE {whole}))"""
+
+
+@query("tree_cp_sequence", cp_sequence_sql(FOLDS, SMALL_BUCKET, SMALL_LEVELS))
+def _(s):
+    df = trees.cp_table(tree_rows(s), FEATURES, "fish", "op_id", FOLDS, min_bucket=SMALL_BUCKET)
+    return fix(df, 6, "relative_error", "cv_error", "cv_se")
+
+
+# The reference's own tree: July's density by the other columns of the year matrix, with leaves of
+# 1 and of 2 years and 500 folds. No tree of so few years has more levels.
+YEAR_FEATURES = [f"{m}_{name}" for m in climate.FEATURES for name in climate.YEAR_MONTHS[:7]] + ["May", "June"]
+YEAR_LEVELS, YEAR_FOLDS = len(base.YEARS) + 1, 500
+YEAR_TABLE = {"features": YEAR_FEATURES, "rows": "o_year_rows", "row_id": "year"}
+step("o_year_rows", 'SELECT *, "July" AS raw, "July" - avg("July") OVER () AS y FROM o_year_matrix WHERE "July" IS NOT NULL')
+
+
+def year_tree(min_bucket: int):
+    def run(s):
+        rows = year_matrix(s)
+        model = trees.regression_tree(rows, YEAR_FEATURES, "July", min_bucket=min_bucket)
+        return fix(trees.predict(model, rows, YEAR_FEATURES, "July", ["year"]), 4, "predicted")
+
+    return run
+
+
+query("tree_year_matrix", leaf_means_sql(0.01, 1, YEAR_LEVELS, **YEAR_TABLE))(year_tree(1))
+query("tree_year_matrix_bucket2", leaf_means_sql(0.01, 2, YEAR_LEVELS, **YEAR_TABLE))(year_tree(2))
+
+
+@query("tree_year_cp", cp_sequence_sql(YEAR_FOLDS, 2, YEAR_LEVELS, **YEAR_TABLE))
+def _(s):
+    df = trees.cp_table(year_matrix(s), YEAR_FEATURES, "July", "year", YEAR_FOLDS, min_bucket=2)
+    return fix(df, 6, "relative_error", "cv_error", "cv_se")
+
+
+@query(
+    "tree_year_xpred",
+    f"""SELECT id AS year, cp, tree::INT AS fold, raw AS label, R4(mean) AS predicted FROM (
+WITH {sequence_ctes(YEAR_FOLDS, 2, YEAR_LEVELS, 0.01, **YEAR_TABLE)}
+SELECT id, cp, placed.tree, raw, mean FROM placed JOIN costs USING (j) JOIN nodes ON nodes.tree = placed.tree AND nodes.node = leaf WHERE NOT train)""",
+)
+def _(s):
+    df = trees.cv_predictions(year_matrix(s), YEAR_FEATURES, "July", "year", YEAR_FOLDS, None, min_bucket=2)
+    return fix(df, 4, "predicted")
+
+
 # -- smoothers -----------------------------------------------------------------
 
 

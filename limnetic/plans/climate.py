@@ -151,14 +151,12 @@ def feature_matrix(
 
 
 def tow_features(effort: DataFrame) -> DataFrame:
-    """Tow-level numeric predictors, none missing."""
-    zero = F.lit(0.0)
+    """Tow-level numeric predictors; what is not known stays missing."""
     return effort.select(
         "op_id",
         F.col("jday").cast("double").alias("jday"),
         F.col("year").cast("double").alias("year"),
-        F.coalesce("mid_depth", zero).alias("mid_depth"),
-        F.coalesce("mid_lat", zero).alias("mid_lat"),
-        F.coalesce("shore_distance", zero).alias("shore_distance"),
+        "mid_depth",
+        "mid_lat",
+        "shore_distance",
     )
-

@@ -187,6 +187,127 @@ def test_tree_queries_equal_their_sql_where_trees_are_deep(spark, small, monkeyp
     assert len({r["predicted"] for r in QUERIES["regression_tree_bucket2"](spark, small).collect()}) > 5
 
 
+def gappy_rows(n, seed=8, gaps=0.2):
+    """Rows whose target follows the first two features, which stand in for each other, and noise; each value may be missing."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = [rnd.randint(0, 9), 0, rnd.randint(0, 5), rnd.randint(0, 3), rnd.randint(0, 9)]
+        x[1] = 9 - x[0] if rnd.random() < 0.8 else rnd.randint(0, 9)
+        y = 10.0 * (x[0] > 4) + 3.0 * (x[2] > 2) * (x[0] > 4) + round(rnd.expovariate(1), 2)
+        rows.append((i, *(None if rnd.random() < gaps else float(v) for v in x), y))
+    return rows
+
+
+def test_tree_queries_equal_their_sql_where_predictors_are_missing(spark, small, monkeypatch):
+    """The SQL copies the rows for every fold; splits have surrogates, and some rows lack all of them."""
+    rows = gappy_rows(160)
+    df = spark.createDataFrame(rows, ", ".join(["op_id long", *(f"{f} double" for f in stats.FEATURES), "fish double"]))
+    monkeypatch.setattr(stats, "tree_rows", lambda s: df)
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE made (op_id BIGINT, {', '.join(f'{f} DOUBLE' for f in stats.FEATURES)}, raw DOUBLE)")
+    con.executemany(f"INSERT INTO made VALUES ({', '.join('?' * 7)})", rows)
+    con.sql("CREATE TABLE o_tree_rows AS SELECT *, raw - avg(raw) OVER () AS y FROM made")
+    bucket, levels, folds = stats.SMALL_BUCKET, 10, stats.FOLDS
+    bodies = {
+        "regression_tree_bucket2": stats.leaf_means_sql(0.01, bucket, levels),
+        "tree_cp_table": stats.cv_sql(stats.SMALL_CPS, folds, bucket, levels),
+        "tree_cv_predictions": stats.held_out_sql(stats.SMALL_CPS, folds, bucket, levels),
+        "tree_cp_sequence": stats.cp_sequence_sql(folds, bucket, levels),
+    }
+    for key, body in bodies.items():
+        got, want = QUERIES[key](spark, small), con.sql(registry._rounding(body))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()), key
+    model = trees.regression_tree(df, stats.FEATURES, "fish", min_bucket=2)
+    first = model.splits[1]
+    assert (first.feature, first.at) == (stats.FEATURES[0], 4.0)
+    assert first.surrogates[0].feature == stats.FEATURES[1] and first.surrogates[0].turned
+    assert QUERIES["tree_cp_sequence"](spark, small).count() > 2
+
+
+def test_surrogates_send_rows_without_the_feature(spark):
+    """The stand-in that agrees most, turned or not, then the next, then the majority."""
+    swapped = {11: 12, 12: 11}
+    rows = [(float(i), -float(swapped.get(i, i)), float(i // 5 * 5), 100.0 * (i >= 12)) for i in range(20)]
+    rows += [(None, -19.0, None, 100.0), (None, None, 0.0, 0.0), (None, None, None, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    tree = trees.regression_tree(df, ["a", "b", "c"], "y", cp=0.01)
+    split = tree.splits[1]
+    assert (split.feature, split.at, split.majority_left) == ("a", 11.0, True)
+    assert [(s.feature, s.at, s.turned, s.agree) for s in split.surrogates] == [("b", -13.0, True, 19), ("c", 5.0, False, 18)]
+    assert not tree.splits.keys() - {1} and tree.nodes[2].n == 14 and tree.nodes[3].n == 9
+    got = trees.predict(tree, df.filter("a is null"), ["a", "b", "c"], "y", ["c"]).collect()
+    assert {r["c"]: r["predicted"] for r in got if r["c"] is not None} == {0.0: 0.0}
+    assert all(r["predicted"] == r["label"] for r in got)
+
+
+def test_weakest_link_keeps_a_weak_split_above_strong_ones(spark):
+    """No split of an exclusive or takes away much before the other is made; its own share would drop it."""
+    rows = [(float(a), float(b), float(a != b) + 0.05 * a + i * 1e-3) for a in (0, 1) for b in (0, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    full = trees.regression_tree(df, ["a", "b"], "y", min_bucket=2, cp=0.0)
+    root = full.nodes[1].risk
+    first = root - full.nodes[2].risk - full.nodes[3].risk
+    assert first / root < 0.1  # less than cp by itself
+    kept = trees.prune(full, 0.1)
+    assert kept.splits.keys() == {1, 2, 3}
+    links = trees.weakest_links(full)
+    below = sum(kept.nodes[k].risk for k in (4, 5, 6, 7))
+    assert links[1] == links[2] == links[3] == pytest.approx(((root - below) / 3) / root, abs=1e-6) or links[1] >= 0.3
+    assert trees.prune(full, 0.35).splits == {}
+
+
+def test_weakest_links_are_where_the_best_subtree_changes(spark):
+    """Against all subtrees: at each cost, the smallest one of least squared error plus cost a leaf."""
+    df = spark.createDataFrame(gappy_rows(60, seed=3), ", ".join(["id long", *(f"{f} double" for f in "abcde"), "y double"]))
+    full = trees.regression_tree(df, list("abcde"), "y", min_bucket=4, cp=1e-4)
+
+    def subtrees(node):
+        yield (full.nodes[node].risk, 1, frozenset())
+        if node in full.splits:
+            for ra, la, a in list(subtrees(2 * node)):
+                for rb, lb, b in list(subtrees(2 * node + 1)):
+                    yield (ra + rb, la + lb, a | b | {node})
+
+    every, root, links = list(subtrees(1)), full.nodes[1].risk, trees.weakest_links(full)
+    assert len(full.splits) > 4
+    for cp in (0.001, 0.004, 0.01, 0.03, 0.1, 0.3):
+        best = min(every, key=lambda t: (round((t[0] + cp * root * t[1]) / root, 9), t[1]))
+        assert trees.prune(full, cp).splits.keys() == best[2] == {n for n, g in links.items() if g > cp}
+
+
+def test_blocks_of_values_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(gappy_rows(300, seed=5), ", ".join(["id long", *(f"{f} double" for f in "abcde"), "y double"])).withColumn("a", F.col("a") + F.col("id") / 1000)
+    plain = trees.cp_table(df, list("abcde"), "y", "id", folds=4, min_bucket=2, max_depth=4).collect()
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(trees, "TREES_AT_ONCE", 2)
+    blocks = trees.cp_table(df, list("abcde"), "y", "id", folds=4, min_bucket=2, max_depth=4).collect()
+    key = lambda r: -r["cp"]
+    assert len(plain) > 2
+    for a, b in zip(sorted(plain, key=key), sorted(blocks, key=key)):
+        assert tuple(a) == pytest.approx(tuple(b), abs=1e-8)
+
+
+def test_many_folds_do_not_copy_rows(spark, monkeypatch):
+    """500 folds write the rows once and place each once; a row in a fold of its own is left out alone."""
+    sizes = []
+    plain = trees.written
+    monkeypatch.setattr(trees, "written", lambda df, name: sizes.append(plain(df, name)) or sizes[-1])
+    rows = gappy_rows(120, seed=6, gaps=0.0)
+    df = spark.createDataFrame(rows, ", ".join(["id long", *(f"{f} double" for f in "abcde"), "y double"]))
+    found = trees.cv_predictions(df, list("abcde"), "y", "id", folds=500, cps=(0.05,), min_bucket=5).collect()
+    assert [d.count() for d in sizes] == [120] and len(found) == 120
+    alone = next(r for r in found if sum(q["fold"] == r["fold"] for q in found) == 1)
+    model = trees.regression_tree(df.filter(F.col("id") != alone["id"]), list("abcde"), "y", min_bucket=5, cp=0.05)
+    assert trees.predict(model, df.filter(F.col("id") == alone["id"]), list("abcde"), "y", ["id"]).first()["predicted"] == pytest.approx(alone["predicted"])
+
+
+def test_a_table_without_targets_has_no_tree(spark):
+    df = spark.createDataFrame([(1, 2.0, None)], "id long, x double, y double")
+    assert trees.regression_tree(df, ["x"], "y").nodes == {}
+    assert trees.cp_table(df, ["x"], "y", "id").count() == 0 and trees.cv_predictions(df, ["x"], "y", "id").count() == 0
+
+
 @pytest.mark.parametrize("k, df, q", [(10, 1, 49.07), (20, 1, 59.56), (3, 1, 26.98), (2, 2, 6.085), (20, 2, 16.77), (5, 3, 7.502), (10, 5, 6.995), (3, 20, 3.578)])
 def test_studentised_range_points(k, df, q):
     assert dist.tukey_critical(0.05, k, df) == pytest.approx(q, rel=2e-3)
