@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnetic.llm.common import arrow_batches
+from limnetic.operators.ordered import numbered
 from limnetic.session import written
 
 LONGEST = 4
@@ -439,6 +440,8 @@ def collocations(docs: DataFrame, least: int = 30, first: int = 2000, text: str
     inside = inside.withColumn("at", F.explode(F.expr("sequence(1, m - size + 1)")))
     inside = inside.groupBy("lang", joined(F.col("at"), F.col("size")).alias("phrase")).agg(F.max("a").alias("top"))
     kept = scored.join(inside, ["lang", "phrase"], "left").where("top is null or 100 * cast(top as decimal(20,0)) < 80 * cast(a as decimal(20,0))")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).join(totals, "lang")
-    return ranked.select(F.col("lang").alias(lang), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # Rows are numbered by range, so that no language is sorted in one task; a rank counts from its language's first row.
+    ordered = numbered(kept, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], "number")
+    begins = ordered.groupBy("lang").agg(F.min("number").alias("begin"))
+    ranked = ordered.join(begins, "lang").withColumn("rank", F.col("number") - F.col("begin") + 1).where(F.col("rank") <= first).join(totals, "lang")
+    return ranked.select(F.col("lang").alias(lang), "rank", "phrase", "a", "l", "r", "n", "score")
