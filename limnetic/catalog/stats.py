@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from limnetic.functions.calendar import month_long
@@ -196,7 +198,63 @@ def _(s):
     return fix(statistics.tukey_pairs(rows, ["month_long"], "year", "fish_ha"))
 
 
-@query("tukey_pvalue")
+# The normal distribution function at hundredths, by Simpson's rule on each of them.
+step(
+    "o_phi",
+    """SELECT i, i / 100.0::DOUBLE AS x, d, sum(CASE WHEN i > -1700 THEN panel ELSE 0 END) OVER (ORDER BY i) AS c FROM
+  (SELECT i, exp(-power(i / 100.0::DOUBLE, 2) / 2) / sqrt(2 * pi()) AS d,
+     (exp(-power((i - 1) / 100.0::DOUBLE, 2) / 2) + 4 * exp(-power((i - 0.5::DOUBLE) / 100.0::DOUBLE, 2) / 2)
+      + exp(-power(i / 100.0::DOUBLE, 2) / 2)) / sqrt(2 * pi()) / 600 AS panel FROM range(-1700, 1701) t(i))""",
+)
+
+
+def range_tail_sql(asked: str) -> str:
+    """P(studentised range > q) for the rows (levels, df, q) of ``asked``.
+
+    Trapezoids over the logarithm of the chi variable and over the largest normal; both
+    integrands vanish at their ends. Phi between hundredths is a Taylor polynomial.
+    """
+    h = "(v - p.x)"
+    phi = f"p.c + p.d * ({h} - p.x * {h} * {h} / 2 + (p.x * p.x - 1) * power({h}, 3) / 6 - (power(p.x, 3) - 3 * p.x) * power({h}, 4) / 24)"
+    return f"""SELECT levels, df, q, 1 - sum(weight * inside) AS tail FROM
+  (SELECT levels, df, q, j, any_value(weight) AS weight, levels * sum(dz / 10 * power(greatest(cz - ({phi}), 0), levels - 1)) AS inside FROM
+    (SELECT a.*, z.d AS dz, z.c AS cz, greatest(z.x - q * s, -16.99::DOUBLE) AS v FROM
+      (SELECT *, exp(t) AS s, step * exp(df / 2.0::DOUBLE * ln(df) - lgamma(df / 2.0::DOUBLE) - (df / 2.0::DOUBLE - 1) * ln(2.0::DOUBLE)
+          + df * t - df * exp(2 * t) / 2) AS weight FROM
+        (SELECT *, -sqrt(37.0::DOUBLE / df) - 37.0::DOUBLE / df + j * step AS t FROM
+          (SELECT *, (2 * sqrt(37.0::DOUBLE / df) + 37.0::DOUBLE / df) / 200 AS step FROM ({asked}) WHERE levels > 1 AND df > 0 AND q IS NOT NULL), range(0, 201) n(j))) a,
+      (SELECT p.* FROM o_phi p, range(-85, 86) n(m) WHERE p.i = 10 * m) z)
+    JOIN o_phi p ON p.i = CAST(round(v * 100) AS INT) GROUP BY levels, df, q, j)
+  GROUP BY levels, df, q"""
+
+
+def range_point_sql(asked: str) -> str:
+    """The q of (levels, df) whose tail is 0.05: two finer and finer grids, and the cubic through four points of the third."""
+    return f"""WITH k AS MATERIALIZED (SELECT DISTINCT levels, df FROM ({asked}) WHERE levels > 1 AND df > 0),
+g1 AS MATERIALIZED ({range_tail_sql("SELECT levels, df, 2.0::DOUBLE * i AS q FROM k, range(0, 33) r(i)")}),
+l1 AS (SELECT levels, df, max(q) AS lo FROM g1 WHERE tail > 0.05 GROUP BY ALL),
+g2 AS MATERIALIZED ({range_tail_sql("SELECT levels, df, lo + i / 16.0::DOUBLE AS q FROM l1, range(0, 33) r(i)")}),
+l2 AS (SELECT levels, df, max(q) AS lo FROM g2 WHERE tail > 0.05 GROUP BY ALL),
+g3 AS MATERIALIZED ({range_tail_sql("SELECT levels, df, lo + i / 256.0::DOUBLE AS q FROM l2, range(-1, 19) r(i) WHERE lo + i > 0 OR i >= 0")}),
+l3 AS (SELECT levels, df, max(q) AS lo FROM g3 WHERE tail > 0.05 GROUP BY ALL),
+near AS (SELECT g3.* FROM g3 JOIN l3 USING (levels, df) WHERE q BETWEEN lo - 1.5 / 256 AND lo + 2.5 / 256)
+SELECT levels, df, sum(w) AS q95 FROM
+  (SELECT a.levels, a.df, a.q * product((0.05::DOUBLE - b.tail) / (a.tail - b.tail)) AS w FROM near a JOIN near b
+   ON a.levels = b.levels AND a.df = b.df AND a.q <> b.q GROUP BY a.levels, a.df, a.q) GROUP BY ALL"""
+
+
+def tukey_p_sql(key: str, level: str) -> str:
+    """``tukey_pairs`` with adjusted p, interval and marks."""
+    pairs = re.sub(r"R4\(", "(", tukey_sql(key, level))
+    return f"""SELECT {key}, group1, group2, levels, df, R4(estimate) AS estimate, R4(se) AS se, R4(q) AS q, R4(p) AS p_adj,
+  R4(estimate - q95 * se) AS conf_low, R4(estimate + q95 * se) AS conf_high, CASE WHEN p IS NOT NULL THEN {stars_sql("p")} END AS signif FROM
+  (WITH pairs AS MATERIALIZED ({pairs})
+   SELECT pairs.*, q95, CASE WHEN q <= 0 THEN 1.0 ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, tail)) END AS p FROM pairs
+   LEFT JOIN ({range_tail_sql("SELECT DISTINCT levels, df, q FROM pairs WHERE q > 0")}) t USING (levels, df, q)
+   LEFT JOIN ({range_point_sql("SELECT levels, df FROM pairs")}) c USING (levels, df))"""
+
+
+@query("tukey_pvalue", tukey_p_sql("year", "month_long"))
 def _(s):
     pairs = statistics.tukey_pairs(early_lengths(s), ["year"], "month_long", "length")
     return fix(statistics.with_tukey_p(pairs))
