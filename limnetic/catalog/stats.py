@@ -621,6 +621,111 @@ def _(s):
     return fix(smoothers.smooth_local(rows, ["common_name"], "day_no", "yolks", points=POINTS))
 
 
+def vertex_loess_sql(source: str, key: str, x: str, y: str) -> str:
+    """Rows (key, point, x, fit): parts are halved by rank, fits are direct, cubics run between the vertices."""
+    span, cell, margin = 0.75, 0.2, 0.005
+    parts = [
+        f"""cells AS MATERIALIZED (SELECT {key} AS k, CAST({x} AS DOUBLE) AS x, count(*) AS n, sum({y}) AS sy FROM {source}
+  WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL)""",
+        "ranked AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY x) AS cum FROM cells)",
+        "ends AS MATERIALIZED (SELECT k, min(x) AS lo, max(x) AS hi, sum(n) AS total FROM cells GROUP BY k HAVING max(x) > min(x))",
+        "p0 AS (SELECT k, total, 0::BIGINT AS a, total AS b FROM ends)",
+    ]
+    levels = 4
+    for i in range(levels):
+        parts.append(f"""h{i} AS MATERIALIZED (SELECT p.k, total, a, b, max(cum) FILTER (cum - n < (a + b + 1) // 2) AS m,
+    max(x) FILTER (cum - n < (a + b + 1) // 2) AS l, min(x) FILTER (cum - n >= (a + b + 1) // 2) AS r
+  FROM p{i} p JOIN ranked c ON c.k = p.k AND cum > a AND cum <= b WHERE b - a > greatest(floor(total * {span * cell}), 1) GROUP BY ALL HAVING r IS NOT NULL)""")
+        parts.append(f"p{i + 1} AS (SELECT k, total, a, m AS b FROM h{i} UNION ALL SELECT k, total, m, b FROM h{i})")
+    cuts = " UNION ALL ".join(f"SELECT k, (l + r) / 2 AS v FROM h{i}" for i in range(levels))
+    parts += [
+        f"""vertices AS MATERIALIZED (SELECT k, v, lo, hi, floor(total * {span}) AS near FROM ends JOIN (SELECT k, lo - (hi - lo) * {margin} AS v FROM ends
+  UNION ALL SELECT k, hi + (hi - lo) * {margin} FROM ends UNION ALL {cuts}) USING (k))""",
+        "dist AS (SELECT v.k, v, x, n, sy, near, abs(x - v) AS d, sum(n) OVER (PARTITION BY v.k, v ORDER BY abs(x - v)) AS upto FROM vertices v JOIN cells c ON c.k = v.k)",
+        "width AS (SELECT k, v, min(d) AS h FROM dist WHERE upto >= near GROUP BY ALL)",
+        """sums AS (SELECT k, v, h, count(*) AS cells, sum(w * n) AS s0, sum(w * n * u) AS s1, sum(w * n * u * u) AS s2, sum(w * n * u * u * u) AS s3,
+    sum(w * n * u * u * u * u) AS s4, sum(w * sy) AS t0, sum(w * sy * u) AS t1, sum(w * sy * u * u) AS t2
+  FROM (SELECT k, v, h, n, sy, (x - v) / h AS u, power(1 - power(d / h, 3), 3) AS w FROM dist JOIN width USING (k, v) WHERE h > 0 AND d < h) GROUP BY ALL)""",
+        """fits AS (SELECT k, v, CASE WHEN cells >= 3 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / nullif(det, 0) END AS f,
+    CASE WHEN cells >= 3 THEN (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / nullif(det, 0) / h END AS s
+  FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM sums))""",
+        """pieces AS (SELECT k, lo, hi, v, f, s, lead(v) OVER w AS v1, lead(f) OVER w AS f1, lead(s) OVER w AS s1 FROM vertices LEFT JOIN fits USING (k, v)
+  WINDOW w AS (PARTITION BY k ORDER BY v))""",
+    ]
+    return f"""SELECT k AS {key}, CAST(point AS INT) AS point, R4(x) AS x,
+  R4((1 + 2 * t) * (1 - t) * (1 - t) * f + t * (1 - t) * (1 - t) * (v1 - v) * s + t * t * (3 - 2 * t) * f1 + t * t * (t - 1) * (v1 - v) * s1) AS fit
+FROM (WITH {", ".join(parts)}
+  SELECT *, (x - v) / (v1 - v) AS t FROM (SELECT *, lo + (hi - lo) * point / {POINTS - 1} AS x FROM pieces, range(0, {POINTS}) p(point)) WHERE x >= v AND x < v1)"""
+
+
+@query("smooth_loess_vertices", vertex_loess_sql("(SELECT *, date_diff('day', DATE '1970-01-01', date) AS day_no FROM o_yolk)", "common_name", "day_no", "yolks"))
+def _(s):
+    rows = yolk(s).withColumn("day_no", F.unix_date("date"))
+    return fix(smoothers.smooth_interpolated(rows, ["common_name"], "day_no", "yolks", points=POINTS))
+
+
+def spline_sql(source: str, key: str, x: str, y: str) -> str:
+    """Rows (key, point, x, fit, edf): dense normal equations from every row's basis, solved by elimination without pivots."""
+    size, pieces = smoothers.SPLINE_SIZE, smoothers.PIECES * 6
+    wide, n = 2 * size + 1, size - 3
+    basis = lambda a, u: "(" + " + ".join(f"{int(round(v))} * power({u}, {p})" for p, v in enumerate(pieces[a])) + ")::DOUBLE / 6"
+    four = lambda u: "[" + ", ".join(basis(a, u) for a in range(4)) + "]"
+    shares = ", ".join(f"({k}, power(10.0::DOUBLE, {k} / 4.0::DOUBLE))" for k in range(-24, 25))
+    rough = " UNION ALL ".join(
+        f"SELECT {r} AS r, {c} AS c, {sum(_second(r - j, c - j) for j in range(n) if 0 <= r - j < 4 and 0 <= c - j < 4)!r}::DOUBLE AS v"
+        for r in range(size) for c in range(size) if abs(r - c) < 4
+    )
+    return f"""SELECT g AS {key}, CAST(point AS INT) AS point, R4(x) AS x, R4(fit) AS fit, R4(edf) AS edf FROM (WITH RECURSIVE
+rows_ AS MATERIALIZED (SELECT g, lo, hi, mean, y - mean AS y, j, {four("u")} AS b FROM
+  (SELECT *, place - j AS u FROM (SELECT *, least(floor(place), {n - 1})::INT AS j FROM
+    (SELECT {key} AS g, lo, hi, mean, CAST({y} AS DOUBLE) AS y, ({x} - lo) / (hi - lo) * {n} AS place FROM {source} q
+     JOIN (SELECT {key} AS k, min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi, avg({y}) AS mean FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL
+       GROUP BY ALL HAVING max({x}) > min({x})) ON k = {key} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)))),
+entries AS (SELECT g, j + a AS r, y, b[a + 1] AS v, b, j FROM rows_, range(0, 4) t(a)),
+xx AS MATERIALIZED (SELECT g, r, j + a AS c, sum(v * b[a + 1]) AS v FROM entries, range(0, 4) t(a) GROUP BY ALL),
+xy AS MATERIALIZED (SELECT g, r, sum(v * y) AS v FROM entries GROUP BY ALL),
+rough AS ({rough}),
+whole AS MATERIALIZED (SELECT g, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mean) AS mean, count(*) AS n, sum(y * y) AS yy FROM rows_ GROUP BY g),
+scaled AS MATERIALIZED (SELECT g, i, share * (SELECT sum(v) FROM xx WHERE xx.g = whole.g AND r = c) / (SELECT sum(v) FROM rough WHERE r = c) AS weight
+  FROM whole, (VALUES {shares}) s(i, share)),
+full_ AS (SELECT s.g, s.i, 0 AS step, list(coalesce(CASE WHEN q.c < {size} THEN coalesce(a.v, 0) + weight * coalesce(p.v, 0) WHEN q.c = {size} THEN z.v ELSE d.v END, 0) ORDER BY row_ * {wide} + q.c) AS m
+  FROM scaled s CROSS JOIN range(0, {size}) x(row_) CROSS JOIN range(0, {wide}) q(c)
+  LEFT JOIN xx a ON a.g = s.g AND a.r = row_ AND a.c = q.c AND q.c < {size} LEFT JOIN xx d ON d.g = s.g AND d.r = row_ AND d.c = q.c - {size + 1} AND q.c > {size}
+  LEFT JOIN xy z ON z.g = s.g AND z.r = row_ AND q.c = {size} LEFT JOIN rough p ON p.r = row_ AND p.c = q.c AND q.c < {size} GROUP BY s.g, s.i),
+solved AS (SELECT * FROM full_ UNION ALL SELECT g, i, step + 1, list_transform(range(0, {size * wide}), lambda k: CASE WHEN k // {wide} = step
+    THEN m[k + 1] / m[step * {wide} + step + 1]
+    ELSE m[k + 1] - m[k // {wide} * {wide} + step + 1] * m[step * {wide} + k % {wide} + 1] / m[step * {wide} + step + 1] END) FROM solved WHERE step < {size}),
+coef AS MATERIALIZED (SELECT g, i, r, m[r * {wide} + {size} + 1] AS b, m[r * {wide} + {size} + 1 + r + 1] AS h FROM solved, range(0, {size}) t(r) WHERE step = {size}),
+scores AS (SELECT w.g, e.i, edf, CASE WHEN n - edf > 1e-6 THEN round(ln(greatest(n * greatest(yy - 2 * one + two, 0), 1e-12 * CASE WHEN yy = 0 THEN 1 ELSE yy END) / power(n - edf, 2)), 8) END AS score FROM whole w
+  JOIN (SELECT coef.g, i, sum(h) AS edf, sum(b * coalesce(v, 0)) AS one FROM coef LEFT JOIN xy ON xy.g = coef.g AND xy.r = coef.r GROUP BY ALL) e ON e.g = w.g
+  JOIN (SELECT a.g, a.i, sum(a.b * c.b * v) AS two FROM coef a JOIN xx ON xx.g = a.g AND xx.r = a.r JOIN coef c ON c.g = a.g AND c.i = a.i AND c.r = xx.c GROUP BY ALL) f
+    ON f.g = w.g AND f.i = e.i),
+best AS (SELECT g, i, edf FROM scores QUALIFY row_number() OVER (PARTITION BY g ORDER BY score NULLS LAST, i DESC) = 1),
+points AS (SELECT g, point, lo + (hi - lo) * point / {POINTS - 1} AS x, mean, j, {four("u")} AS b FROM
+  (SELECT *, point * {n} / {POINTS - 1}::DOUBLE - j AS u FROM
+    (SELECT *, least(floor(point * {n} / {POINTS - 1}::DOUBLE), {n - 1})::INT AS j FROM whole, range(0, {POINTS}) p(point))))
+SELECT p.g, point, any_value(x) AS x, any_value(edf) AS edf, any_value(mean) + sum(p.b[coef.r - j + 1] * coef.b) AS fit FROM points p JOIN best USING (g)
+  JOIN coef ON coef.g = p.g AND coef.i = best.i AND coef.r BETWEEN j AND j + 3 GROUP BY p.g, point)"""
+
+
+def _second(a: int, b: int) -> float:
+    """The integral of the product of the second derivatives of two pieces, straight lines from (0) to (1)."""
+    ends = ((1, 0), (-2, 1), (1, -2), (0, 1))
+    (p, q), (r, s) = ends[a], ends[b]
+    return (2 * p * r + p * s + q * r + 2 * q * s) / 6
+
+
+@query("smooth_spline", spline_sql("(SELECT year, jday, length FROM o_lengths)", "year", "jday", "length"))
+def _(s):
+    return fix(smoothers.smooth_spline(base.length_rows(s), ["year"], "jday", "length", points=POINTS))
+
+
+@query("smooth_spline_early", spline_sql("(SELECT year, jday, length FROM o_lengths WHERE month < 8)", "year", "jday", "length"))
+def _(s):
+    rows = base.length_rows(s).filter(F.col("month") < 8)
+    return fix(smoothers.smooth_spline(rows, ["year"], "jday", "length", points=POINTS))
+
+
 GRID = 512
 step(
     "o_ridge_group",

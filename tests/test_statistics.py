@@ -313,6 +313,13 @@ def test_studentised_range_points(k, df, q):
     assert dist.tukey_critical(0.05, k, df) == pytest.approx(q, rel=2e-3)
 
 
+@pytest.mark.parametrize("k, df, q", [(3, 20, 3.578), (10, 5, 6.995), (5, 3, 7.502), (2, 2, 6.085), (4, 120, 3.685)])
+def test_studentised_range_points_in_sql(k, df, q):
+    body = f"SELECT q95 FROM ({stats.range_point_sql(f'SELECT {k} AS levels, {df} AS df')})"
+    found = duckdb.sql(registry.oracle(body)).fetchall()[0][0]
+    assert found == pytest.approx(q, rel=2e-4) and found == pytest.approx(dist.tukey_critical(0.05, k, df), rel=1e-5)
+
+
 def test_local_smoother_recovers_a_parabola(spark):
     rows = [(x, 0.5 * x * x - 3 * x + 1) for x in range(40)]
     df = spark.createDataFrame([(1, x, y) for x, y in rows], "g int, x int, y double")
@@ -325,6 +332,125 @@ def test_too_few_points_have_no_fit(spark):
     assert all(r["fit"] is None for r in smoothers.smooth_local(df, ["g"], "x", "y", points=3).collect())
 
 
+def noisy(spark, n=3000, seed=2, gap=True):
+    """Continuous x with a dense stretch and a gap, in two groups; the second has few rows."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = rnd.uniform(0, 2) if rnd.random() < 0.5 else rnd.uniform(3 if gap else 2, 10)
+        rows.append(("a", x, math.sin(x) * 3 + rnd.gauss(0, 0.5)))
+    rows += [("b", float(i % 7), float(i % 5)) for i in range(40)] + [("c", 1.0, 1.0)] * 5 + [("a", None, 1.0), ("a", 1.0, None)]
+    return rows, spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+
+
+def curve(df):
+    return {(r["g"], r["point"]): r["fit"] for r in df.collect()}
+
+
+def test_interpolated_smoother_recovers_a_parabola(spark):
+    rows = [(x, 0.5 * x * x - 3 * x + 1) for x in range(40)]
+    df = spark.createDataFrame([(1, x, y) for x, y in rows], "g int, x int, y double")
+    found = smoothers.smooth_interpolated(df, ["g"], "x", "y", points=9).collect()
+    assert len(found) == 9
+    for r in found:
+        assert r["fit"] == pytest.approx(0.5 * r["x"] ** 2 - 3 * r["x"] + 1, abs=1e-6)
+
+
+def test_interpolated_smoother_equals_local_fits_at_its_vertices(spark):
+    """And keeps near them between; few or many bins of distances change nothing."""
+    rows, df = noisy(spark)
+    direct, between = curve(smoothers.smooth_local(df, ["g"], "x", "y", points=60)), curve(smoothers.smooth_interpolated(df, ["g"], "x", "y", points=60))
+    assert {k for k in between if k[0] == "a"} == {k for k in direct if k[0] == "a"}
+    # The data swing by 6; a vertex's slope is that of its own fit, not of the curve of all fits.
+    assert max(abs(direct[k] - between[k]) for k in between if k[0] == "a") < 0.5
+    assert np.mean([abs(direct[k] - between[k]) for k in between if k[0] == "a"]) < 0.1
+    xs = sorted(r[1] for r in rows if r[0] == "a" and r[1] is not None and r[2] is not None)
+    n = len(xs)
+    cut = (xs[(n + 1) // 2 - 1] + xs[(n + 1) // 2]) / 2  # the first cut halves the rows
+    # A grid of three points whose middle one is that cut.
+    low, high = xs[0], xs[-1]
+    both = df.filter("g = 'a'")
+    share = (cut - low) / (high - low)
+    points = 200_001
+    at = round(share * (points - 1))
+    fine = smoothers.smooth_interpolated(both, ["g"], "x", "y", points=points).filter(F.col("point") == at).first()
+    x = np.array([r[1] for r in rows if r[0] == "a" and r[1] is not None and r[2] is not None])
+    y = np.array([r[2] for r in rows if r[0] == "a" and r[1] is not None and r[2] is not None])
+    d = np.abs(x - fine["x"])
+    h = np.sort(d)[math.floor(0.75 * n) - 1]
+    w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0)
+    fit = np.polyfit(x - fine["x"], y, 2, w=np.sqrt(w))[2]
+    assert fine["fit"] == pytest.approx(fit, abs=1e-4)
+
+
+def test_interpolated_smoother_needs_no_sorted_group(spark, monkeypatch):
+    _, df = noisy(spark, 800)
+    plain = curve(smoothers.smooth_interpolated(df, ["g"], "x", "y", points=20))
+    monkeypatch.setattr(smoothers, "DISTANCE_BINS", 3)
+    assert curve(smoothers.smooth_interpolated(df, ["g"], "x", "y", points=20)) == pytest.approx(plain, abs=1e-9)
+    assert not [k for k in plain if k[0] == "c"]
+    assert smoothers.smooth_interpolated(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def dense_spline(x, y, points, size=10):
+    """The same fit from the whole design matrix, by recursion of B-splines."""
+    n, low, high = size - 3, x.min(), x.max()
+    knots = np.arange(-3, n + 4, dtype=float)
+
+    def basis(t):
+        t = np.minimum(t, np.nextafter(float(n), 0))
+        b = [((knots[i] <= t) & (t < knots[i + 1])).astype(float) for i in range(len(knots) - 1)]
+        for d in range(1, 4):
+            b = [(t - knots[i]) / d * b[i] + (knots[i + d + 1] - t) / d * b[i + 1] for i in range(len(b) - 1)]
+        return np.array(b).T
+
+    design, mean = basis((x - low) / (high - low) * n), y.mean()
+    fine = np.linspace(0, n, 20 * n * 50 + 1)
+    second = np.gradient(np.gradient(basis(fine), fine, axis=0), fine, axis=0)
+    rough = smoothers._roughness(size)
+    approx = np.trapezoid(second[:, :, None] * second[:, None, :], fine, axis=0)
+    assert np.allclose(rough, approx, atol=0.02)
+    best = None
+    for share in smoothers.PENALTIES:
+        m = design.T @ design + share * np.trace(design.T @ design) / np.trace(rough) * rough
+        b = np.linalg.solve(m, design.T @ (y - mean))
+        edf = np.trace(np.linalg.solve(m, design.T @ design))
+        score = len(x) * ((y - mean - design @ b) ** 2).sum() / (len(x) - edf) ** 2
+        if best is None or score <= best[0]:
+            best = (score, b, edf)
+    return mean + basis(np.arange(points) / (points - 1) * n) @ best[1], best[2]
+
+
+def test_spline_equals_the_dense_fit(spark):
+    rows, df = noisy(spark)
+    found = smoothers.smooth_spline(df, ["g"], "x", "y", points=25).collect()
+    for g in ("a", "b"):
+        x, y = (np.array([r[i] for r in rows if r[0] == g and None not in r]) for i in (1, 2))
+        fit, edf = dense_spline(x, y, 25)
+        own = sorted((r["point"], r["fit"], r["edf"], r["x"]) for r in found if r["g"] == g)
+        assert [r[1] for r in own] == pytest.approx(fit, abs=1e-6) and own[0][2] == pytest.approx(edf, abs=1e-6)
+        assert (own[0][3], own[-1][3]) == pytest.approx((x.min(), x.max()))
+    assert {r["g"] for r in found} == {"a", "b"}
+    truth = [abs(r["fit"] - 3 * math.sin(r["x"])) for r in found if r["g"] == "a" and (r["x"] < 2 or r["x"] > 3)]
+    assert max(truth) < 0.4
+
+
+def test_spline_of_a_line_is_the_line(spark):
+    df = spark.createDataFrame([(1, float(i), 2.0 * i + 1) for i in range(50)], "g int, x double, y double")
+    for r in smoothers.smooth_spline(df, ["g"], "x", "y", points=5).collect():
+        assert r["fit"] == pytest.approx(2 * r["x"] + 1, abs=1e-3)
+    assert smoothers.smooth_spline(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_default_smoother_goes_by_the_largest_group(spark, monkeypatch):
+    _, df = noisy(spark, 300)
+    local = curve(smoothers.smooth_interpolated(df, ["g"], "x", "y", points=10))
+    assert curve(smoothers.smooth(df, ["g"], "x", "y", points=10)) == pytest.approx(local)
+    monkeypatch.setattr(smoothers, "SPLINE_ROWS", 300)
+    spline = curve(smoothers.smooth_spline(df, ["g"], "x", "y", points=10))
+    assert curve(smoothers.smooth(df, ["g"], "x", "y", points=10)) == pytest.approx(spline)
+
+
 def test_density_integrates_to_one(spark):
     rnd = random.Random(3)
     rows = [("f", g, rnd.gauss(10, 2 + g)) for g in (0, 1) for _ in range(300)]
