@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnetic.llm.common import arrow_batches, whole
 
@@ -180,7 +181,8 @@ def encode_decode(
     rows are encoded like others; an empty table gives an empty one.
     """
     rows = docs.select(F.col(key).alias("key"), whole(text).cast("binary").alias("text"))
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * decode
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    schema = T.StructType(fields + [T.StructField("decoded", T.StringType())] * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,18 @@ def hashed(*parts: Column | str, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, digits), 16, 10).cast("long")
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of ``taken`` has, in any case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_join(left: DataFrame, right: DataFrame, on: Column, right_bytes: int, how: str) -> DataFrame:
     """Broadcast ``right`` if its measured size allows, else leave the join to skew splitting."""
     return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)

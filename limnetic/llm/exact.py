@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnetic.llm.common import SPACE, small_join, whole
+from limnetic.llm.common import SPACE, free_names, small_join, whole
 from limnetic.session import written
 
 # Quotients of one slice of the filters; the number of slices follows the rows.
@@ -159,15 +159,20 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep; all columns stay.
 
-    Of rows alike in key and text one stays, whatever their other columns.
+    Of rows alike in key and text one stays, whatever their other columns: the one whose
+    columns hash to the smallest number, so that a repeated task keeps the same.
     """
     found = written(exact_groups(docs, key, text), "exact-groups")
     gone = found.where(~F.col("kept"))
     again = gone.where(F.col(key).eqNullSafe(F.col("keep_id")))
-    dropped = gone.where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    own, digest, row = free_names(docs.columns, "_id", "_sha", "_row")
+    dropped = gone.where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias(own), F.col("text_sha256").alias(digest)).distinct()
     sha = F.sha2(normalised(text), 256)
-    same = (sha == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_id"))
+    same = (sha == F.col(digest)) & F.col(key).eqNullSafe(F.col(own))
     rest = small_join(docs, dropped, same, 96 * dropped.count(), "left_anti")
     if again.isEmpty():
         return rest
-    return rest.withColumn("_sha", sha).dropDuplicates([key, "_sha"]).drop("_sha")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = F.min_by(F.struct(*columns), F.struct(F.xxhash64(*columns), F.hash(*columns)))
+    rows = rest.withColumn(digest, sha).groupBy(F.col(key).alias(own), digest).agg(first.alias(row))
+    return rows.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])

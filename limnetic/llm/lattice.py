@@ -300,5 +300,5 @@ def lattice_scores(docs: DataFrame, training: Column, path: str, key: str = "doc
         return pa.concat_tables(parts)
 
     needed = dealt.groupBy("block").applyInArrow(used, "block int, h long").join(scored, "h").select("block", "h", "c", "p")
-    schema = f"{key} {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(judged, schema)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnetic.llm.common import hashed, small_join
+from limnetic.llm.common import free_names, hashed, small_join
 from limnetic.session import written
 
 # A mean above this is drawn as a sum of independent draws, each of a mean up to this.
@@ -74,21 +74,23 @@ def mix_sources(
     """
     docs = docs.drop(copy, order)
     rates, size = source_rates(docs, weights, default_weight, total, source)
-    parts = F.ceil(F.col("_rate") / PART_MEAN).cast("int")
-    rates = rates.withColumn("_parts", parts).where("_parts > 0").select(
-        "_source", "_parts", poisson_table(F.col("_rate") / F.greatest(F.col("_parts"), F.lit(1))).alias("_table")
+    # Beside the columns of the rows.
+    name, parts, points, count = free_names([*docs.columns, copy, order], "_source", "_parts", "_table", "_count")
+    rates = rates.withColumn("_parts", F.ceil(F.col("_rate") / PART_MEAN).cast("int")).where("_parts > 0").select(
+        F.col("_source").alias(name), F.col("_parts").alias(parts),
+        poisson_table(F.col("_rate") / F.greatest(F.col("_parts"), F.lit(1))).alias(points),
     )
-    joined = small_join(docs, rates, F.col(source).cast("string").eqNullSafe(F.col("_source")), size, "inner")
+    joined = small_join(docs, rates, F.col(source).cast("string").eqNullSafe(F.col(name)), size, "inner")
 
     def draw(part: Column) -> Column:
         u = (hashed(f"mix-{seed}", F.col(key), part) + 0.5) / F.lit(UNIT)
-        return F.size(F.filter("_table", lambda c: c <= u))
+        return F.size(F.filter(points, lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + draw(part))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, part: n + draw(part))
     repeated = (
-        joined.withColumn("_count", count).where("_count > 0")
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_count"))))
-        .drop("_source", "_parts", "_table", "_count")
+        joined.withColumn(count, drawn).where(F.col(count) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+        .drop(name, parts, points, count)
         .withColumn(order, hashed(f"order-{seed}", F.col(key), F.col(copy), digits=15))
     )
     return repeated.repartition(order).sortWithinPartitions(order, key, copy)

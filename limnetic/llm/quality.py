@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnetic.llm.common import SPACE, small_join, whole
+from limnetic.llm.common import SPACE, free_names, small_join, whole
 from limnetic.session import written
 
 # A host is refused when the shrunk rate of one rule's failures exceeds this.
@@ -28,33 +28,35 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     sorting (hash, position); their positions, in order, then cover up to three words each.
     A missing text has no words. Input columns of these names are replaced.
     """
-    clean = F.col("_clean")
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    given, words, windows, by_line, placed_at, at_ = free_names([*docs.columns, *measures], "_clean", "_words", "_windows", "_lines", "_placed", "_at")
+    clean = F.col(given)
     spaces = F.length(clean) - F.length(F.regexp_replace(clean, SPACE, ""))
     lines = F.filter(F.split(clean, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    frame = docs.withColumn("_clean", whole(text)).withColumn("_words", words_of(clean))
-    n = F.size("_words")
+    frame = docs.withColumn(given, whole(text)).withColumn(words, words_of(clean))
+    n = F.size(words)
     frame = frame.withColumns({
-        "_windows": F.when(n >= 3, F.transform(
-            F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+        windows: F.when(n >= 3, F.transform(
+            F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
         )),
-        "_lines": lines,
+        by_line: lines,
     })
     # (hash, position) in order; a window whose neighbour has its hash is repeated.
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    frame = frame.withColumn("_placed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed))
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    frame = frame.withColumn(placed_at, F.when(F.size(F.array_distinct(windows)) < F.size(windows), placed))
     alike = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    at = F.filter("_placed", lambda x, j: alike(x, F.get("_placed", j - 1)) | alike(x, F.get("_placed", j + 1)))
-    frame = frame.withColumn("_at", F.sort_array(F.transform(at, lambda x: x["i"])))
+    at = F.filter(placed_at, lambda x, j: alike(x, F.get(placed_at, j - 1)) | alike(x, F.get(placed_at, j + 1)))
+    frame = frame.withColumn(at_, F.sort_array(F.transform(at, lambda x: x["i"])))
     covered = F.aggregate(
-        F.transform("_at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_at", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b
+        F.transform(at_, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at_, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b
     )
     return frame.withColumns({
         "n_words": n.cast("long"),
         "word_chars": (F.length(clean) - spaces).cast("long"),
         "n_symbols": (F.length(clean) - F.length(F.regexp_replace(clean, r"[#*$%&|<>]+", ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size(by_line) - F.size(F.array_distinct(by_line))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }).drop("_clean", "_words", "_windows", "_lines", "_placed", "_at")
+    }).drop(given, words, windows, by_line, placed_at, at_)
 
 
 # Rule failures counted by host; the first two are the base.

@@ -147,13 +147,15 @@ def secrets_sql() -> str:
     for rank, (kind, pattern, least, group) in enumerate(secrets.RULES):
         pattern = pattern.replace("'", "''")
         pair = f"(?s)(.*?)({pattern})"
+        tried = f"contains(t, '{secrets.HINT[kind]}')" if kind in secrets.HINT else f"regexp_matches(t, '{pattern}')"
+        right = f"AND regexp_matches(found, '{secrets.WHOLE[kind]}')" if kind in secrets.WHOLE else ""
         parts.append(f"""
-  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, size, counted, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, size, counted, found, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop
   FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(g, lambda x: length(x))) AS gap,
-      unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(c, lambda x: length(x))) AS counted
+      unnest(list_transform(m, lambda x: length(x))) AS size, unnest(m) AS found, unnest(list_transform(c, lambda x: length(x))) AS counted
     FROM (SELECT doc_id, regexp_extract_all(t, '{pair}', 1) AS g, regexp_extract_all(t, '{pair}', 2) AS m,
-        regexp_extract_all(t, '{pair}', {2 + group}) AS c FROM d WHERE regexp_matches(t, '{pattern}')))
-  QUALIFY counted >= {least}""")
+        regexp_extract_all(t, '{pair}', {2 + group}) AS c FROM d WHERE {tried}))
+  QUALIFY counted >= {least} {right}""")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(parts)}),
 lines AS (SELECT doc_id, rank, kind, stop - size AS start, concat_ws(':', kind, stop - size, stop) AS s FROM spans),
@@ -169,7 +171,10 @@ FROM d LEFT JOIN found USING (doc_id)"""
 
 @query("op7_secret_ledger", secrets_sql())
 def op7(spark, root):
-    found = secrets.scan_secrets(table(spark, root, "documents"), shared_path(spark, "secret-ledger"))
+    docs, ledger = table(spark, root, "documents"), shared_path(spark, "secret-ledger")
+    # The ledger is filled by one half of the paths first; then all paths are scanned, the other half's texts alone being new.
+    secrets.scan_secrets(docs.where(remainder("doc_id", 2) == 0), ledger)
+    found = secrets.scan_secrets(docs, ledger)
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.joined_spans(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE)))
     return found.select(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -19,7 +20,8 @@ from limnetic.session import shared_path
 from test_llm_queries import brute_components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-CLASHES = ("copy", "kept", "score", "label", "rep", "block", "bucket", "size", "fp", "toxicity", "language_id", "n_words", "blob", "path", "key", "h", "c")
+CLASHES = ("copy", "kept", "score", "label", "rep", "block", "bucket", "size", "fp", "toxicity", "language_id", "n_words", "blob", "path", "key", "h", "c",
+    "_count", "_source", "_table", "_parts", "_sha", "_id", "_row", "_judged", "_dropped", "_copy", "_order", "_clean", "_words", "_windows", "_lines", "_placed", "_at", "_host", "_refused")
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in CLASHES),
@@ -64,7 +66,9 @@ def test_mixing(edges, empty):
     assert set(out.columns) == {*edges.columns, "shuffle_key"}
     rows = out.collect()
     assert not [r for r in rows if r["source"] == "b"]
-    assert rows == mixing.mix_sources(edges.repartition(2), {"hot": 40.0, "b": 0.0}).collect() or sorted(map(str, rows))
+    again = mixing.mix_sources(edges.repartition(2), {"hot": 40.0, "b": 0.0}).collect()
+    assert rows and sorted(map(str, rows)) == sorted(map(str, again))
+    assert all(r[c] == "clash" for r in rows for c in CLASHES if c != "copy")
     assert mixing.mix_sources(empty, {"hot": 2.0}).count() == 0
 
 
@@ -91,6 +95,30 @@ def test_exact(edges, empty):
     assert exact.exact_groups(empty).count() == 0
     left = exact.drop_exact_duplicates(edges)
     assert left.columns == edges.columns and left.count() == len(groups)
+    assert all(r[c] == "clash" for r in left.collect() for c in CLASHES)
+
+
+def test_exact_keeps_the_same_of_rows_alike(spark):
+    """Of rows alike in key and text but unlike elsewhere the choice does not depend on their order."""
+    rows = [(1, "a  b", str(i)) for i in range(30)] + [(2, "c", "x"), (0, "a b", "y")]
+    kept = {tuple(sorted(map(tuple, exact.drop_exact_duplicates(spark.createDataFrame(r, "doc_id long, text string, other string").repartition(n)).collect()))) for r, n in ((rows, 1), (rows[::-1], 5))}
+    assert len(kept) == 1 and sorted((r[0], r[1]) for r in next(iter(kept))) == [(0, "a b"), (2, "c")]
+    alike = {tuple(map(tuple, exact.drop_exact_duplicates(spark.createDataFrame(r, "doc_id long, text string, other string").repartition(n)).collect())) for r, n in ((rows[:30], 1), (rows[29::-1], 4))}
+    assert len(alike) == 1
+
+
+def test_measures_leave_other_columns_alone(edges):
+    out = quality.text_measures(edges)
+    replaced = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+    assert set(out.columns) == set(edges.columns) | replaced
+    assert all(r[c] == "clash" for r in out.collect() for c in CLASHES if c not in replaced)
+
+
+def test_keys_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "`text id` long, body string")
+    assert sorted(map(tuple, bpe.encode_decode(docs, PATH, key="text id", text="body").select("text id", "n_tokens").collect())) == [(1, 2), (2, 0)]
+    scored = lattice.lattice_scores(docs.withColumnRenamed("body", "text"), F.lit(True), PATH, key="text id")
+    assert sorted(r["text id"] for r in scored.collect()) == [1, 2]
 
 
 def test_quotient_filters_merge_losslessly():
@@ -142,6 +170,29 @@ def test_secrets(spark, edges, empty):
     assert secrets.scan_secrets(empty, shared_path(spark, "ledger-test")).count() == 0
 
 
+def test_secrets_in_long_texts(spark):
+    """Megabytes of digests, and of openings of tokens, take seconds: time grows little faster than the text."""
+    digests = " ".join(f"{i:032x}" for i in range(300_000))
+    openings, dots = "eyJ" * 350_000, "eyJabcdefgh." * 90_000
+    token = "x=eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2 eyJtoo.short eyJabcdefghi.jklmnopqrs.tuvwxyz01.more eyJabcdefghi.jklmnopqrs.tuvwxyz01."
+    docs = spark.createDataFrame([(1, digests), (2, openings), (3, dots), (4, token)], "doc_id long, text string").repartition(4)
+    begin = time.time()
+    rows = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_secrets(docs, shared_path(spark, "ledger-long")).collect()}
+    assert time.time() - begin < 60
+    assert [s[0] for s in rows[1]] == list(range(0, 33 * 300_000, 33)) and rows[1][-1][3] == len(digests)
+    assert rows[2] == [] and rows[3] == []
+    jwt = [s for s in rows[4] if s[2] == "jwt"]
+    assert [token[a:b] for a, _, _, b in jwt] == ["eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2", "eyJabcdefghi.jklmnopqrs.tuvwxyz01."]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 99, 1000])
+def test_running_sums(spark, n):
+    r = random.Random(n)
+    values = [r.randint(0, 9) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "x array<int>")
+    assert df.select(secrets.running_sums(F.col("x"))).first()[0] == np.cumsum(values, dtype=int).tolist()
+
+
 def test_bpe_round_trip(edges, empty):
     library = Tokenizer.from_file(PATH)
     rows = bpe.encode_decode(edges, PATH).collect()
