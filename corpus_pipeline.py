@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnetic.llm import bpe, exact, language, minhash, mixing
-from limnetic.llm.common import remainder, small_join, table
+from limnetic.llm.common import free_names, remainder, small_join, table
 from limnetic.session import tune, written
 
 # Texts of whose n-grams no language knows this share are rejected, like those without a letter.
@@ -31,8 +31,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     tune(spark)
     filters = language.fit_filters(docs, remainder("doc_id", 4) != 2)
-    judged = language.identify(docs, filters, into="_judged")
-    known = (F.col("_judged.language") != "und") & (F.col("_judged.coverage") >= LEAST_COVERAGE)
+    (into,) = free_names(docs.columns, "_judged")
+    judged = language.identify(docs, filters, into=into)
+    known = (F.col(into)["language"] != "und") & (F.col(into)["coverage"] >= LEAST_COVERAGE)
     return judged.where(known).select(docs.columns)
 
 
@@ -49,14 +50,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tune(spark)
     found = written(minhash.near_duplicates(docs, words=5, least=(80, 100)), "pipeline-near")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return small_join(docs, dropped, F.col("doc_id") == F.col("_dropped"), 16 * dropped.count(), "left_anti")
+    (gone,) = free_names(docs.columns, "_dropped")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return small_join(docs, dropped, F.col("doc_id") == F.col(gone), 16 * dropped.count(), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out rows so that the sources reach the target mixture, in random order."""
     tune(spark)
-    return mixing.mix_sources(docs, MIXTURE, copy="_copy", order="_order").select(docs.columns)
+    copy, order = free_names(docs.columns, "_copy", "_order")
+    return mixing.mix_sources(docs, MIXTURE, copy=copy, order=order).select(docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
