@@ -80,6 +80,16 @@ def _(s):
     return fix(group_median(net_density(s), ["species"], "fish_ha", "median_density"))
 
 
+# SQL has no such sketch; it states what must hold of every group, and its rows.
+@query(
+    "agg_median_sketch",
+    "SELECT species, count(*) AS n, true AS within FROM o_net_density WHERE fish_ha IS NOT NULL GROUP BY species",
+)
+def _(s):
+    ranks = A.sketch_ranks(net_density(s), ["species"], "fish_ha")
+    return ranks.select("species", "n", (F.col("rank_error") <= A.RANK_ERROR).alias("within"))
+
+
 @query(
     "agg_sd_se",
     """SELECT species, genetics, R4(stddev_samp(length)) AS sd, R4(stddev_samp(length) / sqrt(count(length))) AS se

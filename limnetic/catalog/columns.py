@@ -21,6 +21,30 @@ def _(s):
     return files.scan_csv(s.spark, path, df.schema)
 
 
+# Every 50th distance is no number, every 70th tow time neither, and every 90th row has a field too many.
+@query(
+    "scan_csv_quarantine",
+    """SELECT 'rows' AS field, count(*) AS rows FROM v_tow WHERE op_id % 90 <> 0 UNION ALL
+       SELECT 'known distance', count(distance) FILTER (op_id % 50 <> 0 AND op_id % 90 <> 0) FROM v_tow UNION ALL
+       SELECT * FROM (SELECT 'distance' AS field, count(*) AS rows FROM v_tow WHERE op_id % 50 = 0 AND op_id % 90 <> 0 UNION ALL
+         SELECT 'tow_time', count(*) FROM v_tow WHERE op_id % 70 = 0 AND op_id % 90 <> 0 UNION ALL
+         SELECT 'line', count(*) FROM v_tow WHERE op_id % 90 = 0) WHERE rows > 0""",
+)
+def _(s):
+    df = s.tow.select("op_id", "tow_time", "distance")
+    missing = lambda c, n, bad: F.when(F.col("op_id") % n == 0, bad).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("NA")))
+    fields = [F.col("op_id").cast("string"), missing("tow_time", 70, "noon"), missing("distance", 50, "1;5")]
+    line = F.concat_ws(",", *fields, F.when(F.col("op_id") % 90 == 0, "more"))
+    path = shared_path(s.spark, "scan_csv")
+    df.select(line.alias("value")).write.text(path)
+    rows, counts = files.scan_csv_checked(s.spark, path, df.schema, shared_path(s.spark, "quarantine"), header=False)
+    known = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("distance").alias("known"))
+    both = known.select(F.explode(F.array(
+        F.struct(F.lit("rows").alias("field"), F.col("rows").alias("rows")), F.struct(F.lit("known distance").alias("field"), F.col("known").alias("rows"))
+    )).alias("x")).select("x.*")
+    return both.unionByName(counts)
+
+
 @query("scan_sheet", "SELECT sample, location, date, surface_t, t3m FROM v_bt")
 def _(s):
     df = s.bt.select("sample", "location", "date", "surface_t", "t3m")
@@ -87,6 +111,20 @@ def _(s):
     return s.spark.read.schema(df.schema).parquet(path)
 
 
+@query(
+    "sink_chart_facet",
+    """SELECT station, CAST(year(date) AS INT) AS year, R4(avg(atmp) + CASE WHEN station = 'A' THEN 100 ELSE 0 END) AS mean_air
+       FROM v_weather GROUP BY station, year(date)""",
+)
+def _(s):
+    """All facets, then one of them again with other values."""
+    df = s.weather.groupBy("station", F.year("date").alias("year")).agg(fixed(F.avg("atmp")).alias("mean_air"))
+    path = files.write_chart_data(df, shared_path(s.spark, "chart"), ["station"])
+    again = s.weather.filter("station = 'A'").groupBy("station", F.year("date").alias("year")).agg(fixed(F.avg("atmp") + 100).alias("mean_air"))
+    files.write_chart_data(again, path, ["station"], keep_others=True)
+    return s.spark.read.schema(df.schema).parquet(path)
+
+
 @query("select_columns", "SELECT location, op_id, op_date FROM v_tow")
 def _(s):
     return s.tow.select("location", "op_id", "op_date")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from limnetic.operators import aggregates as A
@@ -14,6 +16,9 @@ from limnetic.operators.joins import (
     with_group_size,
 )
 
+from limnetic.session import shared_path
+from limnetic.sources import files
+
 from .registry import fix, query
 
 
@@ -51,6 +56,43 @@ def _(s):
     return natural_join(fish, s.tow.select("op_id", "location"), "right", ["op_id"])
 
 
+@query(
+    "env_year_join",
+    """SELECT t.op_id, t.op_date AS date, d.superior FROM v_tow t LEFT JOIN v_daily_temp d ON t.op_date = d.date
+       WHERE t.target = 2 AND t.op_date >= DATE '1996-05-01' AND t.op_date < DATE '1997-08-01'""",
+)
+def _(s):
+    """The readings lie in one folder per year; only the years of the tows asked for are opened."""
+    path = files.write_by_year(s.daily_temp, shared_path(s.spark, "daily"), "date")
+    daily = files.read_by_year(s.spark, path, s.daily_temp.schema)
+    tows = s.tow.filter("target = 2 AND op_date >= DATE '1996-05-01' AND op_date < DATE '1997-08-01'")
+    return files.same_day_join(tows.select("op_id", F.col("op_date").alias("date")), daily, []).select("op_id", "date", "superior")
+
+
+def colocated(s, buckets: int = 8) -> dict:
+    """Tow, catch and specimen tables, bucketed alike on the tow."""
+    frames = {"tow": s.tow.select("op_id", "op_date", "location"), "catch": s.catch, "specimen": s.specimen.select("op_id", "genetics")}
+    name = f"limnetic_{uuid.uuid4().hex[:12]}"
+    return {k: files.write_bucketed(df, f"{name}_{k}", shared_path(s.spark, f"bucketed-{k}"), "op_id", buckets) for k, df in frames.items()}
+
+
+def tow_totals(tow, catch, specimen):
+    """Each tow with its catch and its identified specimens; plain equality of the key keeps the buckets in use."""
+    fish = catch.groupBy("op_id").agg(F.sum("n").alias("fish"))
+    ids = specimen.filter("genetics IS NOT NULL").groupBy("op_id").agg(A.rows().alias("specimens"))
+    return tow.join(fish, "op_id", "left").join(ids, "op_id", "left")
+
+
+@query(
+    "colocated_joins",
+    """SELECT t.op_id, t.op_date, t.location, c.fish, f.specimens FROM v_tow t
+       LEFT JOIN (SELECT op_id, CAST(sum(n) AS BIGINT) AS fish FROM v_catch GROUP BY 1) c USING (op_id)
+       LEFT JOIN (SELECT op_id, count(*) AS specimens FROM v_specimen WHERE genetics IS NOT NULL GROUP BY 1) f USING (op_id)""",
+)
+def _(s):
+    return tow_totals(**colocated(s))
+
+
 @query(
     "left_join_chain",
     """SELECT a.year, a.tows, b.fish, c.specimens, R4(d.warmth) AS warmth

@@ -269,26 +269,50 @@ def _(s):
     return fix(statistics.mean_ci_normal(rows, ["year"], "fish_ha"), 3)
 
 
-@query(
-    "mean_ci_boot",
-    """SELECT a.year, a.month_long, a.n, R4(a.mean) AS mean, R4(b.lower) AS lower, R4(b.upper) AS upper FROM
-       (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, count(*) AS n, avg(surface_t) AS mean
-        FROM v_bt WHERE surface_t IS NOT NULL GROUP BY ALL) a JOIN
-       (WITH cells AS (SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, surface_t AS v, count(*) AS n
-          FROM v_bt WHERE surface_t IS NOT NULL GROUP BY ALL),
-        parts AS (SELECT *, CAST(ceil(n / 64) AS INT) AS parts, n / CAST(ceil(n / 64) AS INT) AS mean FROM cells),
-        steps AS (SELECT year, month_long, v, k, exp(-mean) * product(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE mean / k END)
-          OVER (PARTITION BY year, month_long, v ORDER BY k) AS p FROM parts, range(0, 171) t(k)),
-        points AS (SELECT year, month_long, v, k, sum(p) OVER (PARTITION BY year, month_long, v ORDER BY k) AS c FROM steps),
-        draws AS (SELECT year, month_long, v, rep, part,
-            (CAST('0x' || substr(md5(concat_ws('|', year, month_long, v, rep, part)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
-          FROM parts, range(0, 1000) r(rep), range(1, parts + 1) q(part)),
-        weights AS (SELECT d.year, d.month_long, d.v, rep, sum(coalesce(k + 1, 0)) AS w FROM draws d
-          ASOF LEFT JOIN points p ON d.year = p.year AND d.month_long = p.month_long AND d.v = p.v AND d.u >= p.c GROUP BY ALL),
-        means AS (SELECT year, month_long, rep, sum(w * v) / nullif(sum(w), 0) AS m FROM weights GROUP BY ALL)
-        SELECT year, month_long, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM means GROUP BY ALL) b
-       USING (year, month_long)""",
+def boot_sql(levels: int = statistics.TREE_BITS, reps: int = 1000) -> str:
+    """Draws dealt out level by level over the binary tree of the cells' hashes; a node of one cell is done."""
+    far, bits = statistics.FAR, statistics.TREE_BITS
+    mix = lambda x: f"(SELECT xor(b, b >> 16) FROM (SELECT (xor(a, a >> 13) * 3266489909::UBIGINT) & 4294967295 AS b FROM (SELECT (xor(x, x >> 16) * 2246822507::UBIGINT) & 4294967295 AS a FROM (SELECT {x} AS x))))"
+    parts = [
+        """cells AS MATERIALIZED (SELECT *, ('0x' || substr(md5(g || '|' || v::VARCHAR), 1, 8))::UBIGINT AS h FROM
+  (SELECT '{"year":' || year::VARCHAR || ',"month_long":"' || month_long || '"}' AS g, v, n FROM boot_cells))""",
+        f"d0 AS MATERIALIZED (SELECT g, 0::UBIGINT AS pre, rep, sum(n)::BIGINT AS d FROM cells, range(0, {reps}) r(rep) GROUP BY ALL)",
+    ]
+    for i in range(levels):
+        parts += [
+            f"""n{i} AS MATERIALIZED (SELECT g, h >> {bits - i} AS pre, count(*) AS cells, sum(n)::BIGINT AS total,
+    coalesce(sum(n) FILTER ((h >> {bits - 1 - i}) & 1 = 0), 0)::BIGINT AS l, any_value(v) AS v FROM cells GROUP BY ALL)""",
+            f"done{i} AS (SELECT g, rep, v * d AS s FROM d{i} JOIN n{i} USING (g, pre) WHERE cells = 1)",
+            f"""u{i} AS MATERIALIZED (SELECT d.*, l, total, l::DOUBLE / total AS p, ((hi * 65536 + (lo >> 16))::DOUBLE + 0.5) / 281474976710656.0 AS u FROM
+    (SELECT d.*, l, total, {mix("xor(('0x' || substr(seed, 1, 8))::UBIGINT, (rep::UBIGINT * 2654435769) & 4294967295)")} AS hi,
+       {mix("xor(('0x' || substr(seed, 9, 8))::UBIGINT, (rep::UBIGINT * 2654435769) & 4294967295)")} AS lo
+     FROM d{i} d JOIN (SELECT *, md5(g || '|{i}|' || pre::VARCHAR) AS seed FROM n{i} WHERE cells > 1 AND l > 0 AND l < total) USING (g, pre)) d)""",
+            f"""c{i} AS MATERIALIZED (SELECT g, pre, d, k, hi, sum(exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) + k * ln(p) + (d - k) * ln(1 - p))) OVER (PARTITION BY g, pre, d ORDER BY k) AS c FROM
+    (SELECT *, unnest(range(lo, hi + 1)) AS k FROM (SELECT *, greatest(0, floor(d * p - {far} * sqrt(d * p * (1 - p)) - {far}))::BIGINT AS lo,
+       least(d, ceil(d * p + {far} * sqrt(d * p * (1 - p)) + {far}))::BIGINT AS hi FROM (SELECT DISTINCT g, pre, d, p FROM u{i}))))""",
+            f"""t{i} AS MATERIALIZED (SELECT u.g, u.pre, rep, u.d, coalesce(least(c.k + 1, c.hi), (SELECT min(k) FROM c{i} x WHERE x.g = u.g AND x.pre = u.pre AND x.d = u.d)) AS taken
+    FROM u{i} u ASOF LEFT JOIN c{i} c ON u.g = c.g AND u.pre = c.pre AND u.d = c.d AND u.u >= c.c)""",
+            f"""d{i + 1} AS MATERIALIZED (SELECT g, 2 * pre AS pre, rep, taken AS d FROM t{i} UNION ALL SELECT g, 2 * pre + 1, rep, d - taken FROM t{i}
+    UNION ALL SELECT g, 2 * pre + (l = 0)::UBIGINT, rep, d FROM d{i} JOIN n{i} USING (g, pre) WHERE cells > 1 AND (l = 0 OR l = total))""",
+        ]
+    done = " UNION ALL ".join(f"SELECT * FROM done{i}" for i in range(levels))
+    return f"""SELECT a.year, a.month_long, a.n, R4(a.mean) AS mean, R4(b.lower) AS lower, R4(b.upper) AS upper FROM
+  (SELECT year, month_long, sum(n)::BIGINT AS n, sum(n * v) / sum(n) AS mean FROM o_boot_cells GROUP BY ALL) a JOIN
+  (WITH boot_cells AS (SELECT * FROM o_boot_cells), {", ".join(parts)}
+   SELECT g, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM
+     (SELECT g, rep, sum(s) / any_value(total) AS m FROM ({done}) JOIN (SELECT g, sum(n) AS total FROM cells GROUP BY g) USING (g) GROUP BY ALL) GROUP BY g) b
+  ON b.g = '{{"year":' || a.year::VARCHAR || ',"month_long":"' || a.month_long || '"}}'"""
+
+
+step(
+    "o_boot_cells",
+    """SELECT CAST(year(date) AS INT) AS year, monthname(date) AS month_long, surface_t AS v, count(*) AS n
+FROM v_bt WHERE surface_t IS NOT NULL GROUP BY ALL""",
 )
+
+
+# No two of the few values of these groups share so many bits.
+@query("mean_ci_boot", boot_sql(20))
 def _(s):
     rows = s.bt.select(F.year("date").alias("year"), month_long(F.col("date")).alias("month_long"), "surface_t")
     return fix(statistics.mean_ci_boot(rows, ["year", "month_long"], "surface_t"))

@@ -6,9 +6,12 @@ group (or per group and level).
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,64 +213,136 @@ def mean_ci_normal(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     )
 
 
-# A cell of more equal values draws its weight as a sum of parts of up to so many.
-PART_VALUES = 64
-# P(X > 170) at a mean of 64 is below the spacing of the uniform draws.
-LAST_COUNT = 170
-# Replicates that are drawn together.
-BLOCK_REPS = 25
+# Cells of a resample's tree are told apart by so many bits of their hash; alike ones are split in order of value.
+TREE_BITS = 32
+# Bits by which nodes that hold more cells than a task splits at once are divided.
+FAN_BITS, NODE_CELLS = 8, 4096
+# Counts further from the mean than so many standard deviations, and as many more, are not tried.
+FAR = 9.0
 
 
-def poisson_points(mean: Column) -> Column:
-    """Distribution function of the Poisson distribution at 0, 1, ... ``LAST_COUNT``."""
-    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k!, by a table up to 255 and Stirling's series beyond."""
+    table = np.r_[0.0, np.cumsum(np.log(np.arange(1.0, 256.0)))]
+    x = np.maximum(k, 255).astype(float)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(k < 256, table[np.minimum(k, 255)], series)
 
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * mean / k
-        return F.struct(p.alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LAST_COUNT)), start, step, lambda acc: acc["c"])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit mix, in 64-bit numbers."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & mask
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & mask
+    return x ^ (x >> np.uint64(16))
 
 
-def mean_ci_boot(df: DataFrame, keys: Sequence[str], y: str, reps: int = 1000) -> DataFrame:
-    """Mean and bootstrap 95 % interval.
+def uniforms(text: str, reps: int) -> np.ndarray:
+    """A uniform number of 48 bits for each replicate, from the md5 of a text."""
+    seeds = hashlib.md5(text.encode()).hexdigest()
+    rep = np.arange(reps, dtype=np.uint64) * np.uint64(0x9E3779B9) & np.uint64(0xFFFFFFFF)
+    high, low = (_mixed(np.uint64(int(seeds[i : i + 8], 16)) ^ rep) for i in (0, 8))
+    return ((high << np.uint64(16) | low >> np.uint64(16)).astype(float) + 0.5) / float(1 << 48)
+
+
+def binomials(draws: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """For each number of draws, the binomial number at the uniform number beside it."""
+    out = np.zeros(len(draws), np.int64)
+    for n in np.unique(draws):
+        here = draws == n
+        mean, spread = n * p, math.sqrt(n * p * (1 - p))
+        k = np.arange(max(0, math.floor(mean - FAR * spread - FAR)), min(int(n), math.ceil(mean + FAR * spread + FAR)) + 1)
+        log_p = _log_factorial(np.array(n)) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+        out[here] = k[np.minimum(np.searchsorted(np.cumsum(np.exp(log_p)), u[here], "right"), len(k) - 1)]
+    return out
+
+
+def split_draws(group: str, draws: np.ndarray, hashes: np.ndarray, counts: np.ndarray, values: np.ndarray, depth: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Deal ``draws`` (one number for each replicate) out to cells: (place of the cell, its draws).
+
+    The cells hang in a binary tree by the bits of their hashes, from ``depth`` on. A node's
+    draws go left by a binomial number whose chance is the left cells' share of the rows, so
+    that the draws of all cells of a replicate sum up to what came in.
+    """
+    order = np.lexsort((values, hashes))
+    stack = [(0, len(order), depth, draws)]
+    while stack:
+        a, b, bit, own = stack.pop()
+        if b - a == 1:
+            yield int(order[a]), own
+            continue
+        if bit < TREE_BITS:
+            ones = hashes[order[a:b]] >> np.uint64(TREE_BITS - 1 - bit) & np.uint64(1)
+            middle = a + int(np.searchsorted(ones, 1))
+            name = f"{group}|{bit}|{int(hashes[order[a]]) >> (TREE_BITS - bit)}"
+        else:
+            middle, name = a + 1, f"{group}|{bit}|{int(hashes[order[a]])}|{b - a}"
+        if middle in (a, b):
+            stack.append((a, b, bit + 1, own))
+            continue
+        left = int(counts[order[a:middle]].sum())
+        taken = binomials(own, left / (left + int(counts[order[middle:b]].sum())), uniforms(name, len(own)))
+        stack += [(middle, b, bit + 1, own - taken), (a, middle, bit + 1, taken)]
 
-    Every row has a Poisson(1) weight in each replicate. Equal values of a group are
-    counted first: the weights of n of them sum up to a Poisson(n) number, drawn by
-    inversion at a uniform number that is a hash of group, value and replicate. The draw
-    does not depend on partitioning and survives a lost executor; no row is repeated.
+
+def mean_ci_boot(df: DataFrame, keys: Sequence[str], y: str, reps: int = 1000) -> DataFrame:
+    """Mean and bootstrap 95 % interval from resamples of exactly as many rows as the group has.
+
+    Equal values of a group are counted first. The draws of all replicates are dealt out
+    over a tree of the counted values' hashes by binomial numbers (``split_draws``), so they
+    sum up to the group's rows without a row being drawn or moved. A node of more than
+    ``NODE_CELLS`` values is divided by the next bits first, level by level, and its parts
+    are other tasks' work; a task hands on one sum for each replicate. The numbers are hashes
+    of group, node and replicate: they depend neither on partitions nor on retries.
     """
-    base = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).alias("_y"))
+    keys = list(keys)
+    c = F.col
+    base = df.filter(c(y).isNotNull()).select(*keys, c(y).cast("double").alias("_y"))
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     cells = base.groupBy(*keys, "_y").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / PART_VALUES).cast("int")
-    cells = cells.withColumn("_parts", parts)
-    cells = cells.withColumn("_points", poisson_points(F.col("_n") / F.col("_parts")))
-    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("_y").cast("string"))
-    cells = cells.withColumn("_cell", text)
-    # Few cells, many draws: blocks of replicates are dealt out before they are drawn.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK_REPS))))
-    cells = cells.repartition(tasks, "_block", *keys, "_y")
-    last = F.least(F.col("_block") * BLOCK_REPS + (BLOCK_REPS - 1), F.lit(reps - 1))
-    draws = cells.withColumn("_rep", F.explode(F.sequence(F.col("_block") * BLOCK_REPS, last)))
-
-    def draw(part: Column) -> Column:
-        """How many points lie at or below the uniform number, by halving steps."""
-        text = F.concat_ws("|", "_cell", F.col("_rep").cast("string"), part.cast("string"))
-        u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
-
-        def step(acc: Column, size: Column) -> Column:
-            lower = F.coalesce(F.get("_points", acc["at"] + size - 1) <= acc["u"], F.lit(False))
-            return F.struct(acc["u"].alias("u"), (acc["at"] + F.when(lower, size).otherwise(0)).alias("at"))
-
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(8))])
-        return F.aggregate(steps, F.struct(u.alias("u"), F.lit(0).alias("at")), step, lambda acc: acc["at"])
-
-    weight = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + draw(part))
-    draws = draws.select(*keys, "_y", "_rep", weight.alias("_w"))
-    means = draws.groupBy(*keys, "_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("_m"))
+    cells = cells.withColumn("_group", name).withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws("|", "_group", c("_y").cast("string"))), 1, 8), 16, 10).cast("bigint"))
+    cells = written(cells, "cells")
+    plain = cells.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(c("_n") * c("_y")) / F.sum("_n")).alias("mean"))
+
+    # Nodes by their first bits, with the draws of each replicate; a node without draws stands for the whole group.
+    widest = cells.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
+    node = lambda bits: F.shiftright(c("_h"), TREE_BITS - bits)
+    nodes = cells.groupBy("_group").agg(F.sum("_n").alias("_rows")).withColumns({"_node": F.lit(0).cast("bigint"), "_draws": F.array_repeat(c("_rows"), reps)})
+    bits = 0
+    while widest >> bits > NODE_CELLS and bits + FAN_BITS <= TREE_BITS:
+        below = bits + FAN_BITS
+        parts = cells.groupBy("_group", node(bits).alias("_node"), node(below).alias("_part")).agg(F.sum("_n").alias("_n"))
+        nodes = written(_dealt(nodes, parts, bits, below, reps), "nodes")
+        bits = below
+    leaves = cells.select("_group", node(bits).alias("_node"), "_h", "_n", "_y")
+
+    def sums(key: tuple, cell: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(reps)
+        h, n, v = cell["_h"].to_numpy(np.uint64), cell["_n"].to_numpy(np.int64), cell["_y"].to_numpy(float)
+        own = np.array(drawn["_draws"].iloc[0], np.int64)
+        for at, taken in split_draws(key[0], own, h, n, v, bits):
+            total += taken * v[at]
+        return pd.DataFrame({"_group": [key[0]], "_sums": [total.tolist()]})
+
+    by = ["_group", "_node"]
+    found = leaves.groupBy(*by).cogroup(nodes.select(*by, "_draws").groupBy(*by)).applyInPandas(sums, "_group string, _sums array<double>")
+    found = found.select("_group", F.posexplode("_sums").alias("_rep", "_s")).groupBy("_group", "_rep").agg(F.sum("_s").alias("_s"))
+    names = cells.groupBy("_group").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys], F.sum("_n").alias("_rows"))
+    means = found.join(names, "_group").withColumn("_m", c("_s") / c("_rows"))
     bounds = means.groupBy(*keys).agg(
         F.percentile("_m", F.lit(0.025)).alias("lower"), F.percentile("_m", F.lit(0.975)).alias("upper")
     )
-    plain = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
     return natural_join(plain, bounds, "left", keys)
+
+
+def _dealt(nodes: DataFrame, parts: DataFrame, bits: int, below: int, reps: int) -> DataFrame:
+    """The draws of ``nodes`` dealt out to their parts, which have the next bits."""
+
+    def deal(key: tuple, part: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        numbers, n = part["_part"].to_numpy(np.uint64), part["_n"].to_numpy(np.int64)
+        own = np.array(node["_draws"].iloc[0], np.int64)
+        found = list(split_draws(key[0], own, numbers << np.uint64(TREE_BITS - below), n, numbers, bits))
+        return pd.DataFrame({"_group": key[0], "_node": [int(numbers[at]) for at, _ in found], "_draws": [d.tolist() for _, d in found]})
+
+    by = ["_group", "_node"]
+    return parts.groupBy(*by).cogroup(nodes.select(*by, "_draws").groupBy(*by)).applyInPandas(deal, "_group string, _node bigint, _draws array<bigint>")

@@ -26,9 +26,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path that all executors can reach, on any master.
 
     It lies below ``spark.checkpoint.dir``, or below the warehouse where that is unset,
-    and is deleted when the application ends.
+    and is deleted when the application ends. On a cluster the warehouse must not be a
+    folder of the driver's own: executors would write beside it, unseen.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if not named and scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {root} is the driver's own")
     app = f"{root.rstrip('/')}/limnetic/{spark.sparkContext.applicationId}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(app)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from limnetic.catalog import QUERIES, registry, stats
 from limnetic.functions import dist
-from limnetic.operators import smoothers, statistics, trees
+from limnetic.operators import aggregates, smoothers, statistics, trees
 from limnetic.operators.grouped import grouped_line
 
 
@@ -86,6 +86,53 @@ def test_bootstrap_brackets_the_mean(spark):
     assert (again["lower"], again["upper"]) == pytest.approx((a["lower"], a["upper"]))
 
 
+def test_each_resample_has_as_many_rows_as_the_group():
+    """Draws dealt out over the tree sum up in every replicate, and follow the shares of the rows."""
+    r = np.random.default_rng(5)
+    hashes, counts, values = r.integers(0, 1 << 32, 300).astype(np.uint64), r.integers(1, 9, 300), r.normal(size=300)
+    hashes[10:14] = hashes[10]  # alike in all bits
+    rows = int(counts.sum())
+    dealt = dict(statistics.split_draws("g", np.full(500, rows), hashes, counts, values))
+    assert sorted(dealt) == list(range(300))
+    table = np.array([dealt[i] for i in range(300)])
+    assert (table.sum(0) == rows).all() and table.min() >= 0
+    assert np.abs(table.mean(1) - counts).max() < 5 * math.sqrt(8 / 500)
+    expected = counts * (1 - counts / rows)
+    assert table.var(1).mean() == pytest.approx(expected.mean(), rel=0.05)
+
+
+def test_binomial_numbers():
+    for n, p in ((1, 0.3), (7, 0.5), (50, 0.02), (3000, 0.4), (10**7, 1e-6)):
+        u = (np.arange(20_000) + 0.5) / 20_000
+        x = statistics.binomials(np.full(20_000, n), p, u)
+        assert (np.diff(x) >= 0).all() and x.max() <= n
+        assert x.mean() == pytest.approx(n * p, rel=2e-3) and x.var() == pytest.approx(n * p * (1 - p), rel=2e-2)
+    u = statistics.uniforms("a node", 50_000)
+    assert np.histogram(u, 20, (0, 1))[0].std() < 3 * math.sqrt(2500) and len(set(u)) == 50_000
+
+
+def test_nodes_split_over_several_tasks_change_nothing(spark, monkeypatch):
+    rows = [("a", float(i % 211)) for i in range(900)] + [(None, 1.0), (None, 2.0), ("", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    plain = {r["g"]: tuple(r) for r in statistics.mean_ci_boot(df, ["g"], "y", reps=100).collect()}
+    monkeypatch.setattr(statistics, "NODE_CELLS", 2)
+    monkeypatch.setattr(statistics, "FAN_BITS", 3)
+    again = {r["g"]: tuple(r) for r in statistics.mean_ci_boot(df.repartition(5), ["g"], "y", reps=100).collect()}
+    assert plain.keys() == again.keys() == {"a", None, ""}
+    for g in plain:
+        assert plain[g][1:] == pytest.approx(again[g][1:])
+    assert plain[""][2:] == (5.0, 5.0, 5.0) and plain[None][1] == 2
+
+
+def test_median_sketch_keeps_its_rank_error(spark):
+    """Of skewed continuous groups much larger than the sketch; small groups have the lower median."""
+    df = spark.range(300_000).select((F.col("id") % 3 == 0).alias("hot"), F.exp(F.randn(1) * 3).alias("x")).repartition(7)
+    rows = aggregates.sketch_ranks(df, ["hot"], "x", rank_error=1e-3).collect()
+    assert len(rows) == 2 and all(0 <= r["rank_error"] <= 1e-3 for r in rows) and sum(r["n"] for r in rows) == 300_000
+    few = spark.createDataFrame([(1, 5.0), (1, 1.0), (1, 9.0), (1, 7.0), (1, None), (2, None)], "g int, x double")
+    assert [(r["g"], r["n"], r["median"], r["rank_error"]) for r in aggregates.sketch_ranks(few, ["g"], "x").collect()] == [(1, 4, 5.0, 0.0)]
+
+
 def test_best_split_by_hand(spark):
     rows, df = frame(spark, groups=1, n=60)
     x, y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
