@@ -6,7 +6,6 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from limnetic.llm.common import arrow_batches, whole
 
@@ -24,15 +24,8 @@ NONE = 1 << 30
 SHORT = 64
 # Pieces and words remembered by one worker; the older half of them goes when they are too many.
 REMEMBERED = 150_000
-# White space of the vocabulary's patterns (Unicode White_Space), as fixed values.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def characters(kind: str) -> str:
-    """Ranges, for a character class, of the code points whose category begins with ``kind``."""
-    inside = np.array([unicodedata.category(chr(c))[0] == kind for c in range(0x110000)])
-    edges = np.flatnonzero(np.diff(np.r_[False, inside, False])).reshape(-1, 2)
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges)
+# The classes of the vocabulary's pattern within ASCII; beyond it the library's own splitter is asked.
+CLASSES = ((r"\s", r"\t-\r "), (r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"))
 
 
 def byte_letters() -> list[str]:
@@ -88,9 +81,13 @@ class WordBpe:
         self.added = {t: packed([i]) for t, i in added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in x)
-        for name, inside in ((r"\s", WHITE), (r"\p{L}", characters("L")), (r"\p{N}", characters("N"))):
+        for name, inside in CLASSES:
             split = split.replace(name, inside)
         self.words = re.compile(split)
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.letters = {b: x for b, x in enumerate(letters) if chr(b) != x}
+        self.byte = {x: b for b, x in enumerate(letters)}
         self.remembered, self.remembered_words = Remembered(self.piece), Remembered(self.word)
 
     def merge_short(self, parts: list[int]) -> list[int]:
@@ -128,8 +125,8 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def word(self, word: str) -> bytes:
-        """Ids as little-endian 32-bit numbers of a word, as the vocabulary's pattern cuts them."""
-        data = word.encode()
+        """Ids as little-endian 32-bit numbers of a word in the vocabulary's byte letters."""
+        data = list(map(self.byte.__getitem__, word))
         parts = [self.inner[b] for b in data[:-1]]
         parts.append(self.last[data[-1]])
         return packed(self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts))
@@ -143,10 +140,11 @@ class WordBpe:
         for part in self.special.split(text) if "<" in text else [text]:
             if part in self.added:
                 out.append(self.added[part])
+            elif part.isascii():
+                out.extend(known(w.translate(self.letters)) for w in self.words.findall(part.lower()))
             else:
-                # Lower case letter by letter: a closing sigma is like any other.
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out.extend(map(known, self.words.findall(low)))
+                # Lower case, normal form and classes of characters are the library's, whatever Unicode it knows.
+                out.extend(known(w) for w, _ in self.cut(self.normal(part)))
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:

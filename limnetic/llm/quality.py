@@ -74,9 +74,11 @@ def failures() -> dict[str, Column]:
 def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_RATE) -> DataFrame:
     """_host, _refused: hosts with a rule whose shrunk failure rate exceeds ``max_rate``.
 
-    Of each rule a beta prior is fitted to the hosts' rates by their mean and variance;
-    a host's rate is shrunk to (failures + alpha) / (rows + alpha + beta). Where the
-    hosts do not differ the prior counts ``PRIOR_ROWS`` rows.
+    Of each rule a beta prior is fitted by moments that know the hosts' sizes: what the rates
+    differ beyond what their rows alone make them differ gives the correlation of two rows
+    of one host, rho, and the prior counts 1 / rho - 1 rows. A host's rate is shrunk to
+    (failures + alpha) / (rows + alpha + beta). Where the hosts do not differ, or all have a
+    single row, the prior counts ``PRIOR_ROWS`` rows.
     """
     rules = failures()
     hosts = written(
@@ -85,16 +87,23 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_RATE) ->
         ),
         "host-failures",
     )
-    rate = {name: F.col(f"_{name}") / F.col("_rows") for name in rules}
+    rows = F.col("_rows").cast("double")
+    found = {name: F.col(f"_{name}").cast("double") for name in rules}
     moments = hosts.agg(
-        F.sum(F.coalesce(F.octet_length("_host"), F.lit(0)) + 32).alias("size"),
-        *(F.avg(r).alias(f"{name}_mean") for name, r in rate.items()), *(F.var_samp(r).alias(f"{name}_var") for name, r in rate.items()),
+        F.sum(F.coalesce(F.octet_length("_host"), F.lit(0)) + 32).alias("size"), F.count("*").alias("hosts"),
+        F.sum(rows).alias("rows"), F.sum(rows * rows).alias("squares"),
+        *(F.sum(f).alias(f"{name}_sum") for name, f in found.items()), *(F.sum(f * f / rows).alias(f"{name}_within") for name, f in found.items()),
     ).first()
 
     def refused(name: str) -> Column:
-        mean, var = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
-        strength = mean * (1 - mean) / var - 1 if var > 0 else PRIOR_ROWS
-        strength = strength if strength > 0 else PRIOR_ROWS
+        k, n, total, own = (moments[x] or 0 for x in ("hosts", "rows", f"{name}_sum", f"{name}_within"))
+        mean, strength = total / n if n else 0.0, PRIOR_ROWS
+        if 1 < k < n:
+            size = (n - moments["squares"] / n) / (k - 1)
+            between, within = (own - total * mean) / (k - 1), (total - own) / (n - k)
+            spread = between + (size - 1) * within
+            rho = (between - within) / spread if spread > 0 else 0.0
+            strength = 1 / rho - 1 if rho > 0 else PRIOR_ROWS
         return (F.col(f"_{name}") + mean * strength) / (F.col("_rows") + strength) > max_rate
 
     any_rule = reduce(lambda a, b: a | b, (refused(name) for name in rules))

@@ -111,12 +111,15 @@ WITH d AS (
 ), hosts AS (
   SELECT source, rule, count(*) AS n, sum(failed::INT) AS f
   FROM (UNPIVOT rules ON few_words, repeats, symbols, dup_lines, word_size INTO NAME rule VALUE failed) GROUP BY ALL
+), moments AS (
+  SELECT rule, count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(n * n)::DOUBLE AS squares, sum(f::DOUBLE * f / n) AS own FROM hosts GROUP BY rule
+), parts AS (
+  SELECT rule, f / n AS mean, CASE WHEN k > 1 AND k < n THEN (n - squares / n) / (k - 1) END AS size,
+    CASE WHEN k > 1 THEN (own - f * f / n) / (k - 1) END AS b, CASE WHEN k < n THEN (f - own) / (n - k) END AS w FROM moments
 ), prior AS (
-  SELECT rule, avg(f / n) AS mean, CASE WHEN var_samp(f / n) > 0 THEN avg(f / n) * (1 - avg(f / n)) / var_samp(f / n) - 1 END AS s
-  FROM hosts GROUP BY rule
+  SELECT rule, mean, CASE WHEN b + (size - 1) * w > 0 AND b > w THEN (b + (size - 1) * w) / (b - w) - 1 ELSE 100 END AS z FROM parts
 ), verdicts AS (
-  SELECT source, bool_or((f + mean * z) / (n + z) > 0.5) AS refused
-  FROM (SELECT h.source, h.f, h.n, mean, CASE WHEN s > 0 THEN s ELSE 100 END AS z FROM hosts h JOIN prior USING (rule)) GROUP BY source
+  SELECT source, bool_or((f + mean * z) / (n + z) > 0.5) AS refused FROM hosts JOIN prior USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,
   NOT (few_words OR repeats) AND NOT refused AS kept, r.source AS host

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
 
@@ -30,8 +32,9 @@ SHARD_IDS = 1 << 21
 PIECES, WORDS = 700_000, 600_000
 # Bytes of text whose distinct pieces are looked up together.
 LOOKUP_BYTES = 16 << 20
-# ASCII marks that never join the letters before them.
+# ASCII marks that never join the letters before them, and the letters.
 MARKS = b"!#$%&*+,-./:;=?@^_`|~\"()[]{}"
+LETTERS = string.ascii_letters
 
 
 class WaveletMatrix:
@@ -59,7 +62,7 @@ class WaveletMatrix:
             ones = np.bitwise_count(planes[level].reshape(blocks, width).view(np.uint64)).sum(1, dtype=np.int64)
             samples[level, 1:] = np.cumsum(ones)[:-1]
             zeros[level] = n - int(ones.sum())
-            order = np.concatenate([order[~bits], order[bits]])
+            order = np.concatenate([np.compress(~bits, order), np.compress(bits, order)])
         return cls(n, zeros, samples, lambda level, i: planes[level, i * width : (i + 1) * width])
 
     def bit(self, level: int, i: int) -> int:
@@ -133,11 +136,11 @@ class WaveletMatrix:
         order = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
             plane = np.concatenate([self.block(level, i) for i in range(self.blocks)])
-            bits = np.unpackbits(plane, count=self.n).astype(bool)
+            bits = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty_like(order)
             zeros = int(self.zeros[level])
-            above[~bits] = order[:zeros]
-            above[bits] = order[zeros:] | order.dtype.type(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~bits)] = order[:zeros]
+            above[np.flatnonzero(bits)] = order[zeros:] | order.dtype.type(1 << (self.levels - 1 - level))
             order = above
         return order.astype(np.uint32)
 
@@ -227,6 +230,7 @@ class LibraryEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = Remembered(self.cut, PIECES)
         self.words, self.others = Remembered(self.merged, WORDS), Remembered(self.asked, WORDS)
+        self.plain = Remembered(self.letters_only, WORDS)
 
     def merged(self, word: bytes) -> bytes:
         """Ids of a normalised word of letters, which the library's splitter leaves whole."""
@@ -252,6 +256,36 @@ class LibraryEncoder:
         """Ids of a text in UTF-8 as little-endian 32-bit numbers; no id reaches over ASCII white space."""
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
+    def letters_only(self, word: str) -> bytes:
+        """Ids of a word of small ASCII letters."""
+        return array("I", [x.id for x in self.merge(word)]).tobytes()
+
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in one row, and how many each has.
+
+        A piece of ASCII letters and marks behind them is a word and a tail, which few others
+        share; they are told apart for all pieces at once. Other pieces go to ``cut`` each.
+        """
+        core = pc.ascii_rtrim(pieces, characters=MARKS.decode())
+        plain = pc.ascii_is_alpha(core)
+        word = pc.ascii_lower(core.filter(plain)).dictionary_encode()
+        tail = pc.ascii_ltrim(pieces.filter(plain), characters=LETTERS).dictionary_encode()
+        rest = pieces.filter(pc.invert(plain)).cast(pa.large_binary()).to_pylist()
+        words = list(map(self.plain.__getitem__, word.dictionary.to_pylist()))
+        tails = [self.others[t.encode()] if t else b"" for t in tail.dictionary.to_pylist()]
+        others = [self.pieces[p] if p else b"" for p in rest]
+        # Parts in one row: of all words, all tails and all other pieces.
+        parts = words + tails + others
+        ids, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first, second = np.empty(len(pieces), np.int64), np.full(len(pieces), len(parts))
+        first[is_plain] = word.indices.to_numpy()
+        first[~is_plain] = len(words) + len(tails) + np.arange(len(rest))
+        second[is_plain] = len(words) + tail.indices.to_numpy()
+        order = np.stack([first, second], 1).ravel()
+        sizes = np.r_[sizes, 0]
+        return gathered(ids, sizes, order), sizes[first] + sizes[second]
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (binary, UTF-8) in one row, and how many each text has.
 
@@ -259,15 +293,17 @@ class LibraryEncoder:
         """
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        found = [self.pieces[p] if p else b"" for p in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-        sizes = np.array([len(x) >> 2 for x in found], np.int64)
-        ids, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        ids, sizes = self.distinct(coded.dictionary)
         place = coded.indices.to_numpy()
-        n = sizes[place]
-        upto = np.cumsum(n)
-        out = ids[np.repeat(begins[place] - (upto - n), n) + np.arange(int(n.sum()))]
-        bounds = np.r_[0, upto][words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return out, np.diff(bounds)
+        bounds = np.r_[0, np.cumsum(sizes[place])][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return gathered(ids, sizes, place), np.diff(bounds)
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Stretches of ``ids``, which lie one after the other with these sizes, put in another order."""
+    begins, n = np.cumsum(sizes) - sizes, sizes[order]
+    upto = np.cumsum(n)
+    return ids[np.repeat(begins[order] - (upto - n), n) + np.arange(int(n.sum()))]
 
 
 @lru_cache(maxsize=2)

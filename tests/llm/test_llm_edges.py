@@ -107,6 +107,25 @@ def test_exact_keeps_the_same_of_rows_alike(spark):
     assert len(alike) == 1
 
 
+def verdicts(spark, hosts):
+    """Hosts (name, rows, rows that fail the first rule) judged by the first rule alone."""
+    rows = [(h, 10 if i < bad else 100) for h, n, bad in hosts for i in range(n)]
+    measured = spark.createDataFrame(rows, "host string, n_words long").selectExpr("*", "5 * n_words word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words")
+    return {r["_host"]: r["_refused"] for r in quality.host_verdicts(measured, "host")[0].collect()}
+
+
+def test_prior_takes_sizes_of_hosts_into_account(spark):
+    """Hosts of one row say nothing about how hosts differ, so one failing row refuses none of them."""
+    ones = [(f"one{i}", 1, int(i % 10 < 3)) for i in range(400)]
+    assert not any(verdicts(spark, ones).values())
+    alike = [(f"large{i}", 100, 30) for i in range(10)]
+    assert not any(verdicts(spark, ones[:200] + alike).values())
+    # Hosts that do differ are told apart by a few rows, and bad large ones refused.
+    apart = [(f"good{i}", 50, 1) for i in range(10)] + [(f"bad{i}", 50, 48) for i in range(10)] + [("new", 3, 3), ("tiny", 1, 0)]
+    judged = verdicts(spark, apart)
+    assert {h for h, r in judged.items() if r} == {*(f"bad{i}" for i in range(10)), "new"}
+
+
 def test_measures_leave_other_columns_alone(edges):
     out = quality.text_measures(edges)
     replaced = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
@@ -210,6 +229,15 @@ def test_bpe_like_the_library():
     for _ in range(3000):
         text = "".join(r.choices(pool, k=r.randint(0, 25)))
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    # Every code point, alone and between letters and digits, in a few long texts.
+    for a in range(0, 0x110000, 1 << 14):
+        signs = [chr(c) for c in range(a, a + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"{c} a{c}a1{c}1" for c in signs)
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(a)
+    for _ in range(300):  # long words, with ties
+        word = "".join(r.choices(r.choice(["ab", "the", "é中a", "!?-"]), k=r.randint(50, 300)))
+        assert np.frombuffer(own.encode(word.encode()), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    own.forget()
     parts = [own.inner[b] for b in r.choices(range(97, 123), k=400)] + [own.last[97]]
     assert own.merge_short(list(parts)) == own.merge_long(list(parts))
 
