@@ -6,6 +6,7 @@ import heapq
 import json
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +25,18 @@ NONE = 1 << 30
 SHORT = 64
 # Pieces and words remembered by one worker; the older half of them goes when they are too many.
 REMEMBERED = 150_000
-# The classes of the vocabulary's pattern within ASCII; beyond it the library's own splitter is asked.
-CLASSES = ((r"\s", r"\t-\r "), (r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"))
+# Texts of these characters are cut and put in lower case here: Latin letters and signs, whose classes all
+# versions of Unicode share, without the one whose lower case is two characters. Others go to the library.
+LATIN = re.compile("[\0-\u012f\u0131-\u017f]*")
+# White space of the vocabulary's pattern up to there, as fixed values.
+WHITE = "\\t-\\r \\x85\\xa0"
+
+
+def characters(kind: str) -> str:
+    """Ranges, for a character class, of the Latin code points whose category begins with ``kind``."""
+    inside = np.array([unicodedata.category(chr(c))[0] == kind for c in range(0x180)])
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False])).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges)
 
 
 def byte_letters() -> list[str]:
@@ -81,12 +92,12 @@ class WordBpe:
         self.added = {t: packed([i]) for t, i in added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in x)
-        for name, inside in CLASSES:
+        for name, inside in ((r"\s", WHITE), (r"\p{L}", characters("L")), (r"\p{N}", characters("N"))):
             split = split.replace(name, inside)
         self.words = re.compile(split)
         library = Tokenizer.from_file(path)
         self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.letters = {b: x for b, x in enumerate(letters) if chr(b) != x}
+        self.letters = dict(enumerate(letters))
         self.byte = {x: b for b, x in enumerate(letters)}
         self.remembered, self.remembered_words = Remembered(self.piece), Remembered(self.word)
 
@@ -140,8 +151,8 @@ class WordBpe:
         for part in self.special.split(text) if "<" in text else [text]:
             if part in self.added:
                 out.append(self.added[part])
-            elif part.isascii():
-                out.extend(known(w.translate(self.letters)) for w in self.words.findall(part.lower()))
+            elif LATIN.fullmatch(part):
+                out.extend(known(w.encode().decode("latin-1").translate(self.letters)) for w in self.words.findall(part.lower()))
             else:
                 # Lower case, normal form and classes of characters are the library's, whatever Unicode it knows.
                 out.extend(known(w) for w, _ in self.cut(self.normal(part)))
