@@ -43,7 +43,14 @@ def prefix_sums(
     ``cells`` holds one row per (keys, order). The blocks are written once, so
     that every later step sees the same cut even if an executor is lost.
     """
-    keys = list(keys)
+    return placed_sums(cells, keys, order, measures)[1]
+
+
+def placed_sums(
+    cells: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``cells`` as they are written for ``prefix_sums``, and its result."""
+    columns, keys = cells.columns, list(keys)
     ranged = cells.repartitionByRange(block_count(cells), *keys, order)
     placed = written(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
 
@@ -61,7 +68,7 @@ def prefix_sums(
     out = joined.withColumns(
         {f"cum_{m}": F.col(f"_off_{m}") + F.sum(m).over(inside) for m in measures}
     )
-    return out.drop("_block", *[f"_off_{m}" for m in measures])
+    return placed.select(*columns), out.drop("_block", *[f"_off_{m}" for m in measures])
 
 
 def group_median(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from limnetic.session import written
 
 from .joins import natural_join
-from .ordered import prefix_sums
+from .ordered import placed_sums, prefix_sums
 
 
 def smooth_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -339,8 +339,7 @@ def density_ridges(
         .groupBy(*keys, c(x).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    values = written(values, "values")
-    ranked = prefix_sums(values, keys, "_x", ["_n"])
+    values, ranked = placed_sums(values, keys, "_x", ["_n"])
     shares = (0.25, 0.5, 0.75)
 
     def at(rank: Column) -> Column:

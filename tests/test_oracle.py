@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from limnetic.catalog import QUERIES
 import check
 
-PYTHON = {"regression_pvalue", "anova_pvalue", "tukey_pvalue", "grouped_map_udf"}
+PYTHON = {"regression_pvalue", "anova_pvalue", "tukey_pvalue", "grouped_map_udf", "mean_ci_boot", "smooth_spline", "smooth_spline_early"}
 
 
 @pytest.fixture(scope="module")
