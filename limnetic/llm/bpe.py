@@ -25,9 +25,9 @@ NONE = 1 << 30
 SHORT = 64
 # Pieces and words remembered by one worker; the older half of them goes when they are too many.
 REMEMBERED = 150_000
-# Texts of these characters are cut and put in lower case here: Latin letters and signs, whose classes all
-# versions of Unicode share, without the one whose lower case is two characters. Others go to the library.
-LATIN = re.compile("[\0-\u012f\u0131-\u017f]*")
+# Texts of these characters are cut and put in lower case here: Latin letters and common signs, whose classes all
+# versions of Unicode share, without the letter whose lower case is two characters. Others go to the library.
+LATIN = re.compile("[\0-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
 # White space of the vocabulary's pattern up to there, as fixed values.
 WHITE = "\\t-\\r \\x85\\xa0"
 
@@ -95,8 +95,7 @@ class WordBpe:
         for name, inside in ((r"\s", WHITE), (r"\p{L}", characters("L")), (r"\p{N}", characters("N"))):
             split = split.replace(name, inside)
         self.words = re.compile(split)
-        library = Tokenizer.from_file(path)
-        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.path, self.library = path, None
         self.letters = dict(enumerate(letters))
         self.byte = {x: b for b, x in enumerate(letters)}
         self.remembered, self.remembered_words = Remembered(self.piece), Remembered(self.word)
@@ -155,7 +154,9 @@ class WordBpe:
                 out.extend(known(w.encode().decode("latin-1").translate(self.letters)) for w in self.words.findall(part.lower()))
             else:
                 # Lower case, normal form and classes of characters are the library's, whatever Unicode it knows.
-                out.extend(known(w) for w, _ in self.cut(self.normal(part)))
+                self.library = self.library or Tokenizer.from_file(self.path)
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                out.extend(known(w) for w, _ in cut)
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
@@ -164,6 +165,7 @@ class WordBpe:
 
     def forget(self) -> None:
         """Free what was remembered; the worker may go on with other work."""
+        self.library = None
         for known in (self.remembered, self.remembered_words):
             known.clear()
             known.older = {}

@@ -57,8 +57,13 @@ SLICE_BYTES = 4 << 20
 
 
 def arrow_batches(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``size`` bytes, so that what is made of them stays small."""
+    """The same rows in slices of about ``size`` bytes, so that what is made of them stays small.
+
+    After the last slice the worker gives back what its buffers took: it may go on to other
+    stages, or wait beside them.
+    """
     for batch in batches:
         rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
