@@ -23,7 +23,7 @@ DIGESTS = 1 << 20
 # Frequent pairs are broadcast as a bitmap up to this number; it only spares longer n-grams.
 PAIRS, PAIR_BITS = 1 << 21, 27
 # Distinct words of one task's counters, and n-grams of one of its filters.
-COUNTERS, FILTER_KEYS = 1 << 20, 1 << 22
+COUNTERS, FILTER_KEYS = 1 << 19, 1 << 21
 # Keys of one slice over all tasks, and keys that a slice of one filter has at least if filters are full.
 SLICE_KEYS, LEAST_RUN = 1 << 21, 64
 

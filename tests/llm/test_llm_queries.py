@@ -43,7 +43,7 @@ def test_sql(spark, small, key):
 
 
 def test_numbers_are_all_there():
-    assert {int(k[2:].split("_")[0]) for k in llm.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in llm.QUERIES} == set(range(1, 14))
 
 
 def test_bpe(spark, small, library, texts):
