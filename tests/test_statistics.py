@@ -511,13 +511,6 @@ def test_density_integrates_to_one(spark):
         assert points[[p["g"] for p in points].index(g)]["median"] == pytest.approx(median)
 
 
-def test_poisson_points(spark):
-    for mean in (1.0, 47.5, 64.0):
-        points = spark.range(1).select(statistics.poisson_points(F.lit(mean)).alias("p")).first()["p"]
-        exact = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(points))])
-        assert np.allclose(points, exact, rtol=1e-9) and points[-1] == pytest.approx(1, abs=1e-12)
-
-
 def test_density_quartiles_need_no_buffer_of_a_group(spark, monkeypatch):
     """The quartiles behind the bandwidth, and the median, at even, odd and tied counts and a missing group."""
 
