@@ -23,7 +23,9 @@ DIGESTS = 1 << 20
 # Frequent pairs are broadcast as a bitmap up to this number; it only spares longer n-grams.
 PAIRS, PAIR_BITS = 1 << 21, 27
 # Distinct words of one task's counters, and n-grams of one of its filters.
-COUNTERS, FILTER_KEYS = 1 << 19, 1 << 21
+COUNTERS, FILTER_KEYS = 1 << 18, 1 << 20
+# Bytes of text that are words at once.
+WORDS_BYTES = 1 << 20
 # Keys of one slice over all tasks, and keys that a slice of one filter has at least if filters are full.
 SLICE_KEYS, LEAST_RUN = 1 << 21, 64
 
@@ -41,7 +43,7 @@ def words_of(texts: list[bytes]) -> list[bytes]:
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    for batch in arrow_batches(batches):
+    for batch in arrow_batches(batches, WORDS_BYTES):
         texts = defaultdict(list)
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             texts[lang].append(text)
@@ -421,7 +423,7 @@ def collocations(docs: DataFrame, least: int = 30, first: int = 2000, text: str
     Defined results: a missing text is empty; a missing language is ``und``; rows that repeat
     count each; equal scores go by count, then by the bytes of the phrase; other columns are
     not read; an empty table, or one without frequent phrases, gives no rows. A text may be
-    long: its words are held at once, with texts of about 4 MB at a time else.
+    long: its words are held at once, with texts of about 1 MB at a time else.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     phrases, totals = all_phrases(rows, least)
