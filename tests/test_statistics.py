@@ -335,6 +335,22 @@ def test_blocks_of_values_change_nothing(spark, monkeypatch):
         assert tuple(a) == pytest.approx(tuple(b), abs=1e-8)
 
 
+def test_few_blocks_of_many_values_are_searched(spark, monkeypatch):
+    """Tasks hand on sums of blocks, not of values, and the cuts are those among all values."""
+    rnd = random.Random(4)
+    rows = [(i, i * 0.37 + rnd.random(), None if rnd.random() < 0.1 else rnd.random(), 5.0 * (i > 1234) + rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    given = dict(folds=3, cps=(0.01, 0.0005), min_bucket=2, max_depth=5)
+    key = lambda r: (r["id"], r["cp"])
+    want = [tuple(r) for r in sorted(trees.cv_predictions(df, ["a", "b"], "y", "id", **given).collect(), key=key)]
+    looked, inside = [], trees._Table._inside
+    monkeypatch.setattr(trees._Table, "_inside", lambda self, forest, search, blocks: looked.append(blocks) or inside(self, forest, search, blocks))
+    monkeypatch.setattr(trees, "BLOCKS", 200)
+    got = [tuple(r) for r in sorted(trees.cv_predictions(df, ["a", "b"], "y", "id", **given).collect(), key=key)]
+    assert len(got) == 6000 and all(g == pytest.approx(w) for g, w in zip(got, want))
+    assert looked and len(looked[0].groupby(["f", "block"])) < 40
+
+
 def test_many_folds_do_not_copy_rows(spark, monkeypatch):
     """500 folds write the rows once and place each once; a row in a fold of its own is left out alone."""
     sizes = []
