@@ -219,14 +219,8 @@ TREE_BITS = 32
 FAN_BITS, NODE_CELLS = 8, 4096
 # Counts further from the mean than so many standard deviations, and as many more, are not tried.
 FAR = 9.0
-
-
-def _log_factorial(k: np.ndarray) -> np.ndarray:
-    """ln k!, by a table up to 255 and Stirling's series beyond."""
-    table = np.r_[0.0, np.cumsum(np.log(np.arange(1.0, 256.0)))]
-    x = np.maximum(k, 255).astype(float)
-    series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return np.where(k < 256, table[np.minimum(k, 255)], series)
+# Chances of counts that a task holds at once.
+COUNTS_AT_ONCE = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -246,14 +240,33 @@ def uniforms(text: str, reps: int) -> np.ndarray:
 
 
 def binomials(draws: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
-    """For each number of draws, the binomial number at the uniform number beside it."""
+    """For each number of draws, the binomial number at the uniform number beside it.
+
+    Chances follow from one another by a product, from the least count that is tried on, so
+    a count costs a few operations; some numbers of draws are done at once.
+    """
     out = np.zeros(len(draws), np.int64)
-    for n in np.unique(draws):
-        here = draws == n
-        mean, spread = n * p, math.sqrt(n * p * (1 - p))
-        k = np.arange(max(0, math.floor(mean - FAR * spread - FAR)), min(int(n), math.ceil(mean + FAR * spread + FAR)) + 1)
-        log_p = _log_factorial(np.array(n)) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
-        out[here] = k[np.minimum(np.searchsorted(np.cumsum(np.exp(log_p)), u[here], "right"), len(k) - 1)]
+    order = np.argsort(draws, kind="stable")
+    n, first = np.unique(draws[order], return_index=True)
+    cuts = [*first.tolist(), len(order)]
+    mean, spread = n * p, np.sqrt(n * p * (1 - p))
+    low = np.maximum(0, np.floor(mean - FAR * spread - FAR)).astype(np.int64)
+    high = np.minimum(n, np.ceil(mean + FAR * spread + FAR)).astype(np.int64)
+    odds = p / (1 - p)
+    a = 0
+    while a < len(n):
+        width = int((high[a:] - low[a:]).max()) + 1
+        b = min(len(n), a + max(1, COUNTS_AT_ONCE // width))
+        steps = np.arange(1, width)
+        k = low[a:b, None] + steps
+        chance = np.ones((b - a, width))
+        chance[:, 1:] = np.where(k <= high[a:b, None], (n[a:b, None] - k + 1) / k * odds, 0.0)
+        below = np.cumsum(np.cumprod(chance, 1), 1)
+        for i in range(a, b):
+            here = order[cuts[i] : cuts[i + 1]]
+            at = np.searchsorted(below[i - a], u[here] * below[i - a, -1], "right")
+            out[here] = np.minimum(low[i] + at, high[i])
+        a = b
     return out
 
 

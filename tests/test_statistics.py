@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+from statistics import NormalDist
 
 import duckdb
 import numpy as np
@@ -86,6 +88,17 @@ def test_bootstrap_brackets_the_mean(spark):
     assert (again["lower"], again["upper"]) == pytest.approx((a["lower"], a["upper"]))
 
 
+def test_binomial_numbers_of_many_draws_take_little_time():
+    """A thousand numbers of draws, each tried at thousands of counts, need no logarithm of a factorial each."""
+    draws = np.arange(1000) * 7 + 10**7
+    u = statistics.uniforms("node", 1000)
+    start = time.process_time()
+    x = statistics.binomials(draws, 0.4, u)
+    assert time.process_time() - start < 1.2
+    expected = [n * 0.4 + math.sqrt(n * 0.24) * NormalDist().inv_cdf(v) for n, v in zip(draws.tolist(), u.tolist())]
+    assert np.abs(x - expected).max() < 3
+
+
 def test_each_resample_has_as_many_rows_as_the_group():
     """Draws dealt out over the tree sum up in every replicate, and follow the shares of the rows."""
     r = np.random.default_rng(5)
