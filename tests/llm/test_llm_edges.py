@@ -389,6 +389,29 @@ def test_toxicity_is_fitted_on_one_row_a_key(spark, monkeypatch):
     assert len(fitted[0][0]) == 120 and sum(fitted[0][1]) == labels.sum() and fitted[0] == fitted[1]
 
 
+def test_toxicity_learns_from_all_rows_in_tasks(spark):
+    """Every toxic word is in few documents, so that a part of the rows would not show them all."""
+    r = random.Random(5)
+    rows, marks = [], []
+    for i in range(1600):
+        words = [r.choice(WORDS) for _ in range(30)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words[r.randrange(30)] = f"{chr(97 + i // 4 % 20) * 3}q"
+        rows.append((i, " ".join(words), ("en", "xx", None)[i % 3]))
+        marks.append((i, toxic))
+    rows += [(0, "again", "en"), (1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.col("doc_id") < 1200, positive=20, negative=20)
+    found = toxicity.score_toxicity(docs.where("doc_id >= 1200"), model).join(labels, "doc_id").collect()
+    assert len(found) == 400 and all(0 <= x["toxicity"] <= 1 for x in found)
+    right = [(x["toxicity"] >= 0.5) == (x["toxic"] == 1) for x in found]
+    assert sum(right) / len(right) >= 0.97
+    marked = [x["toxicity"] >= 0.5 for x in found if x["toxic"]]
+    assert sum(marked) / len(marked) >= 0.95
+
+
 def test_toxicity_learns_stems_in_each_language():
     r = random.Random(7)
     texts, labels, langs = [], [], []
