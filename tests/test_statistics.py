@@ -364,6 +364,24 @@ def test_few_blocks_of_many_values_are_searched(spark, monkeypatch):
     assert looked and len(looked[0].groupby(["f", "block"])) < 40
 
 
+def test_levels_read_chunks_of_block_numbers(spark, monkeypatch):
+    """A feature of some more values than there are blocks is searched at once; chunks and lists of rows change nothing."""
+    rnd = random.Random(9)
+    rows = [(*r[:5], None if r[0] % 11 == 0 else float(rnd.randint(0, 249)), r[6]) for r in gappy_rows(600, seed=11)]
+    df = spark.createDataFrame(rows, ", ".join(["id long", *(f"{f} double" for f in "abcde"), "y double"]))
+    given = dict(folds=4, cps=(0.05, 0.002), min_bucket=2, max_depth=6)
+    key = lambda r: (r["id"], r["cp"])
+    want = [tuple(r) for r in sorted(trees.cv_predictions(df, list("abcde"), "y", "id", **given).collect(), key=key)]
+    assert len({w[4] for w in want}) > 8
+    monkeypatch.setattr(trees._Table, "_inside", lambda *_: pytest.fail("a second look at the rows"))
+    monkeypatch.setattr(trees, "BLOCKS", 100)
+    for chunk, listed in ((7, 0.0), (50, 2.0), (1000, 0.3)):
+        monkeypatch.setattr(trees, "CHUNK_ROWS", (chunk, chunk))
+        monkeypatch.setattr(trees, "LISTED", listed)
+        got = [tuple(r) for r in sorted(trees.cv_predictions(df, list("abcde"), "y", "id", **given).collect(), key=key)]
+        assert len(got) == 1200 and all(g == pytest.approx(w) for g, w in zip(got, want))
+
+
 def test_many_folds_do_not_copy_rows(spark, monkeypatch):
     """500 folds write the rows once and place each once; a row in a fold of its own is left out alone."""
     sizes = []
