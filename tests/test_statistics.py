@@ -376,7 +376,7 @@ def test_levels_read_chunks_of_block_numbers(spark, monkeypatch):
     monkeypatch.setattr(trees._Table, "_inside", lambda *_: pytest.fail("a second look at the rows"))
     monkeypatch.setattr(trees, "BLOCKS", 100)
     for chunk, listed in ((7, 0.0), (50, 2.0), (1000, 0.3)):
-        monkeypatch.setattr(trees, "CHUNK_ROWS", (chunk, chunk))
+        monkeypatch.setattr(trees, "CHUNK_ROWS", chunk)
         monkeypatch.setattr(trees, "LISTED", listed)
         got = [tuple(r) for r in sorted(trees.cv_predictions(df, list("abcde"), "y", "id", **given).collect(), key=key)]
         assert len(got) == 1200 and all(g == pytest.approx(w) for g, w in zip(got, want))
